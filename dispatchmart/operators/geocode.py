@@ -19,7 +19,7 @@ def add_coordinates(pickups: DataFrame, gazetteer: DataFrame, max_rows: int = BR
     pickup is doubled. Airports may hold most pickups; ``lookup_join`` spreads them.
     """
     places = gazetteer.groupBy(PLACE_KEY).agg(
-        F.min(F.struct(F.col("latitude").cast("double"), F.col("longitude").cast("double"))).alias("geo")
+        F.min(F.struct(*[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")])).alias("geo")
     )
     located = lookup_join(pickups, places, PLACE_KEY, "left", max_rows, bound=gazetteer)
     return located.select(*pickups.columns, "geo.*")

@@ -21,7 +21,7 @@ def text_scores(df: DataFrame, lexicon: DataFrame, key: str, text: str, max_rows
     """
     words = df.select(key, F.explode(message_words(clean_text(F.col(text)))).alias("term"))
     entries = lexicon.groupBy("term").agg(
-        F.min(F.struct(F.col("polarity").cast("double"), F.col("subjectivity").cast("double"))).alias("_entry")
+        F.min(F.struct(*[F.col(c).cast("double").alias(c) for c in ("polarity", "subjectivity")])).alias("_entry")
     )
     if fits_broadcast(lexicon, max_rows):
         hits = words.withColumn("_n", F.lit(1)).join(F.broadcast(entries), "term")

@@ -39,9 +39,7 @@ class Targets:
 
     root: str
 
-    def __getattr__(self, table: str) -> str:
-        if table.startswith("_"):
-            raise AttributeError(table)
+    def __getitem__(self, table: str) -> str:
         return f"{self.root}/{table}"
 
 
@@ -50,41 +48,41 @@ def load_pickups(spark: SparkSession, inputs: Inputs, targets: Targets, budget:
         read_csv(spark, inputs.location_feed, schemas.LOCATION_FEED),
         read_csv(spark, inputs.free_text_feed, schemas.FREE_TEXT_FEED),
         read_csv(spark, inputs.split_field_feed, schemas.SPLIT_FIELD_FEED),
-        read_target(spark, targets.gazetteer),
+        read_target(spark, targets["gazetteer"]),
         budget,
     )
-    full_refresh(pickups, targets.pickup_data)
+    full_refresh(pickups, targets["pickup_data"])
 
 
 def load_messages(spark: SparkSession, inputs: Inputs, targets: Targets) -> None:
-    lexicon = read_target(spark, targets.lexicon)
-    full_refresh(score_messages(read_messages(spark, inputs.messages), lexicon), targets.tweet_analysis)
+    lexicon = read_target(spark, targets["lexicon"])
+    full_refresh(score_messages(read_messages(spark, inputs.messages), lexicon), targets["tweet_analysis"])
 
 
 def load_drivers(spark: SparkSession, targets: Targets) -> None:
     """New dimension next to the old one, its rejects, and the facts with keys."""
     lookups = Lookups(
-        read_target(spark, targets.shifttime_dim),
-        read_target(spark, targets.coverage_dim),
-        read_target(spark, targets.company_dim),
+        read_target(spark, targets["shifttime_dim"]),
+        read_target(spark, targets["coverage_dim"]),
+        read_target(spark, targets["company_dim"]),
     )
-    update = update_dimension(read_target(spark, targets.driver_dim), read_target(spark, targets.driver_feed), lookups)
-    full_refresh(update.dimension, targets.driver_dim_updated)
-    full_refresh(update.rejects, targets.driver_feed_rejects)
-    dimension = read_target(spark, targets.driver_dim_updated)
-    keyed = add_pickup_keys(read_target(spark, targets.pickup_data))
-    full_refresh(facts_with_keys(keyed, dimension), targets.pickup_data_withkeys)
-    full_refresh(pickups_without_driver(keyed, dimension), targets.pickup_data_unserved)
+    update = update_dimension(read_target(spark, targets["driver_dim"]), read_target(spark, targets["driver_feed"]), lookups)
+    full_refresh(update.dimension, targets["driver_dim_updated"])
+    full_refresh(update.rejects, targets["driver_feed_rejects"])
+    dimension = read_target(spark, targets["driver_dim_updated"])
+    keyed = add_pickup_keys(read_target(spark, targets["pickup_data"]))
+    full_refresh(facts_with_keys(keyed, dimension), targets["pickup_data_withkeys"])
+    full_refresh(pickups_without_driver(keyed, dimension), targets["pickup_data_unserved"])
 
 
 def load_second_source(spark: SparkSession, inputs: Inputs, targets: Targets) -> None:
     second = read_csv(spark, inputs.second_source, schemas.PICKUP)
-    merge_second_source(second, read_target(spark, targets.pickup_data), targets.pickupdata_with_anothersource)
+    merge_second_source(second, read_target(spark, targets["pickup_data"]), targets["pickupdata_with_anothersource"])
 
 
 def export_dimension(spark: SparkSession, targets: Targets, path: str) -> None:
     """The dimension as CSV with a header and MM/dd/yyyy dates."""
-    write_csv(dimension_as_text(read_target(spark, targets.driver_dim_updated)), path)
+    write_csv(dimension_as_text(read_target(spark, targets["driver_dim_updated"])), path)
 
 
 def run_job(spark: SparkSession, inputs: Inputs, targets: Targets, budget: int | None = V.GEOCODE_BUDGET) -> DataFrame:
@@ -96,5 +94,5 @@ def run_job(spark: SparkSession, inputs: Inputs, targets: Targets, budget: int |
         ("Second source", lambda: load_second_source(spark, inputs, targets)),
     ]
     for job_id, (stage, work) in enumerate(stages, start=1):
-        run_stage(spark, targets.audit, job_id, stage, work)
-    return read_target(spark, targets.audit)
+        run_stage(spark, targets["audit"], job_id, stage, work)
+    return read_target(spark, targets["audit"])
