@@ -19,7 +19,7 @@ from dispatchmart.operators import dimension as D
 from dispatchmart.operators import facts as X
 from dispatchmart.operators import sets as S
 from dispatchmart.operators import terms as W
-from dispatchmart.operators.geocode import add_coordinates, geocode_head
+from dispatchmart.operators.geocode import add_coordinates, geocode_feeds
 from dispatchmart.operators.ordered import number_rows
 from dispatchmart.operators.sentiment import add_sentiment
 from dispatchmart.plans import standardize as P
@@ -43,6 +43,10 @@ def query(run: Query) -> Query:
 # Text rules
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return df.withColumn("pieces", A.words(F.col("address")))
+
+
 @query
 def street_suffix_abbrev(spark, sf_dir):
     streets = I.derive(spark, sf_dir, I.STREETS)
@@ -62,8 +66,8 @@ def merge_date_time(spark, sf_dir):
 
 @query
 def cross_street_removal(spark, sf_dir):
-    streets = I.derive(spark, sf_dir, I.CROSS_STREETS)
-    return streets.select("o_orderkey", A.remove_cross_street(F.col("address")).alias("street_address"))
+    streets = _cut(I.derive(spark, sf_dir, I.CROSS_STREETS))
+    return streets.select("o_orderkey", A.remove_cross_street(F.col("pieces")).alias("street_address"))
 
 
 @query
@@ -78,11 +82,11 @@ def ordinal_words(spark, sf_dir):
 
 @query
 def cut_after_suffix(spark, sf_dir):
-    addresses = I.derive(spark, sf_dir, I.FREE_ADDRESSES)
+    addresses = _cut(I.derive(spark, sf_dir, I.FREE_ADDRESSES))
     return addresses.select(
         "o_orderkey",
-        A.cut_after_street_type(F.col("address")).alias("street_address"),
-        A.cut_after_street_type(F.col("address"), compat=True).alias("street_address_compat"),
+        A.cut_after_street_type(F.col("pieces")).alias("street_address"),
+        A.cut_after_street_type(F.col("pieces"), compat=True).alias("street_address_compat"),
     )
 
 
@@ -94,11 +98,11 @@ def first_digit_cut(spark, sf_dir):
 
 @query
 def ordinal_after_direction(spark, sf_dir):
-    addresses = I.derive(spark, sf_dir, I.COMPASS_ADDRESSES)
+    addresses = _cut(I.derive(spark, sf_dir, I.COMPASS_ADDRESSES))
     return addresses.select(
         "o_orderkey",
-        A.ordinal_after_compass(F.col("address")).alias("street_address"),
-        A.ordinal_after_compass(F.col("address"), compat=True).alias("street_address_compat"),
+        A.ordinal_after_compass(F.col("pieces")).alias("street_address"),
+        A.ordinal_after_compass(F.col("pieces"), compat=True).alias("street_address_compat"),
     )
 
 
@@ -145,7 +149,7 @@ def airport_lookup(spark, sf_dir):
     return places.select(
         "o_orderkey",
         A.airport_by_location(F.col("address"), F.col("location")).alias("by_location"),
-        A.airport_by_word(F.col("words")).alias("by_word"),
+        A.airport_by_word(F.get(A.words(F.col("words")), F.lit(0)), F.col("words")).alias("by_word"),
         A.full_street(A.airport_field(code, 1, F.lit("9")), A.airport_field(code, 0, F.col("address"))).alias("by_code"),
         A.airport_field(code, 2, F.col("state")).alias("state"),
         A.airport_field(code, 3, F.lit("NONE")).alias("city"),
@@ -215,7 +219,7 @@ def geocode_gazetteer(spark, sf_dir):
 @query
 def geocode_budget(spark, sf_dir):
     customers = I.derive(spark, sf_dir, I.PLACED_CUSTOMERS)
-    return geocode_head(customers, I.derive(spark, sf_dir, I.GAZETTEER), V.GEOCODE_BUDGET, ["datetime"])
+    return geocode_feeds([customers], I.derive(spark, sf_dir, I.GAZETTEER), V.GEOCODE_BUDGET)
 
 
 @query
@@ -424,8 +428,8 @@ def top_term_tag(spark, sf_dir):
 @query
 def count_vectors(spark, sf_dir):
     """The vectors' entries: document, place of the term in the vocabulary, count."""
-    vectors = W.add_features(_documents(spark, sf_dir)).select("doc_id", F.unwrap_udt("features").alias("v"))
-    entries = vectors.select("doc_id", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
+    vectors = W.count_vectors(_documents(spark, sf_dir), "doc_id")
+    entries = vectors.select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("e"))
     return entries.select("doc_id", F.col("e.indices").alias("term_index"), F.col("e.values").alias("n"))
 
 

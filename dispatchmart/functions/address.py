@@ -1,6 +1,7 @@
 """Street, city and state rules.
 
-Every function takes columns and returns a column, and NULL stays NULL. Where the
+Every function takes columns and returns a column, and NULL stays NULL. Rules about
+words take the array that ``words`` makes, so that a plan cuts a text once. Where the
 corrected rule differs from the rule that older loads were made with,
 ``compat=True`` gives the older result.
 """
@@ -74,9 +75,8 @@ def airport_by_location(address: Column, location: Column) -> Column:
     return recode(location, V.AIRPORT_BY_LOCATION, address)
 
 
-def airport_by_word(address: Column) -> Column:
+def airport_by_word(first: Column, address: Column) -> Column:
     """Airport address when the first word contains an airport code."""
-    first = F.get(words(address), F.lit(0))
     hit = F.coalesce(
         *[F.when(first.contains(code), F.lit(place)) for code, place in V.AIRPORT_BY_WORD.items()]
     )
@@ -88,13 +88,12 @@ def airport_field(code: Column, field: int, otherwise: Column) -> Column:
     return recode(code, {key: row[field] for key, row in V.AIRPORT_BY_CODE.items()}, otherwise)
 
 
-def remove_cross_street(address: Column) -> Column:
+def remove_cross_street(pieces: Column) -> Column:
     """Blank ``ON`` and the cross street after it.
 
     The second word after ``ON`` goes; the first one stays only when it is all
     letters. Both are left alone when fewer than two words follow.
     """
-    pieces = words(address)
 
     def blank_at(state: Column, at: Column) -> Column:
         inside = at + 2 < F.size(state)
@@ -131,21 +130,18 @@ def before_comma(address: Column) -> Column:
     return F.substring_index(address, ",", 1)
 
 
-def cut_after_street_type(address: Column, compat: bool = False) -> Column:
+def cut_after_street_type(pieces: Column, compat: bool = False) -> Column:
     """Keep the words up to the first street type.
 
     Without a street type the last word (the city) is dropped. ``compat`` drops the
     last word also when the address ends in its street type.
     """
-    pieces = words(address)
     count = F.size(pieces)
-    hits = F.transform(
-        pieces, lambda word, i: F.when(word.isin(*V.CUTTING_STREET_TYPES), i)
-    )
-    first = F.array_min(hits)
-    inside = first < count - 1 if compat else first.isNotNull()
-    keep = F.when(inside, first + 1).when(count > 1, count - 1).otherwise(count)
-    return _joined(F.slice(pieces, F.lit(1), keep))
+    hits = F.transform(pieces, lambda word, i: F.when(word.isin(*V.CUTTING_STREET_TYPES), i + 1))
+    upto = F.array_min(hits)
+    if compat:
+        upto = F.nullif(upto, count)
+    return _joined(F.slice(pieces, F.lit(1), F.coalesce(upto, F.when(count > 1, count - 1).otherwise(count))))
 
 
 def drop_new(address: Column) -> Column:
@@ -170,18 +166,15 @@ def fragment_city(fragment: Column, compat: bool = False) -> Column:
 
 def from_first_digit(address: Column) -> Column:
     """Drop what precedes the first digit; text without digits stays."""
-    return F.when(
-        address.rlike("[0-9]"), F.regexp_extract(address, "(?s)[0-9].*", 0)
-    ).otherwise(address)
+    return F.regexp_replace(address, "(?s)^[^0-9]*([0-9].*)$", "$1")
 
 
 def _suffix(suffix: str, compat: bool) -> str:
     return suffix.lower() if compat else suffix
 
 
-def ordinal_after_compass(address: Column, compat: bool = False) -> Column:
+def ordinal_after_compass(pieces: Column, compat: bool = False) -> Column:
     """``W 45`` to ``W 45TH``; repeated spaces collapse. ``compat`` writes ``45th``."""
-    pieces = words(address)
 
     def with_suffix(word: Column, i: Column) -> Column:
         last = F.right(word, F.lit(1))

@@ -6,8 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
+from dispatchmart.functions.columns import recode
 
-_CLOCK = r"(\d{1,2}):(\d{2})(?::\d{2})?(?:\.\d+)?\s*([AaPp][Mm])?\s*$"
+_MARK = "\u0001"
+_CLOCK = r"(?s)^.*?(?<!\d)(\d{1,2}):([0-5]\d)(?::\d{2})?(?:\.\d+)?\s*(?:([AaPp])[Mm])?\s*$"
+
+
+def _hours() -> dict[str, str]:
+    """Hour as found, with A or P when the text said so, to the hour of the day."""
+    plain = {text: f"{hour:02d}" for hour in range(24) for text in (f"{hour}", f"{hour:02d}")}
+    halves = {
+        text + half: f"{hour % 12 + later:02d}"
+        for half, later in (("A", 0), ("P", 12))
+        for hour in range(1, 13)
+        for text in (f"{hour}", f"{hour:02d}")
+    }
+    return {_MARK + text: hour for text, hour in {**plain, **halves}.items()}
 
 
 def day_before(day: Column) -> Column:
@@ -34,15 +48,9 @@ def minute_of_day(text: Column, compat: bool = False) -> Column:
         cut = F.trim(F.substring(text, F.lit(1), F.greatest(F.length(text) - 6, F.lit(0))))
         clock = F.trim(F.right(cut, F.lit(5)))
         return F.right(F.concat(F.lit("0"), clock), F.lit(5))
-    hour = F.regexp_extract(text, _CLOCK, 1).try_cast("int")
-    minute = F.regexp_extract(text, _CLOCK, 2)
-    half = F.upper(F.regexp_extract(text, _CLOCK, 3))
-    hour24 = (
-        F.when(half == "", hour)
-        .when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    )
-    valid = hour24.between(0, 23) & (minute < "60")
-    return F.when(valid, F.concat_ws(":", F.lpad(hour24.cast("string"), 2, "0"), minute))
+    # One match turns the text into mark, hour, A or P, colon, minute; without a match there is no mark.
+    found = F.upper(F.regexp_replace(text, _CLOCK, f"{_MARK}$1$3:$2"))
+    return F.concat(recode(F.substring_index(found, ":", 1), _hours()), F.lit(":"), F.right(found, F.lit(2)))
 
 
 def shift_key(minute: Column, compat: bool = False) -> Column:

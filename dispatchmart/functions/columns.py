@@ -37,11 +37,12 @@ def merge_date_time(df: DataFrame) -> DataFrame:
 
 
 def recode(value: Column, table: dict[Any, Any], otherwise: Column | None = None) -> Column:
-    """Look ``value`` up in a fixed table; ``otherwise`` (NULL when not given) for the rest."""
-    pairs = list(table.items())
-    first = F.when(value == F.lit(pairs[0][0]), F.lit(pairs[0][1]))
-    cases = reduce(lambda acc, kv: acc.when(value == F.lit(kv[0]), F.lit(kv[1])), pairs[1:], first)
-    return cases if otherwise is None else cases.otherwise(otherwise)
+    """Look ``value`` up in a fixed table; ``otherwise`` (NULL when not given) for the rest.
+
+    A map literal, so that ``value`` is computed once whatever the size of the table.
+    """
+    found = F.create_map(*[F.lit(item) for pair in table.items() for item in pair])[value]
+    return found if otherwise is None else F.coalesce(found, otherwise)
 
 
 def replace_all(text: Column, table: dict[str, str]) -> Column:

@@ -10,7 +10,7 @@ from dispatchmart.functions import fixed_values as V
 
 def clean_text(text: Column) -> Column:
     """Letters and white space only, in lower case."""
-    return F.lower(F.regexp_replace(text, r"[^a-zA-Z\s]", ""))
+    return F.lower(F.regexp_replace(text, r"[^a-zA-Z\s]+", ""))
 
 
 def message_words(cleaned: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.operators.joins import BROADCAST_ROWS, lookup_join
-from dispatchmart.operators.sets import mark_head
+from dispatchmart.operators.sets import mark_head, union_feeds
 
 PLACE_KEY = ["street_address", "city", "state"]
 
@@ -25,18 +25,21 @@ def add_coordinates(pickups: DataFrame, gazetteer: DataFrame, max_rows: int = BR
     return located.select(*pickups.columns, "geo.*")
 
 
-def geocode_head(
-    pickups: DataFrame,
+def geocode_feeds(
+    feeds: list[DataFrame],
     gazetteer: DataFrame,
     budget: int | None = V.GEOCODE_BUDGET,
-    order_by: list[str] = ("datetime",),
+    order_by: tuple[str, ...] = ("datetime",),
 ) -> DataFrame:
-    """Coordinates for the first ``budget`` pickups; ``None`` locates all of them."""
+    """All feeds in one table; the first ``budget`` pickups of each get coordinates, ``None`` means all.
+
+    The feeds are united before the join, so the gazetteer is read and sent out once.
+    """
     if budget is None:
-        return add_coordinates(pickups, gazetteer)
-    marked = mark_head(pickups, budget, list(order_by))
+        return add_coordinates(union_feeds(*feeds), gazetteer)
+    marked = union_feeds(*[mark_head(feed, budget, list(order_by)) for feed in feeds])
     located = add_coordinates(marked, gazetteer)
     return located.select(
-        *pickups.columns,
+        *feeds[0].columns,
         *[F.when(F.col("is_head"), F.col(c)).alias(c) for c in ("latitude", "longitude")],
     )

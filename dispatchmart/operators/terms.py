@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, StopWordsRemover
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.messages import clean_text, message_words, without_stop_words
+from dispatchmart.operators.joins import BROADCAST_ROWS, lookup_join
+from dispatchmart.operators.ordered import number_rows
 
 
 def add_words(df: DataFrame, text: str = "tweet", words: str = "words_clean") -> DataFrame:
@@ -17,10 +19,10 @@ def add_words(df: DataFrame, text: str = "tweet", words: str = "words_clean") ->
 
 
 def _exploded(df: DataFrame, text: str) -> DataFrame:
-    """One row per word; stop words are filtered after the explode, inside generated code."""
-    term = F.explode(message_words(clean_text(F.col(text)))).alias("term")
+    """One row per word; empty pieces and stop words go after the explode, inside generated code."""
+    term = F.explode(F.split(clean_text(F.col(text)), r"\W")).alias("term")
     rest = [F.col(c) for c in df.columns if c != text]
-    return df.select(*rest, term).where(~F.col("term").isin(*V.STOP_WORDS))
+    return df.select(*rest, term).where(~F.col("term").isin("", *V.STOP_WORDS))
 
 
 def term_counts(df: DataFrame, text: str = "tweet") -> DataFrame:
@@ -56,17 +58,43 @@ def add_tag(df: DataFrame, leading: Column | None = None, text: str = "tweet") -
     return cleaned.withColumn("tags", tag(without_stop_words(message_words(F.col(text))), leading))
 
 
-def add_features(df: DataFrame, text: str = "tweet", vocabulary_size: int = V.VOCABULARY_LIMIT) -> DataFrame:
-    """Sparse count vectors over the most frequent terms, as ``features``.
+def vocabulary(df: DataFrame, text: str = "tweet", size: int = V.VOCABULARY_LIMIT) -> DataFrame:
+    """The ``size`` most frequent terms with their places, 0 for the most frequent one."""
+    counts = term_counts(df, text).select(F.negative("n").alias("_rank"), "term")
+    placed = number_rows(counts, "term_index", ["_rank", "term"], after=-1, rows_differ=True)
+    return placed.where(F.col("term_index") < size).select("term", F.col("term_index").cast("int").alias("term_index"))
 
-    The vocabulary is the one list that passes through the driver; its length is
-    limited by ``vocabulary_size``, as in Spark's own estimator, and its order does
-    not depend on the run.
+
+def count_vectors(
+    df: DataFrame,
+    key: str,
+    text: str = "tweet",
+    size: int = V.VOCABULARY_LIMIT,
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Sparse count vectors over the vocabulary as ``indices`` and ``values``, one row per message.
+
+    The vocabulary stays a table; a message without terms has empty arrays.
     """
-    vocabulary = [row.term for row in top_terms(df, vocabulary_size, text).collect()]
+    terms = vocabulary(df, text, size)
+    entries = lookup_join(document_term_counts(df, key, text), terms, ["term"], max_rows=max_rows)
+    vectors = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "n"))).alias("_entries"))
+    filled = df.select(key).join(vectors, key, "left").withColumn(
+        "_entries", F.coalesce("_entries", F.array().cast("array<struct<term_index:int,n:bigint>>"))
+    )
+    return filled.select(
+        key,
+        F.col("_entries.term_index").alias("indices"),
+        F.col("_entries.n").cast("array<double>").alias("values"),
+    )
+
+
+def add_features(df: DataFrame, text: str = "tweet", size: int = V.VOCABULARY_LIMIT) -> DataFrame:
+    """Spark ML's count vectors as ``features``; the order of equally frequent terms is Spark's choice."""
     stages = [
         RegexTokenizer(inputCol="_clean", outputCol="words_token", pattern=r"\W"),
         StopWordsRemover(inputCol="words_token", outputCol="words_clean", stopWords=list(V.STOP_WORDS)),
-        CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words_clean", outputCol="features"),
+        CountVectorizer(inputCol="words_clean", outputCol="features", vocabSize=size),
     ]
-    return PipelineModel(stages).transform(df.withColumn("_clean", clean_text(F.col(text)))).drop("_clean")
+    cleaned = df.withColumn("_clean", clean_text(F.col(text)))
+    return Pipeline(stages=stages).fit(cleaned).transform(cleaned).drop("_clean")

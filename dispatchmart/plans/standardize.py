@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from dispatchmart.functions import address as A
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.columns import dashed_date, lower_names, merge_date_time, trim_values, upper_values
-from dispatchmart.operators.geocode import geocode_head
-from dispatchmart.operators.sets import union_feeds
+from dispatchmart.operators.geocode import geocode_feeds
 
 STANDARD = ["datetime", "street_address", "city", "state", "source"]
 
@@ -30,18 +29,16 @@ def _finished(df: DataFrame) -> DataFrame:
 def location_feed(raw: DataFrame, compat: bool = False, source: str = V.LOCATION_SUFFIX_SOURCE) -> DataFrame:
     """Feed whose location text ends in a city or state code."""
     street, location, code, state = (F.col(c) for c in ("street_address", "city_state", "code", "state"))
+    address = F.trim(A.add_suburb(A.shorten_street_type(street), location))
     coded = _dated(_upper(raw)).select(
         "datetime",
-        "city_state",
-        F.trim(A.add_suburb(A.shorten_street_type(street), location)).alias("street_address"),
+        A.words(F.trim(A.airport_by_location(address, location))).alias("pieces"),
         A.location_code(location).alias("code"),
     )
     placed = coded.withColumn("state", A.location_state(code, F.lit("")))
     cleaned = placed.select(
         "datetime",
-        A.ordinal_words(
-            A.remove_cross_street(F.trim(A.airport_by_location(street, location))), compat
-        ).alias("street_address"),
+        A.ordinal_words(A.remove_cross_street(F.col("pieces")), compat).alias("street_address"),
         A.blank_city_outside(F.trim(A.location_city(code, compat)), state).alias("city"),
         "state",
         F.lit(source).alias("source"),
@@ -51,17 +48,18 @@ def location_feed(raw: DataFrame, compat: bool = False, source: str = V.LOCATION
 
 def free_text_feed(raw: DataFrame, compat: bool = False, source: str = V.FREE_TEXT_SOURCE) -> DataFrame:
     """Feed with one free-text address; its state is always New York."""
-    entered = F.col("pick_up_address")
+    entered, pieces = F.col("pick_up_address"), F.col("pieces")
     cut = _dated(_upper(raw)).select(
         "datetime",
-        A.cut_after_street_type(A.before_comma(entered), compat).alias("address"),
+        A.words(A.before_comma(entered)).alias("pieces"),
         A.fragment_city(A.address_tail(entered), compat).alias("city"),
     )
-    numbered = A.from_first_digit(A.drop_new(A.airport_by_word(F.col("address"))))
+    address = A.airport_by_word(F.get(pieces, F.lit(0)), A.cut_after_street_type(pieces, compat))
+    numbered = cut.withColumn("pieces", A.words(A.from_first_digit(A.drop_new(address))))
     return _finished(
-        cut.select(
+        numbered.select(
             "datetime",
-            A.ordinal_after_compass(numbered, compat).alias("street_address"),
+            A.ordinal_after_compass(pieces, compat).alias("street_address"),
             "city",
             F.lit("NEW YORK").alias("state"),
             F.lit(source).alias("source"),
@@ -94,9 +92,9 @@ def standard_pickups(
     compat: bool = False,
 ) -> DataFrame:
     """All three feeds in one table, with coordinates for the first ``budget`` pickups of each."""
-    feeds = (
+    feeds = [
         location_feed(location, compat),
         free_text_feed(free_text, compat),
         split_field_feed(split_field, compat),
-    )
-    return union_feeds(*[geocode_head(feed, gazetteer, budget) for feed in feeds])
+    ]
+    return geocode_feeds(feeds, gazetteer, budget)

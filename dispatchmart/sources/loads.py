@@ -39,8 +39,9 @@ def _write(writer: DataFrameWriter, target: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    """Delimited part files, written by all tasks at once."""
-    df.write.mode("overwrite").options(header=header, sep=sep).csv(path)
+    """Delimited part files, written by all tasks at once; spaces around values are kept."""
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=header, sep=sep, escape='"', **spaces).csv(path)
 
 
 def full_refresh(df: DataFrame, target: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -75,6 +76,7 @@ def load_with_error_budget(
         .options(
             header=header,
             sep=sep,
+            escape='"',
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=_BAD,
             columnPruning=False,
@@ -83,7 +85,7 @@ def load_with_error_budget(
         .csv(path)
     )
     bad = rows.where(F.col(_BAD).isNotNull()).limit(max_errors)
-    full_refresh(bad.select(F.col(_BAD).alias("record")), quarantine)
+    full_refresh(bad.withColumnRenamed(_BAD, "record"), quarantine)
     rejected = read_target(spark, quarantine)
     found = rejected.count()
     if found >= max_errors:

@@ -10,7 +10,7 @@ from dispatchmart import schemas
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True) -> DataFrame:
     """A delimited file; a header that does not fit the schema is an error."""
-    return spark.read.schema(schema).options(header=header, sep=sep, enforceSchema=not header).csv(path)
+    return spark.read.schema(schema).options(header=header, sep=sep, escape='"', enforceSchema=not header).csv(path)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:

@@ -29,10 +29,17 @@ def captured_messages(
 
 
 def start_capture(messages: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-    """Append what has arrived to ``path`` and stop; the next run goes on from the checkpoint."""
+    """Append what has arrived to ``path`` and stop; the next run goes on from the checkpoint.
+
+    ``csv`` writes one ``created_at~text`` line per message, so line breaks inside a
+    text become spaces there.
+    """
+    if fmt == "csv":
+        messages = messages.withColumn("tweet", F.regexp_replace("tweet", r"[\r\n]+", " "))
     writer = messages.writeStream.format(fmt).outputMode("append").trigger(availableNow=True)
     if fmt == "csv":
-        writer = writer.option("sep", "~")
+        spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer = writer.options(sep="~", escape='"', **spaces)
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 

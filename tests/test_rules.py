@@ -19,6 +19,10 @@ def apply(spark, rule, values):
     return [row.r for row in result]
 
 
+def on_words(rule, **options):
+    return lambda text: rule(A.words(text), **options)
+
+
 def check(spark, rule, cases):
     assert dict(zip(cases, apply(spark, rule, list(cases)))) == cases
 
@@ -93,7 +97,7 @@ def test_location_codes(spark):
 def test_cross_street(spark):
     check(
         spark,
-        A.remove_cross_street,
+        on_words(A.remove_cross_street),
         {
             "10 FIRST AVE ON 5 MAIN X": "10 FIRST AVE    X",
             "ON MAIN": " MAIN",
@@ -116,7 +120,7 @@ def test_ordinal_words(spark):
 def test_cut_after_street_type(spark):
     check(
         spark,
-        lambda c: A.cut_after_street_type(c, compat=True),
+        on_words(A.cut_after_street_type, compat=True),
         {
             "123 W 45 ST NEW YORK": "123 W 45 ST",
             "123 MAIN ST": "123 MAIN",
@@ -129,7 +133,7 @@ def test_cut_after_street_type(spark):
     )
     check(
         spark,
-        A.cut_after_street_type,
+        on_words(A.cut_after_street_type),
         {"123 MAIN ST": "123 MAIN ST", "123 W 45 ST NEW YORK": "123 W 45 ST", "200 BROADWAY NY": "200 BROADWAY"},
     )
 
@@ -137,7 +141,7 @@ def test_cut_after_street_type(spark):
 def test_airports(spark):
     check(
         spark,
-        A.airport_by_word,
+        lambda c: A.airport_by_word(F.get(A.words(c), F.lit(0)), c),
         {
             "JFK": "148-18 134TH ST",
             "XEWRX T": "3 BREWSTER RD",
@@ -188,7 +192,7 @@ def test_first_digit(spark):
 def test_ordinal_after_compass(spark):
     check(
         spark,
-        lambda c: A.ordinal_after_compass(c, compat=True),
+        on_words(A.ordinal_after_compass, compat=True),
         {
             "123 W 45 ST": "123 W 45th ST",
             "E 11 ST": "E 11th ST",
@@ -200,7 +204,7 @@ def test_ordinal_after_compass(spark):
             None: None,
         },
     )
-    check(spark, A.ordinal_after_compass, {"123 W 45 ST": "123 W 45TH ST", "E 21 ST": "E 21ST ST"})
+    check(spark, on_words(A.ordinal_after_compass), {"123 W 45 ST": "123 W 45TH ST", "E 21 ST": "E 21ST ST"})
 
 
 def test_ordinal_digit_runs(spark):
@@ -311,9 +315,9 @@ def test_whole_table_columns(spark):
 def test_rules_stay_in_the_jvm(spark, compat):
     df = spark.createDataFrame([("1 W 2 ST NYC",)], "a string")
     plan = df.select(
-        A.ordinal_after_compass(A.cut_after_street_type(F.col("a"), compat), compat),
+        A.ordinal_after_compass(A.words(A.cut_after_street_type(A.words(F.col("a")), compat)), compat),
         A.ordinal_digit_runs(F.col("a"), compat),
-        A.remove_cross_street(F.col("a")),
+        A.remove_cross_street(A.words(F.col("a"))),
         C.minute_of_day(F.col("a"), compat),
     )._jdf.queryExecution().toString()
     assert "Python" not in plan
