@@ -34,7 +34,7 @@ def shorten_street_type(address: Column) -> Column:
     """
     last = F.substring_index(address, " ", -1)
     short = recode(last, V.STREET_TYPES)
-    kept = F.left(address, F.length(address) - F.length(last))
+    kept = F.substring(address, F.lit(1), F.length(address) - F.length(last))
     return F.when(address.contains(" ") & short.isNotNull(), F.concat(kept, short)).otherwise(address)
 
 
@@ -42,12 +42,12 @@ def add_suburb(address: Column, location: Column) -> Column:
     """Append the suburb that precedes a suburb code in the location text."""
     suburb = F.substring(location, F.lit(1), F.greatest(F.length(location) - 2, F.lit(0)))
     return F.when(
-        F.right(location, F.lit(2)).isin(*V.SUBURB_CODES), F.concat(address, F.lit(" "), suburb)
+        F.substring(location, -2, 2).isin(*V.SUBURB_CODES), F.concat(address, F.lit(" "), suburb)
     ).otherwise(address)
 
 
 def location_code(location: Column) -> Column:
-    return F.trim(F.right(location, F.lit(2)))
+    return F.trim(F.substring(location, -2, 2))
 
 
 def location_state(code: Column, otherwise: Column) -> Column:
@@ -123,7 +123,7 @@ def ordinal_words(address: Column, compat: bool = False) -> Column:
 
 def address_tail(address: Column) -> Column:
     """Last three characters, where free-text addresses name the city."""
-    return F.right(address, F.lit(3))
+    return F.substring(address, -3, 3)
 
 
 def before_comma(address: Column) -> Column:
@@ -177,7 +177,7 @@ def ordinal_after_compass(pieces: Column, compat: bool = False) -> Column:
     """``W 45`` to ``W 45TH``; repeated spaces collapse. ``compat`` writes ``45th``."""
 
     def with_suffix(word: Column, i: Column) -> Column:
-        last = F.right(word, F.lit(1))
+        last = F.substring(word, -1, 1)
         suffix = F.when(word.rlike("1[123]$"), F.lit(_suffix(V.OTHER_ORDINAL, compat))).otherwise(
             recode(
                 last,

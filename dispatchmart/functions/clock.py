@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.columns import recode
 
-_MARK = "\u0001"
-_CLOCK = r"(?s)^.*?(?<!\d)(\d{1,2}):([0-5]\d)(?::\d{2})?(?:\.\d+)?\s*(?:([AaPp])[Mm])?\s*$"
+_CLOCK = r"(?<!\d)\d{1,2}:[0-5]\d(?::\d{2})?(?:\.\d+)?\s*(?:[AaPp][Mm])?\s*$"
 
 
 def _hours() -> dict[str, str]:
@@ -21,7 +20,7 @@ def _hours() -> dict[str, str]:
         for hour in range(1, 13)
         for text in (f"{hour}", f"{hour:02d}")
     }
-    return {_MARK + text: hour for text, hour in {**plain, **halves}.items()}
+    return {**plain, **halves}
 
 
 def day_before(day: Column) -> Column:
@@ -46,20 +45,29 @@ def minute_of_day(text: Column, compat: bool = False) -> Column:
     """
     if compat:
         cut = F.trim(F.substring(text, F.lit(1), F.greatest(F.length(text) - 6, F.lit(0))))
-        clock = F.trim(F.right(cut, F.lit(5)))
-        return F.right(F.concat(F.lit("0"), clock), F.lit(5))
-    # One match turns the text into mark, hour, A or P, colon, minute; without a match there is no mark.
-    found = F.upper(F.regexp_replace(text, _CLOCK, f"{_MARK}$1$3:$2"))
-    return F.concat(recode(F.substring_index(found, ":", 1), _hours()), F.lit(":"), F.right(found, F.lit(2)))
+        clock = F.trim(F.substring(cut, -5, 5))
+        return F.substring(F.concat(F.lit("0"), clock), -5, 5)
+    found = F.upper(F.regexp_extract(text, _CLOCK, 0))
+    half = F.translate(found, "0123456789:. \t\n\r\f\u000bM", "")
+    hour = recode(F.concat(F.substring_index(found, ":", 1), half), _hours())
+    return F.concat(hour, F.lit(":"), F.substring(F.substring_index(found, ":", 2), -2, 2))
 
 
 def shift_key(minute: Column, compat: bool = False) -> Column:
-    """Shift of an ``HH:mm`` text; ``compat`` puts midnight outside every shift."""
-    matched = F.coalesce(
-        *[
-            F.when(minute.between(first, last) & ~(F.lit(compat) & (minute == "00:00")), F.lit(number))
+    """Shift of an ``HH:mm`` text, -1 for anything else.
+
+    ``compat`` compares the text as it is and puts midnight outside every shift. The
+    result is never NULL, so joins on it need no filter that computes it again.
+    """
+    if compat:
+        cases = [
+            F.when(minute.between(first, last) & (minute != "00:00"), F.lit(number))
             for number, (first, last) in V.SHIFTS.items()
-        ],
-        F.lit(V.UNKNOWN_KEY),
-    )
-    return F.when(minute.isNotNull(), matched)
+        ]
+        return F.coalesce(*cases, F.lit(V.UNKNOWN_KEY))
+    hours = {
+        f"{hour:02d}": number
+        for number, (first, last) in V.SHIFTS.items()
+        for hour in range(int(first[:2]), int(last[:2]) + 1)
+    }
+    return recode(F.substring(minute, 1, 2), hours, F.lit(V.UNKNOWN_KEY))

@@ -36,12 +36,17 @@ def merge_date_time(df: DataFrame) -> DataFrame:
     return df.withColumn("datetime", merged).drop("date", "time")
 
 
+def _literal(value: str | int) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def recode(value: Column, table: dict[Any, Any], otherwise: Column | None = None) -> Column:
     """Look ``value`` up in a fixed table; ``otherwise`` (NULL when not given) for the rest.
 
     A map literal, so that ``value`` is computed once whatever the size of the table.
     """
-    found = F.create_map(*[F.lit(item) for pair in table.items() for item in pair])[value]
+    entries = ", ".join(_literal(item) for pair in table.items() for item in pair)
+    found = F.expr(f"map({entries})")[value]
     return found if otherwise is None else F.coalesce(found, otherwise)
 
 

@@ -19,7 +19,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
-            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+            # Small tables, too, shall be spread over several ranges.
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

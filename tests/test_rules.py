@@ -273,7 +273,7 @@ def test_minutes(spark):
 
 
 def test_shifts(spark):
-    edges = {"00:01": 1, "07:59": 1, "08:00": 2, "15:59": 2, "16:00": 3, "23:59": 3, "zz": -1, None: None}
+    edges = {"00:01": 1, "07:59": 1, "08:00": 2, "15:59": 2, "16:00": 3, "23:59": 3, "zz": -1, None: -1}
     check(spark, C.shift_key, {**edges, "00:00": 1})
     check(spark, lambda c: C.shift_key(c, compat=True), {**edges, "00:00": -1})
 
