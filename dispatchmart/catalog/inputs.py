@@ -174,6 +174,14 @@ SELECT o_orderkey, {us_date('o_orderdate')} AS `DATE`, {_CLOCK} AS `TIME`,
 FROM {{orders}}
 """
 
+PICKUP_PLACES = f"""
+SELECT DISTINCT {text('c_custkey % 900 + 1')} || ' BROADWAY YORK' AS street_address, 'NEW YORK CITY' AS city, 'NEW YORK' AS state,
+       CAST(c_custkey % 900 AS DOUBLE) / 4 AS latitude, CAST(-(c_custkey % 900) AS DOUBLE) AS longitude
+FROM {{customer}}
+UNION ALL
+SELECT '148-18 134TH ST', 'JAMAICA', 'NEW YORK', 40.5, -73.75
+"""
+
 # Driver dimension: customers with one closed and one current version, suppliers with a current one.
 _OPEN = "DATE '9999-12-31'"
 DRIVER_DIM = f"""

@@ -89,6 +89,14 @@ def _location_city(code: str) -> str:
       WHEN 'WK' THEN 'NEWARK' WHEN 'AG' THEN 'EAST ELMHURST' ELSE {code} END END"""
 
 
+def _location_city_compat(code: str) -> str:
+    sql = f"CASE WHEN {code} IN ('NJ', 'LI', 'PA', 'CT', 'WE') THEN '' ELSE {code} END"
+    for pair in ("M MANHATTAN", "BK BROOKLYN", "BX BRONX", "QU QUEENS", "FK JAMAICA", "WK NEWARK", "AG EAST ELMHURST"):
+        key, city = pair.split(" ", 1)
+        sql = f"replace({sql}, '{key}', '{city}')"
+    return sql
+
+
 def _blanked(city: str, state: str) -> str:
     return f"CASE WHEN {state} IN ('NEW JERSEY', 'CONNECTICUT', 'PENNSYLVANIA', 'LONG ISLAND') THEN '' ELSE {city} END"
 
@@ -123,12 +131,19 @@ def _fragment_city(tail: str) -> str:
       WHEN 'LYN' THEN 'BROOKLYN' ELSE trim({tail}) END"""
 
 
-def _digit_run(street: str) -> str:
+def _fragment_city_compat(tail: str) -> str:
+    step = f"replace(replace({tail}, 'ONX', 'BRONX'), 'BX', 'BRONX')"
+    named = f"CASE WHEN {step} IN ('NYC', 'NY', 'ORK') THEN 'NEW YORK CITY' ELSE {step} END"
+    return f"replace(regexp_replace(replace({named}, 'QU', 'QUEENS'), 'NY.', 'YONKERS', 'g'), 'LYN', 'BROOKLYN')"
+
+
+def _digit_run(street: str, compat: bool = False) -> str:
     """For streets with one digit run: a suffix unless nothing or a suffix follows."""
     part = f"regexp_extract({street}, '^([^0-9]*)([0-9]+)(.*)$', {{}})"
     before, digits, rest = part.format(1), part.format(2), part.format(3)
-    return f"""CASE WHEN {digits} = '' OR {rest} = '' OR regexp_matches({rest}, '^(ST|ND|RD|TH)\\b') THEN {street}
-      ELSE {before} || {digits} || {_suffix(digits)} || ' ' || substr({rest}, 2) END"""
+    suffixed = "false" if compat else f"regexp_matches({rest}, '^(ST|ND|RD|TH)\\b')"
+    return f"""CASE WHEN {digits} = '' OR {rest} = '' OR {suffixed} THEN {street}
+      ELSE {before} || {digits} || {_suffix(digits, compat)} || ' ' || substr({rest}, 2) END"""
 
 
 # Text rules
@@ -170,12 +185,10 @@ oracle(
         FROM (SELECT o_orderkey, {_tokens('address')} AS t FROM src) AS x""",
     src=I.COMPASS_ADDRESSES,
 )
-_RUN = "regexp_extract(street, '^([^0-9]*)([0-9]+)(.*)$', {})"
 oracle(
     "ordinal_digit_runs",
     f"""SELECT o_orderkey, {_digit_run('street')} AS street,
-        CASE WHEN {_RUN.format(3)} = '' THEN street
-          ELSE {_RUN.format(1)} || {_RUN.format(2)} || {_suffix(_RUN.format(2), lower=True)} || ' ' || substr({_RUN.format(3)}, 2) END AS street_compat
+        {_digit_run('street', compat=True)} AS street_compat
         FROM src""",
     src=I.DIGIT_STREETS,
 )
@@ -189,7 +202,7 @@ oracle(
 oracle(
     "state_city_codes",
     f"""SELECT o_orderkey, location_state, {_blanked('city', 'location_state')} AS city,
-        {_blanked("replace(replace(replace(replace(replace(replace(replace(CASE WHEN city = '' THEN '' ELSE code END, 'M', 'MANHATTAN'), 'BK', 'BROOKLYN'), 'BX', 'BRONX'), 'QU', 'QUEENS'), 'FK', 'JAMAICA'), 'WK', 'NEWARK'), 'AG', 'EAST ELMHURST')", 'location_state')} AS city_compat,
+        {_blanked(_location_city_compat('code'), 'location_state')} AS city_compat,
         {_state_name('left(state, 2)', 'state')} AS state
         FROM (SELECT *, {_location_city('code')} AS city, {_location_state('code')} AS location_state
               FROM (SELECT *, {_location_code('location')} AS code FROM src) AS x) AS y""",
@@ -206,10 +219,7 @@ oracle(
 oracle(
     "city_fragment",
     f"""SELECT o_orderkey, replace(split_part(address, ',', 1), 'NEW', ' ') AS street_address,
-        {_fragment_city('tail')} AS city,
-        replace(regexp_replace(replace(CASE WHEN step IN ('NYC', 'NY', 'ORK') THEN 'NEW YORK CITY' ELSE step END, 'QU', 'QUEENS'), 'NY.', 'YONKERS', 'g'), 'LYN', 'BROOKLYN') AS city_compat
-        FROM (SELECT *, replace(replace(tail, 'ONX', 'BRONX'), 'BX', 'BRONX') AS step
-              FROM (SELECT *, right(address, 3) AS tail FROM src) AS x) AS y""",
+        {_fragment_city('right(address, 3)')} AS city, {_fragment_city_compat('right(address, 3)')} AS city_compat FROM src""",
     src=I.FRAGMENTS,
 )
 
@@ -287,10 +297,13 @@ oracle(
 
 # Feeds
 
-_LOCATION = f"""
-SELECT datetime, trim({_number_words(_without_cross_street(_tokens('street')))}) AS street_address,
+
+def _location(compat: bool = False) -> str:
+    city = _location_city_compat("code") if compat else _location_city("code")
+    return f"""
+SELECT datetime, trim({_number_words(_without_cross_street(_tokens('street')), fourth=not compat)}) AS street_address,
        {_blanked('city', 'state')} AS city, state, 'SKYLINE' AS source
-FROM (SELECT datetime, trim({_by_location('street', 'location')}) AS street, {_location_city('code')} AS city,
+FROM (SELECT datetime, trim({_by_location('street', 'location')}) AS street, {city} AS city,
              {_location_state('code')} AS state
       FROM (SELECT datetime, location, {_location_code('location')} AS code,
                    trim(CASE WHEN right(location, 2) IN ('NJ', 'CT', 'LI', 'PA')
@@ -299,38 +312,48 @@ FROM (SELECT datetime, trim({_by_location('street', 'location')}) AS street, {_l
                   FROM (SELECT trim(replace(upper("Date"), '/', '-') || ' ' || upper("Time")) AS datetime,
                                trim(upper("Street_Address")) AS address, trim(upper("City_State")) AS location
                         FROM location_src) AS a) AS b) AS c) AS d"""
-_FREE_TEXT = f"""
-SELECT datetime, trim({_compass(_tokens("CASE WHEN regexp_matches(step, '[0-9]') THEN regexp_extract(step, '[0-9].*') ELSE step END"))}) AS street_address,
+
+
+def _free_text(compat: bool = False) -> str:
+    digits = "CASE WHEN regexp_matches(step, '[0-9]') THEN regexp_extract(step, '[0-9].*') ELSE step END"
+    city = f"trim({_fragment_city_compat('right(entered, 3)')})" if compat else _fragment_city("right(entered, 3)")
+    inside = "p < len(t)" if compat else "p IS NOT NULL"
+    return f"""
+SELECT datetime, trim({_compass(_tokens(digits), lower=compat)}) AS street_address,
        city, 'NEW YORK' AS state, 'FIRSTCLASS' AS source
 FROM (SELECT datetime, city, replace({_by_word('address')}, 'NEW', ' ') AS step
-      FROM (SELECT datetime, city, {_kept('t', 'p', 'p IS NOT NULL')} AS address
+      FROM (SELECT datetime, city, {_kept('t', 'p', inside)} AS address
             FROM (SELECT datetime, city, t, {_first_cutter('t')} AS p
-                  FROM (SELECT datetime, {_fragment_city('right(entered, 3)')} AS city, {_tokens("split_part(entered, ',', 1)")} AS t
+                  FROM (SELECT datetime, {city} AS city, {_tokens("split_part(entered, ',', 1)")} AS t
                         FROM (SELECT trim(replace(upper("DATE"), '/', '-') || ' ' || upper("TIME")) AS datetime,
                                      trim(upper("PICK UP ADDRESS")) AS entered FROM free_text_src) AS a) AS b) AS c) AS d) AS e"""
-_SPLIT_FIELD = f"""
+
+
+def _split_field(compat: bool = False) -> str:
+    return f"""
 SELECT datetime, {_short_street("(coalesce(a_house, house) || ' ' || coalesce(a_street, street))")} AS street_address,
        coalesce(a_city, city) AS city, coalesce(a_state, {_state_name('left(state, 2)', 'state')}) AS state, 'DIAL7' AS source
 FROM (SELECT trim(replace(upper("DATE"), '/', '-') || ' ' || upper("TIME")) AS datetime, trim(upper("STATE")) AS state,
-             trim(upper("PUFROM")) AS city, trim(upper("ADDRESS")) AS house, trim({_digit_run('upper("STREET")')}) AS street
+             trim(upper("PUFROM")) AS city, trim(upper("ADDRESS")) AS house, trim({_digit_run('upper("STREET")', compat)}) AS street
       FROM split_field_src) AS s LEFT JOIN {_AIRPORTS} ON left(s.state, 2) = a.code"""
 
-oracle("location_feed", _LOCATION, location_src=I.LOCATION_FEED)
-oracle("free_text_feed", _FREE_TEXT, free_text_src=I.FREE_TEXT_FEED)
-oracle("split_field_feed", _SPLIT_FIELD, split_field_src=I.SPLIT_FIELD_FEED)
+
+for _name, _compat in (("", False), ("_compat", True)):
+    oracle(f"location_feed{_name}", _location(_compat), location_src=I.LOCATION_FEED)
+    oracle(f"free_text_feed{_name}", _free_text(_compat), free_text_src=I.FREE_TEXT_FEED)
+    oracle(f"split_field_feed{_name}", _split_field(_compat), split_field_src=I.SPLIT_FIELD_FEED)
 oracle(
     "standard_pickups",
-    f"""WITH loc AS ({_LOCATION}), free AS ({_FREE_TEXT}), split AS ({_SPLIT_FIELD}),
-        places AS (SELECT DISTINCT street_address, city, state FROM loc),
+    f"""WITH loc AS ({_location()}), free AS ({_free_text()}), split AS ({_split_field()}),
         united AS (SELECT * FROM loc UNION ALL SELECT * FROM free UNION ALL SELECT * FROM split)
         SELECT u.datetime, u.street_address, u.city, u.state, u.source,
-               CASE WHEN p.state IS NOT NULL THEN CAST(length(p.street_address) AS DOUBLE) END AS latitude,
-               CASE WHEN p.state IS NOT NULL THEN CAST(length(p.city) AS DOUBLE) END AS longitude
+               CAST(p.latitude AS DOUBLE) AS latitude, CAST(p.longitude AS DOUBLE) AS longitude
         FROM united AS u LEFT JOIN places AS p
           ON u.street_address = p.street_address AND u.city = p.city AND u.state = p.state""",
     location_src=I.LOCATION_FEED,
     free_text_src=I.FREE_TEXT_FEED,
     split_field_src=I.SPLIT_FIELD_FEED,
+    places=I.PICKUP_PLACES,
 )
 
 # Dimension and facts
@@ -382,16 +405,6 @@ oracle("scd2_unchanged", f"WITH {_RESOLVED} {_UNCHANGED}", **_SCD)
 oracle("scd2_fired", f"WITH {_RESOLVED} {_versions(chr(39) + 'FIRED' + chr(39))}", **_SCD)
 oracle("scd2_changed", f"WITH {_RESOLVED} {_versions(chr(39) + 'CHANGE' + chr(39))}", **_SCD)
 oracle("scd2_hired", f"WITH {_RESOLVED} {_HIRED}", **_SCD)
-oracle(
-    "scd2_dimension",
-    f"""WITH {_RESOLVED}, versions AS ({_versions("'FIRED', 'CHANGE'")}), hired AS ({_HIRED}), same AS ({_UNCHANGED}),
-        united AS (SELECT * FROM same UNION ALL SELECT * FROM versions UNION ALL SELECT * FROM hired)
-        SELECT row_number() OVER (ORDER BY driverkey, effectivedate, expireddate, drivername, shifttimekey, coveragekey, companykey,
-          hiredate, firedate, loaddate, current_record) AS driverrecordkey,
-        driverkey, drivername, shifttimekey, coveragekey, companykey, hiredate, firedate, effectivedate, loaddate, expireddate,
-        current_record FROM united""",
-    **_SCD,
-)
 oracle(
     "scd2_rejects",
     f"""WITH {_RESOLVED} SELECT drivername, action, beginshift, endshift, coverage, source, effdt, filedt, reason
@@ -402,30 +415,33 @@ oracle(
     **_SCD,
 )
 _FOUND = "r.shifttimekey IS NOT NULL AND r.coveragekey IS NOT NULL AND r.companykey IS NOT NULL"
-oracle(
-    "scd2_fired_compat",
-    f"""WITH {_RESOLVED} SELECT -1 AS driverrecordkey, d.driverkey, d.drivername, d.shifttimekey, d.coveragekey, d.companykey, d.hiredate,
-        r.effdt AS firedate, r.effdt AS effectivedate, r.filedt AS loaddate, DATE '9999-12-31' AS expireddate, 1 AS current_record
-        FROM dim AS d JOIN resolved AS r ON d.drivername = r.drivername AND r.action = 'FIRED'""",
-    **_SCD,
-)
-oracle(
-    "scd2_changed_compat",
-    f"""WITH {_RESOLVED} SELECT d.driverrecordkey, d.driverkey, d.drivername, r.shifttimekey, r.coveragekey, r.companykey, d.hiredate,
-        d.firedate, d.effectivedate, d.loaddate, r.effdt - 1 AS expireddate, CASE WHEN d.current_record = 1 THEN 0 END AS current_record
-        FROM dim AS d JOIN resolved AS r ON d.drivername = r.drivername AND r.action = 'CHANGE' AND {_FOUND}
-        UNION ALL
-        SELECT d.driverrecordkey, d.driverkey, d.drivername, r.shifttimekey, r.coveragekey, r.companykey, d.hiredate,
-        DATE '9999-12-31', r.effdt, r.filedt, DATE '9999-12-31', 1
-        FROM dim AS d JOIN resolved AS r ON d.drivername = r.drivername AND r.action = 'CHANGE' AND {_FOUND}""",
-    **_SCD,
-)
-oracle(
-    "scd2_unchanged_compat",
-    f"SELECT DISTINCT {_COLUMNS} FROM dim WHERE drivername NOT IN (SELECT drivername FROM feed)",
-    dim=I.DRIVER_DIM,
-    feed=I.DRIVER_FEED,
-)
+_FIRED_COMPAT = """SELECT -1 AS driverrecordkey, d.driverkey, d.drivername, d.shifttimekey, d.coveragekey, d.companykey, d.hiredate,
+    r.effdt AS firedate, r.effdt AS effectivedate, r.filedt AS loaddate, DATE '9999-12-31' AS expireddate, 1 AS current_record
+  FROM dim AS d JOIN resolved AS r ON d.drivername = r.drivername AND r.action = 'FIRED'"""
+_CHANGED_COMPAT = f"""SELECT d.driverrecordkey, d.driverkey, d.drivername, r.shifttimekey, r.coveragekey, r.companykey, d.hiredate,
+    d.firedate, d.effectivedate, d.loaddate, r.effdt - 1 AS expireddate, CASE WHEN d.current_record = 1 THEN 0 END AS current_record
+  FROM dim AS d JOIN resolved AS r ON d.drivername = r.drivername AND r.action = 'CHANGE' AND {_FOUND}
+  UNION ALL
+  SELECT d.driverrecordkey, d.driverkey, d.drivername, r.shifttimekey, r.coveragekey, r.companykey, d.hiredate,
+    DATE '9999-12-31', r.effdt, r.filedt, DATE '9999-12-31', 1
+  FROM dim AS d JOIN resolved AS r ON d.drivername = r.drivername AND r.action = 'CHANGE' AND {_FOUND}"""
+_UNCHANGED_COMPAT = f"SELECT DISTINCT {_COLUMNS} FROM dim WHERE drivername NOT IN (SELECT drivername FROM feed)"
+oracle("scd2_fired_compat", f"WITH {_RESOLVED} {_FIRED_COMPAT}", **_SCD)
+oracle("scd2_changed_compat", f"WITH {_RESOLVED} {_CHANGED_COMPAT}", **_SCD)
+oracle("scd2_unchanged_compat", _UNCHANGED_COMPAT, dim=I.DRIVER_DIM, feed=I.DRIVER_FEED)
+for _name, _parts in (
+    ("scd2_dimension", (_UNCHANGED, _versions("'FIRED', 'CHANGE'"), _HIRED)),
+    ("scd2_dimension_compat", (_UNCHANGED_COMPAT, _FIRED_COMPAT, _CHANGED_COMPAT, _HIRED)),
+):
+    oracle(
+        _name,
+        f"""WITH {_RESOLVED}, united AS ({" UNION ALL ".join(f"SELECT * FROM ({part}) AS p" for part in _parts)})
+        SELECT row_number() OVER (ORDER BY driverkey, effectivedate, expireddate, drivername, shifttimekey, coveragekey, companykey,
+          hiredate, firedate, loaddate, current_record NULLS FIRST) AS driverrecordkey,
+        driverkey, drivername, shifttimekey, coveragekey, companykey, hiredate, firedate, effectivedate, loaddate, expireddate,
+        current_record FROM united""",
+        **_SCD,
+    )
 oracle(
     "dimension_as_text",
     """SELECT driverrecordkey, driverkey, drivername, shifttimekey, coveragekey, companykey, strftime(hiredate, '%m/%d/%Y') AS hiredate,
@@ -434,18 +450,26 @@ oracle(
     dim=I.DRIVER_DIM,
 )
 _FACT_INPUTS = {"dim": I.DRIVER_DIM, "coverages": I.COVERAGE_DIM, "companies": I.COMPANY_DIM}
-_KEYED = f"""places AS (SELECT event_id, strftime(ts, '%H:%M') AS datetime, 'USER ' || user_id AS street_address,
+
+
+def _keyed(compat: bool = False) -> str:
+    clock, midnight = ("%I:%M", "00:01") if compat else ("%H:%M", "00:00")
+    return f"""places AS (SELECT event_id, strftime(ts, '{clock}') AS datetime, 'USER ' || user_id AS street_address,
     'NATION_' || (user_id % 26) AS city, event_type AS state,
     'Supplier#' || lpad(CAST(event_id % (SELECT count(*) FROM supplier) AS VARCHAR), 9, '0') AS source,
     value AS latitude, CAST(event_id AS DOUBLE) AS longitude FROM events),
-  keyed AS (SELECT p.*, {_SHIFT.format('datetime', '00:00')} AS shifttimekey, coalesce(g.coveragekey, -1) AS coveragekey, c.companykey
+  keyed AS (SELECT p.*, {_SHIFT.format('datetime', midnight)} AS shifttimekey, coalesce(g.coveragekey, -1) AS coveragekey, c.companykey
     FROM places AS p LEFT JOIN coverages AS g ON p.city = g.coverage LEFT JOIN companies AS c ON p.source = c.company)"""
-oracle(
-    "fact_with_keys",
-    f"""WITH {_KEYED} SELECT d.driverrecordkey, d.driverkey, datetime, street_address, city, state, source, latitude, longitude
+
+
+_KEYED = _keyed()
+for _name, _compat in (("fact_with_keys", False), ("fact_with_keys_compat", True)):
+    oracle(
+        _name,
+        f"""WITH {_keyed(_compat)} SELECT d.driverrecordkey, d.driverkey, datetime, street_address, city, state, source, latitude, longitude
         FROM keyed AS k JOIN dim AS d USING (shifttimekey, coveragekey, companykey) WHERE d.current_record = 1""",
-    **_FACT_INPUTS,
-)
+        **_FACT_INPUTS,
+    )
 oracle(
     "fact_without_driver",
     f"""WITH {_KEYED} SELECT datetime, street_address, city, state, source, latitude, longitude, shifttimekey, coveragekey, companykey

@@ -284,6 +284,21 @@ def split_field_feed(spark, sf_dir):
     return P.split_field_feed(I.derive(spark, sf_dir, I.SPLIT_FIELD_FEED).drop("o_orderkey"))
 
 
+@query
+def location_feed_compat(spark, sf_dir):
+    return P.location_feed(I.derive(spark, sf_dir, I.LOCATION_FEED).drop("o_orderkey"), compat=True)
+
+
+@query
+def free_text_feed_compat(spark, sf_dir):
+    return P.free_text_feed(I.derive(spark, sf_dir, I.FREE_TEXT_FEED).drop("o_orderkey"), compat=True)
+
+
+@query
+def split_field_feed_compat(spark, sf_dir):
+    return P.split_field_feed(I.derive(spark, sf_dir, I.SPLIT_FIELD_FEED).drop("o_orderkey"), compat=True)
+
+
 @query
 def standard_pickups(spark, sf_dir):
     """The three feeds as CSV files, read back, standardized, located and united."""
@@ -292,11 +307,7 @@ def standard_pickups(spark, sf_dir):
         paths[name] = scratch_path(spark, name.lower())
         L.write_csv(I.derive(spark, sf_dir, getattr(I, name)).drop("o_orderkey"), paths[name])
     files = [read_csv(spark, path, getattr(schemas, name)) for name, path in paths.items()]
-    places = P.location_feed(I.derive(spark, sf_dir, I.LOCATION_FEED).drop("o_orderkey")).select("street_address", "city", "state")
-    gazetteer = places.distinct().select(
-        "*", F.length("street_address").cast("double").alias("latitude"), F.length("city").cast("double").alias("longitude")
-    )
-    return P.standard_pickups(*files, gazetteer, budget=None)
+    return P.standard_pickups(*files, I.derive(spark, sf_dir, I.PICKUP_PLACES), budget=None)
 
 
 # Dimension and facts
@@ -362,14 +373,20 @@ def scd2_unchanged_compat(spark, sf_dir):
     return D.compat_unchanged(_dim(spark, sf_dir), I.derive(spark, sf_dir, I.DRIVER_FEED))
 
 
+@query
+def scd2_dimension_compat(spark, sf_dir):
+    feed = I.derive(spark, sf_dir, I.DRIVER_FEED)
+    return D.compat_update_dimension(_dim(spark, sf_dir), feed, _lookups(spark, sf_dir))
+
+
 @query
 def dimension_as_text(spark, sf_dir):
     return D.dimension_as_text(_dim(spark, sf_dir))
 
 
-def _keyed_pickups(spark, sf_dir):
+def _keyed_pickups(spark, sf_dir, compat=False):
     lookups = _lookups(spark, sf_dir)
-    return X.add_pickup_keys(I.derive(spark, sf_dir, I.PICKUPS), lookups.coverages, lookups.companies)
+    return X.add_pickup_keys(I.derive(spark, sf_dir, I.PICKUPS), lookups.coverages, lookups.companies, compat)
 
 
 @query
@@ -377,6 +394,11 @@ def fact_with_keys(spark, sf_dir):
     return X.facts_with_keys(_keyed_pickups(spark, sf_dir), _dim(spark, sf_dir))
 
 
+@query
+def fact_with_keys_compat(spark, sf_dir):
+    return X.facts_with_keys(_keyed_pickups(spark, sf_dir, compat=True), _dim(spark, sf_dir))
+
+
 @query
 def fact_without_driver(spark, sf_dir):
     return X.pickups_without_driver(_keyed_pickups(spark, sf_dir), _dim(spark, sf_dir))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
 
@@ -35,8 +35,10 @@ def lookup_join(
 
     A measured small side is broadcast. Any other side is copied once per salt and
     the rows of ``big`` are salted by the partition they come from, so the rows of
-    one hot key meet in ``salts`` tasks instead of one. The partition number does
+    one hot key meet in ``salts`` partitions instead of one. The partition number does
     not depend on the order of rows, so a task that runs again salts the same way.
+    Both sides are shuffled right below the join, so adaptive execution can split
+    what is still too large.
 
     ``bound`` is a table no smaller than ``side`` that is cheaper to measure, such as
     the one ``side`` was grouped from.

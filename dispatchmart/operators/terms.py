@@ -46,7 +46,10 @@ def top_term_list(df: DataFrame, k: int = V.TAG_TERMS, text: str = "tweet") -> C
 
 
 def tag(words: Column, leading: Column) -> Column:
-    """1 when more than two of the leading terms occur in the message."""
+    """1 when more than two of the leading terms occur in the message.
+
+    No leading term is a stop word, so ``words`` may still hold stop words.
+    """
     return (F.size(F.array_intersect(words, leading)) > V.TAG_THRESHOLD).cast("int")
 
 
@@ -55,7 +58,7 @@ def add_tag(df: DataFrame, leading: Column | None = None, text: str = "tweet") -
     if leading is None:
         leading = top_term_list(df, text=text)
     cleaned = df.withColumn(text, clean_text(F.col(text)))
-    return cleaned.withColumn("tags", tag(without_stop_words(message_words(F.col(text))), leading))
+    return cleaned.withColumn("tags", tag(F.split(F.col(text), r"\W"), leading))
 
 
 def vocabulary(df: DataFrame, text: str = "tweet", size: int = V.VOCABULARY_LIMIT) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.operators.sets import insert_missing_sources
-from dispatchmart.session import scratch_path
+from dispatchmart.session import checkpoint_dir
 
 _BAD = "_corrupt_record"
 
@@ -48,14 +48,11 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) ->
 def full_refresh(df: DataFrame, target: str, partition_by: tuple[str, ...] = ()) -> None:
     """Replace everything the target holds.
 
-    The new content is computed into a staging folder first, and the target is only
+    The new content is computed into a checkpoint first, and the target is only
     touched when that has succeeded. ``df`` may therefore read the target.
     """
-    spark = df.sparkSession
-    staging = scratch_path(spark, "staging")
-    df.write.parquet(staging)
-    staged = spark.read.schema(df.schema).parquet(staging)
-    _write(staged.write.mode("overwrite").partitionBy(*partition_by), target)
+    checkpoint_dir(df.sparkSession)
+    _write(df.checkpoint().write.mode("overwrite").partitionBy(*partition_by), target)
 
 
 def append_load(df: DataFrame, target: str, partition_by: tuple[str, ...] = ()) -> None:
