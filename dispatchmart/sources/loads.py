@@ -1,6 +1,7 @@
 """Writes: files, full refresh, append, load with an error budget, second source.
 
-A target that contains a slash is a folder of parquet files, any other a table name.
+A target that contains a slash is a folder of parquet files, any other a table name;
+with JDBC options it is a table of that database.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ def read_target(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target) if "/" in target else spark.table(target)
 
 
-def _write(writer: DataFrameWriter, target: str) -> None:
-    if "/" in target:
+def _write(writer: DataFrameWriter, target: str, jdbc: dict[str, str] | None) -> None:
+    if jdbc is not None:
+        writer.format("jdbc").options(**jdbc, dbtable=target, truncate=True).save()
+    elif "/" in target:
         writer.parquet(target)
     else:
         writer.format("parquet").saveAsTable(target)
@@ -45,19 +48,23 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) ->
     df.write.mode("overwrite").options(header=header, sep=sep, escape='"', **spaces).csv(path)
 
 
-def full_refresh(df: DataFrame, target: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replace everything the target holds.
+def full_refresh(
+    df: DataFrame, target: str, partition_by: tuple[str, ...] = (), jdbc: dict[str, str] | None = None
+) -> None:
+    """Replace everything the target holds; a database table is truncated, not dropped.
 
     The new content is computed into a checkpoint first, and the target is only
     touched when that has succeeded. ``df`` may therefore read the target.
     """
     checkpoint_dir(df.sparkSession)
-    _write(df.checkpoint().write.mode("overwrite").partitionBy(*partition_by), target)
+    _write(df.checkpoint().write.mode("overwrite").partitionBy(*partition_by), target, jdbc)
 
 
-def append_load(df: DataFrame, target: str, partition_by: tuple[str, ...] = ()) -> None:
+def append_load(
+    df: DataFrame, target: str, partition_by: tuple[str, ...] = (), jdbc: dict[str, str] | None = None
+) -> None:
     """Add to what the target holds."""
-    _write(df.write.mode("append").partitionBy(*partition_by), target)
+    _write(df.write.mode("append").partitionBy(*partition_by), target, jdbc)
 
 
 def load_with_error_budget(
