@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchmart.functions.messages import clean_text, message_words
+from dispatchmart.functions.messages import clean_text
 from dispatchmart.operators.joins import BROADCAST_ROWS, SALTS, fits_broadcast, lookup_join
 from dispatchmart.session import checkpoint_dir
 
 _KEY = "_message"
 
 
-def text_scores(df: DataFrame, lexicon: DataFrame, key: str, text: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def text_scores(
+    df: DataFrame, lexicon: DataFrame, key: str, text: str, max_rows: int = BROADCAST_ROWS, cleaned: bool = False
+) -> DataFrame:
     """Mean polarity and subjectivity of the lexicon words per ``key``; keys without any are absent.
 
+    ``cleaned`` says that the text has been through ``clean_text``.
+
     A measured small lexicon is broadcast and only sums per message are shuffled.
     Beyond that, words are first counted per message, and the salted join keeps a
     word that most messages use from meeting in one task.
     """
-    words = df.select(key, F.explode(message_words(clean_text(F.col(text)))).alias("term"))
+    letters = F.col(text) if cleaned else clean_text(F.col(text))
+    words = df.select(key, F.explode(F.split(letters, r"\W")).alias("term")).where(F.col("term") != "")
     entries = lexicon.groupBy("term").agg(
         F.min(F.struct(*[F.col(c).cast("double").alias(c) for c in ("polarity", "subjectivity")])).alias("_entry")
     )
@@ -36,7 +41,12 @@ def text_scores(df: DataFrame, lexicon: DataFrame, key: str, text: str, max_rows
 
 
 def add_sentiment(
-    df: DataFrame, lexicon: DataFrame, text: str = "tweet", key: str | None = None, max_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    lexicon: DataFrame,
+    text: str = "tweet",
+    key: str | None = None,
+    max_rows: int = BROADCAST_ROWS,
+    cleaned: bool = False,
 ) -> DataFrame:
     """``polarity`` and ``subjectivity``, 0 when no word is in the lexicon.
 
@@ -48,11 +58,11 @@ def add_sentiment(
         checkpoint_dir(df.sparkSession)
         key = _KEY
         df = df.checkpoint().withColumn(key, F.monotonically_increasing_id())
-    scored = df.join(text_scores(df, lexicon, key, text, max_rows), key, "left")
+    scored = df.join(text_scores(df, lexicon, key, text, max_rows, cleaned), key, "left")
     filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("polarity", "subjectivity")]
     return scored.select(*columns, *filled)
 
 
 def message_facts(tagged: DataFrame, lexicon: DataFrame, text: str = "tweet", key: str | None = None) -> DataFrame:
-    """Tagged messages with their sentiment and without their count vectors."""
-    return add_sentiment(tagged.drop("features"), lexicon, text, key)
+    """Tagged messages, whose text is clean, with their sentiment and without their count vectors."""
+    return add_sentiment(tagged.drop("features"), lexicon, text, key, cleaned=True)

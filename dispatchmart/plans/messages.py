@@ -14,5 +14,5 @@ def score_messages(
     """Cleaned text, tag from the messages' own leading terms, polarity and subjectivity."""
     tagged = add_tag(messages, text=text)
     if features:
-        tagged = add_features(tagged, text=text)
+        tagged = add_features(tagged, text).drop("words_token", "words_clean")
     return message_facts(tagged, lexicon, text, key)
