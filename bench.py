@@ -27,19 +27,14 @@ HEADLINE = [
     "standard_pickups",
     "time_to_shift",
     "geocode_gazetteer",
-    "geocode_budget",
     "split_head_rest",
     "except_distinct",
     "not_in_insert",
     "surrogate_keys",
     "scd2_unchanged",
-    "scd2_fired",
-    "scd2_changed",
-    "scd2_hired",
     "scd2_dimension",
     "fact_with_keys",
     "term_counts",
-    "top_terms",
     "top_term_tag",
     "count_vectors",
     "lexicon_sentiment",

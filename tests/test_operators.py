@@ -52,6 +52,14 @@ def test_lookup_join_paths(spark):
         J.lookup_join(big, side, ["k"], "full")
 
 
+def test_a_hot_key_is_shared_by_many_tasks(spark):
+    big = spark.range(80000).select(F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    side = big.distinct().withColumn("v", F.lit(1))
+    joined = J.lookup_join(big.repartition(16), side, ["k"], "left", max_rows=0)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 80000 and max(sizes) < 40000
+
+
 # Order
 
 
@@ -103,6 +111,8 @@ def test_next_and_latest_crosses_ranges(spark):
             latest = here[3] if here[3] is not None else latest
             want[(group, here[1])] = (latest, after[2] if after else None)
     assert got == want
+    hot = O.in_order(df, ["g", "at"], rows_differ=True).where("g = 1")
+    assert hot.select(O.RANGE).distinct().count() > 1
 
 
 # Sets, head and rest
