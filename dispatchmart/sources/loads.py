@@ -79,8 +79,8 @@ def load_with_error_budget(
 ) -> LoadResult:
     """Load a delimited file; bad rows are set aside while there are fewer than ``max_errors``.
 
-    The first pass stops looking once it has found ``max_errors`` bad rows, and writes
-    the few it found to ``quarantine``; the target is untouched when the load fails.
+    The first pass writes the bad rows to ``quarantine``; each task stops at
+    ``max_errors`` of them. The target is untouched when the load fails.
     All columns are parsed in both passes, so both see the same rows as bad.
     """
     marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
