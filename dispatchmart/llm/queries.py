@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts
+from dispatchmart.llm import bpe, classifier, counts, rules
+from dispatchmart.llm.oracles import QUALITY_RULES
 from dispatchmart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,21 @@ def op4_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op5_quality_rules(spark, sf_dir):
+    return rules.measure(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("lost_share", 6).alias("lost_share"),
+    )
+
+
 @query
 def op7_token_counts(spark, sf_dir):
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -41,3 +57,6 @@ def _quality_labels(spark, sf_dir):
 def op9_quality_classifier(spark, sf_dir):
     scored = classifier.classify(table(spark, sf_dir, "documents"), _quality_labels(spark, sf_dir))
     return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
+
+
+ORACLES["op5_quality_rules"] = QUALITY_RULES
