@@ -68,9 +68,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
-        self._encoding = tiktoken.Encoding(
-            "local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {}
-        )
+        self._ids = special or {}
+        strings = sorted(self._ids, key=len, reverse=True)
+        self._special = re.compile(f"({'|'.join(map(re.escape, strings))})") if strings else None
+        self._encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self._ids)
 
     def encode(self, text: str, chars: int = PIECE_CHARS) -> list[int]:
         """Identifiers of ``text``; strings of special tokens are ordinary text."""
@@ -90,7 +91,11 @@ class Codec:
 
     def encode_with_special(self, text: str) -> list[int]:
         """Identifiers of ``text``; strings of special tokens become those tokens."""
-        return self._encoding.encode(text, allowed_special="all")
+        if self._special is None or not self._special.search(text):
+            return self.encode(text)
+        # The capturing split leaves the special strings at odd places.
+        parts = enumerate(self._special.split(text))
+        return [i for at, part in parts for i in ([self._ids[part]] if at % 2 else self.encode(part))]
 
     def decode(self, ids: list[int]) -> bytes:
         return self._encoding.decode_bytes(ids)

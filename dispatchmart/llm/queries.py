@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts, rules
+from dispatchmart.llm import bpe, classifier, counts, packing, rules
 from dispatchmart.llm.oracles import QUALITY_RULES
 from dispatchmart.llm.common import table
 
@@ -21,6 +21,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op4_bpe_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
