@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import dispatchmart
 from dispatchmart.session import checkpoint_dir
 
 WORD_GAPS = "[\\x20\\x09-\\x0D]+"
@@ -18,11 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to the Python workers, wherever they run; once for each application.
+
+    The archive is made where the driver runs and is sent from there; executors read no folder of the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(dispatchmart.__file__).parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/dispatchmart", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; a null text becomes an empty one.
 
     All other columns are left behind before any work, so their names cannot clash.
     """
+    ship_package(docs.sparkSession)
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts, packing, rules
+from dispatchmart.llm import bpe, classifier, counts, packing, rules, simhash
 from dispatchmart.llm.oracles import QUALITY_RULES
 from dispatchmart.llm.common import table
 
@@ -53,6 +53,12 @@ def op7_token_counts(spark, sf_dir):
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op8_simhash(spark, sf_dir):
+    linked = simhash.link(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", simhash.as_hex(F.col("bits")).alias("fingerprint"), "component_id")
+
+
 def _quality_labels(spark, sf_dir):
     """``doc_id, label`` of the rows that may be learned from."""
     labels = table(spark, sf_dir, "labels").where(~classifier.held_out())
