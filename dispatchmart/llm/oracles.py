@@ -60,3 +60,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        round(lost_share, 6) AS lost_share
 FROM measured
 """
+
+URL_FILTER = """
+WITH split AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+addressed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM split
+),
+rules AS (
+  SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS r(verdict, of_host, start)
+),
+fitting AS (
+  SELECT page_id, arg_max(of_host || start, length(of_host || start)) AS rule, arg_max(verdict, length(of_host || start)) AS verdict
+  FROM addressed JOIN rules ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, start)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM (SELECT *, regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') AS listed FROM addressed)
+LEFT JOIN fitting USING (page_id)
+"""

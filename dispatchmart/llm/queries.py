@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts, packing, rules, simhash
-from dispatchmart.llm.oracles import QUALITY_RULES
+from dispatchmart.llm import bpe, classifier, counts, packing, rules, simhash, urls
+from dispatchmart.llm.oracles import QUALITY_RULES, URL_FILTER
 from dispatchmart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,28 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+# The rules of the query, as given.
+URL_RULES = [
+    urls.Rule("allow", "org/"),
+    urls.Rule("block", "example.org/es/"),
+    urls.Rule("block", "example.org/en/1"),
+    urls.Rule("allow", "com/fr/"),
+    urls.Rule("block", "com/de/"),
+]
+
+LISTED_HOSTS = "(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)"
+"""Hosts whose addresses make up the list of the query."""
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    """The list holds every address of the corpus on a host with a listed word in its name."""
+    pages = urls.with_address(table(spark, sf_dir, "pages").select("page_id", "url"))
+    listed = pages.where(F.col("host").rlike(LISTED_HOSTS)).select("key")
+    cascade = urls.build_cascade(listed, pages.select("key"))
+    return urls.judge(pages, URL_RULES, cascade).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 @query
 def op4_bpe_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -71,4 +93,5 @@ def op9_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+ORACLES["op3_url_filter"] = URL_FILTER
 ORACLES["op5_quality_rules"] = QUALITY_RULES
