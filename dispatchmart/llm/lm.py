@@ -1,0 +1,274 @@
+"""Cross-entropy difference: how much better a target model predicts a document than a background model.
+
+Both are bigram models with one vocabulary and one smoothing. The vocabulary holds every word, and every shape of words, that
+makes up at least ``MIN_SHARE`` of all words of the corpus; a word outside it is its shape, or the unknown word. A
+pair of words has a probability of its own from the same share on, otherwise it backs off:
+
+    p(w | v) = (c(v, w) + B(v) p(w)) / (c(v) + K),   B(v) = K + c(v) - sum of the c(v, w) kept
+    p(w) = (c(w) + K / |V|) / (N + K)
+
+A document's score is the mean over its words of the target's loss less the background's; below 0 it is closer to
+the target.
+
+All words and pairs of all documents are counted: tasks merge what they have seen and send it in portions of bounded
+size to a grouped sum, which grows with the corpus. What is left for the models is bounded by arithmetic, at
+most ``1 / MIN_SHARE`` words, as many shapes and as many pairs however large the corpus is, and is broadcast.
+
+Defined results: a null or empty text has no words and the score 0; equal texts have equal scores, each row of them is
+kept; an empty table gives an empty one; an empty target leaves a uniform model for it; columns besides
+the identifier and the text are not read.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dispatchmart.llm.classifier import shape
+from dispatchmart.llm.common import id_and_text, map_texts, ship_package
+from dispatchmart.operators.joins import lookup_join
+from dispatchmart.session import scratch_path
+
+MIN_SHARE = 2e-6
+"""Share of all words from which on a word, a shape or a pair is part of the models."""
+
+SMOOTHING = 64.0
+_PORTION = 500_000  # distinct words, or four times as many pairs, that a task holds before it sends them
+_CHUNK = 1 << 21  # words whose pairs are sorted at a time
+_CACHED_WORDS = 400_000
+
+_START, _UNKNOWN, _FIRST = 0, 1, 2  # numbers of the start of a text, of the unknown word, of the first other word
+_BITS = 21  # of the number of a word
+_ALONE = (1 << _BITS) - 1  # in place of the one before: the count of a word itself; of the one after: of a context
+
+
+@dataclass
+class Vocabulary:
+    """Numbers of words and shapes, and how many words the corpus has."""
+
+    words: dict[str, int]
+    shapes: dict[str, int]
+    n_words: int
+
+    @property
+    def size(self) -> int:
+        return _FIRST + len(self.words) + len(self.shapes)
+
+    @property
+    def min_count(self) -> float:
+        return MIN_SHARE * self.n_words
+
+
+class _Numbers(dict):
+    """The number of every word met, remembered up to a fixed number of words."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self._of = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHED_WORDS:
+            self.clear()
+        number = self._of.words.get(word)
+        if number is None:
+            number = self._of.shapes.get(shape(word), _UNKNOWN)
+        self[word] = number
+        return number
+
+
+def numbered(text: str, numbers: _Numbers) -> np.ndarray:
+    """The numbers of a text's words after the number of its start."""
+    words = text.split()
+    out = np.empty(len(words) + 1, np.int64)
+    out[0] = _START
+    out[1:] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    return out
+
+
+def build_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """Words and shapes of at least the given share; only these, a bounded number, come to the driver."""
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        def portion(counts):
+            shapes = Counter()
+            for word, n in counts.items():
+                shapes[shape(word)] += n
+            kinds = [False] * len(counts) + [True] * len(shapes)
+            keys, values = [*counts, *shapes], [*counts.values(), *shapes.values()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(kinds), pa.array(keys, pa.string()), pa.array(values, pa.int64())], ["is_shape", "word", "n"]
+            )
+
+        counts = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(text.as_py().split())
+                if len(counts) >= _PORTION:
+                    yield portion(counts)
+                    counts = Counter()
+        yield portion(counts)
+
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    seen = texts.mapInArrow(run, "is_shape boolean, word string, n long")
+    counts = seen.groupBy("is_shape", "word").agg(F.sum("n").alias("n"))
+    # Written once, as the number of all words is only known when they are counted.
+    path = scratch_path(docs.sparkSession, "word-counts")
+    counts.write.parquet(path)
+    counts = docs.sparkSession.read.parquet(path)
+    n_words = counts.where("NOT is_shape").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = counts.where(F.col("n") >= MIN_SHARE * n_words).orderBy("is_shape", F.desc("n"), "word")
+    words, shapes = {}, {}
+    for is_shape, word, _ in kept.toLocalIterator():
+        (shapes if is_shape else words)[word] = _FIRST + len(words) + len(shapes)
+    return Vocabulary(words, shapes, n_words)
+
+
+def _share(count: np.ndarray, total: float, size: int) -> np.ndarray:
+    return (count + SMOOTHING / size) / (total + SMOOTHING)
+
+
+class Model:
+    """Counts of one corpus part over the shared vocabulary and pairs."""
+
+    def __init__(self, alone: np.ndarray, context: np.ndarray, keys: np.ndarray, pairs: np.ndarray):
+        self.unigram = _share(alone, alone.sum(), len(alone))
+        kept = np.bincount(keys >> _BITS, pairs, len(alone))
+        self.context = context + SMOOTHING
+        self.backoff = self.context - kept
+        self.pairs = pairs
+
+    def losses(self, before: np.ndarray, after: np.ndarray, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+        own = np.where(found, self.pairs[at], 0.0) if len(self.pairs) else 0.0
+        return -np.log((own + self.backoff[before] * self.unigram[after]) / self.context[before])
+
+
+@dataclass
+class Models:
+    """The matched models: one vocabulary, one set of pairs, the counts of both corpora."""
+
+    vocabulary: Vocabulary
+    keys: np.ndarray
+    target: Model
+    background: Model
+
+    def differences(self, numbers: np.ndarray) -> np.ndarray:
+        """Target loss less background loss of each word."""
+        before, after = numbers[:-1], numbers[1:]
+        key = (before << _BITS) | after
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        found = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        return self.target.losses(before, after, at, found) - self.background.losses(before, after, at, found)
+
+
+class _Tally:
+    """Counts of keys in all texts and in those of the target, merged chunk by chunk."""
+
+    def __init__(self):
+        self._start()
+
+    def _start(self):
+        self._keys, self._counts = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        self._waiting, self._size = {True: [], False: []}, 0
+
+    def add(self, numbers: np.ndarray, target: bool) -> bool:
+        """True when what is held should be sent."""
+        before, after = numbers[:-1], numbers[1:]
+        self._waiting[target] += [(before << _BITS) | after, (_ALONE << _BITS) | after, (before << _BITS) | _ALONE]
+        self._size += len(before)
+        if self._size >= _CHUNK:
+            self._merge()
+        return len(self._keys) >= 4 * _PORTION
+
+    def _merge(self) -> None:
+        keys, counts = [self._keys], [self._counts]
+        for target, waiting in self._waiting.items():
+            if waiting:
+                seen, n = np.unique(np.concatenate(waiting), return_counts=True)
+                keys.append(seen)
+                counts.append(np.stack([n, n * target], axis=1))
+        both, n = np.concatenate(keys), np.concatenate(counts)
+        self._waiting, self._size = {True: [], False: []}, 0
+        if len(both):
+            order = np.argsort(both, kind="stable")
+            both, n = both[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            self._keys, self._counts = both[starts], np.add.reduceat(n, starts)
+
+    def portions(self):
+        """All counts so far, in batches; starts anew."""
+        self._merge()
+        for at in range(0, len(self._keys), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            columns = [self._keys[part], self._counts[part, 0], self._counts[part, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "background", "target"])
+        self._start()
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", target_col: str = "in_target") -> Models:
+    """Models of all rows and of those whose flag is true; words and pairs below the share stay on the executors."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(vocabulary)
+    rows = docs.select(
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col(f"`{target_col}`"), F.lit(False)).alias("target"),
+    )
+
+    def run(batches):
+        tally, numbers = _Tally(), _Numbers(sent.value)
+        for batch in batches:
+            for text, target in zip(batch.column("text"), batch.column("target")):
+                if tally.add(numbered(text.as_py(), numbers), target.as_py()):
+                    yield from tally.portions()
+        yield from tally.portions()
+
+    seen = rows.mapInArrow(run, "key long, background long, target long")
+    counts = seen.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    after, before = F.col("key").bitwiseAND(F.lit(_ALONE)), F.shiftright("key", _BITS)
+    single = (after == _ALONE) | (before == _ALONE)
+    kept = counts.where(single | (F.col("background") >= vocabulary.min_count)).toPandas().sort_values("key")
+    key = kept["key"].to_numpy(np.int64)
+    alone, context = key >> _BITS == _ALONE, key & _ALONE == _ALONE
+    pair = ~(alone | context)
+
+    def model(name: str) -> Model:
+        n = kept[name].to_numpy(np.float64)
+        words, contexts = np.zeros(vocabulary.size), np.zeros(vocabulary.size)
+        words[key[alone] & _ALONE] = n[alone]
+        contexts[key[context] >> _BITS] = n[context]
+        return Model(words, contexts, key[pair], n[pair])
+
+    return Models(vocabulary, key[pair], model("target"), model("background"))
+
+
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, difference`` of every whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(models)
+    kept = {}  # the numbers of words, kept from batch to batch of a task
+
+    def per_batch(doc_ids, texts):
+        models = sent.value
+        numbers = kept.setdefault("numbers", _Numbers(models.vocabulary))
+        sizes, means = [], []
+        for text in texts:
+            words = numbered(text, numbers)
+            sizes.append(len(words) - 1)
+            means.append(float(models.differences(words).mean()) if len(words) > 1 else 0.0)
+        return {"doc_id": doc_ids, "n_words": sizes, "difference": means}
+
+    return map_texts(id_and_text(docs, id_col, text_col), per_batch, "doc_id long, n_words long, difference double")
+
+
+def cross_entropy_difference(
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Train both models on ``docs``, the target on the rows that ``target_ids`` (``doc_id``) names, and score all rows."""
+    texts = id_and_text(docs, id_col, text_col)
+    ids = target_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
+    flagged = lookup_join(texts, ids.withColumn("in_target", F.lit(True)), ["doc_id"], "left")
+    return score(docs, train(flagged, build_vocabulary(texts)), id_col, text_col)

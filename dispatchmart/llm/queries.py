@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts, packing, rules, simhash, urls
+from dispatchmart.llm import bpe, classifier, counts, lm, packing, rules, simhash, urls
 from dispatchmart.llm.oracles import QUALITY_RULES, URL_FILTER
 from dispatchmart.llm.common import table
 
@@ -70,6 +70,13 @@ def op5_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op6_lm_scoring(spark, sf_dir):
+    """The target is what the labels call good; the background is the whole corpus."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 @query
 def op7_token_counts(spark, sf_dir):
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
