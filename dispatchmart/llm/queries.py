@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts, lm, packing, rules, simhash, urls
+from dispatchmart.llm import bpe, classifier, counts, lm, packing, rules, simhash, topk, urls
 from dispatchmart.llm.oracles import QUALITY_RULES, URL_FILTER
 from dispatchmart.llm.common import table
 
@@ -88,6 +88,12 @@ def op8_simhash(spark, sf_dir):
     return linked.select("doc_id", simhash.as_hex(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+@query
+def op10_topk_search(spark, sf_dir):
+    """Every row whose identifier is divisible by 20 asks, all rows are searched."""
+    return topk.search(table(spark, sf_dir, "documents"), "doc_id % 20 = 0")
+
+
 def _quality_labels(spark, sf_dir):
     """``doc_id, label`` of the rows that may be learned from."""
     labels = table(spark, sf_dir, "labels").where(~classifier.held_out())
