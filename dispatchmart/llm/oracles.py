@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dispatchmart.llm.records import duckdb_records
+
 # The phrases of boilerplate lines, as in the rules.
 _PHRASES = (
     "all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|uses cookies|"
@@ -83,3 +85,47 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block
 FROM (SELECT *, regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') AS listed FROM addressed)
 LEFT JOIN fitting USING (page_id)
 """
+
+REVISITS = f"""
+WITH records AS ({duckdb_records()}),
+split AS (
+  SELECT *, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS h, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p,
+         regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q
+  FROM records
+),
+named AS (
+  SELECT *, regexp_replace(regexp_replace(lower(h), '^www\\.', ''), ':(80|443)$', '') || regexp_replace(p, '/+$', '') AS site,
+         list_sort(list_filter(string_split(q, '&'), lambda v: v <> '' AND NOT regexp_matches(lower(v),
+           '^(utm_[a-z]+|gclid|fbclid|sid|sessionid|phpsessid|jsessionid)(=|$)'))) AS wanted
+  FROM split
+),
+canonical AS (
+  SELECT *, CASE WHEN contains(url, '://')
+                 THEN site || CASE WHEN len(wanted) > 0 THEN '?' || array_to_string(wanted, '&') ELSE '' END END AS canonical
+  FROM named
+),
+joined AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' AND canonical IS NOT NULL THEN
+           {{'id': record_id, 'etag': etag, 'last_modified': last_modified, 'cache_control': cache_control,
+             'content_length': content_length}} END IGNORE NULLS) OVER (
+           PARTITION BY canonical ORDER BY seconds, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r
+  FROM canonical
+),
+checked AS (
+  SELECT *, CASE WHEN canonical IS NULL THEN 'no_url'
+                 WHEN r IS NULL THEN 'no_earlier_response'
+                 WHEN coalesce(regexp_replace(r.etag, '^W/', '') = regexp_replace(etag, '^W/', ''),
+                               r.last_modified = last_modified) THEN 'resolved'
+                 WHEN coalesce(regexp_replace(r.etag, '^W/', '') = regexp_replace(etag, '^W/', ''),
+                               r.last_modified = last_modified) IS NULL THEN 'no_validator'
+                 ELSE 'validator_mismatch' END AS outcome
+  FROM joined WHERE kind = 'revisit'
+)
+SELECT record_id, canonical, outcome,
+       CASE WHEN outcome = 'resolved' THEN r.id END AS refers_to,
+       CASE WHEN outcome = 'resolved' THEN coalesce(etag, r.etag) END AS etag,
+       CASE WHEN outcome = 'resolved' THEN r.last_modified END AS last_modified,
+       CASE WHEN outcome = 'resolved' THEN coalesce(cache_control, r.cache_control) END AS cache_control,
+       CASE WHEN outcome = 'resolved' THEN r.content_length END AS content_length
+FROM checked
+"""

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts, lm, packing, rules, simhash, topk, urls
-from dispatchmart.llm.oracles import QUALITY_RULES, URL_FILTER
+from dispatchmart.llm import bpe, classifier, counts, lm, packing, rules, simhash, topk, urls, warc
+from dispatchmart.llm.oracles import QUALITY_RULES, REVISITS, URL_FILTER
+from dispatchmart.llm.records import spark_records
 from dispatchmart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,25 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op2_warc_revisits(spark, sf_dir):
+    """All revisit records of an archive derived from the pages."""
+    flat = spark.sql(spark_records("{pages}"), pages=table(spark, sf_dir, "pages"))
+    names = ("etag", "last_modified", "cache_control", "content_length")
+    pairs = [part for name in names for part in (F.lit(name.replace("_", "-").title()), F.col(name))]
+    records = flat.select(
+        "record_id",
+        "kind",
+        "url",
+        F.timestamp_seconds("seconds").alias("date"),
+        "status",
+        F.create_map(*pairs).alias("headers"),
+    )
+    resolved = warc.resolve_revisits(records)
+    headers = [F.element_at("headers", F.lit(name.replace("_", "-"))).alias(name) for name in names]
+    return resolved.select("record_id", "canonical", "outcome", "refers_to", *headers)
+
+
 # The rules of the query, as given.
 URL_RULES = [
     urls.Rule("allow", "org/"),
@@ -106,5 +126,6 @@ def op9_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+ORACLES["op2_warc_revisits"] = REVISITS
 ORACLES["op3_url_filter"] = URL_FILTER
 ORACLES["op5_quality_rules"] = QUALITY_RULES
