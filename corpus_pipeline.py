@@ -4,23 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import classifier
-from dispatchmart.llm.common import table
+from dispatchmart.llm import classifier, packing, rules, simhash
+from dispatchmart.llm.common import ship_package, table
 from dispatchmart.session import scratch_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labels of the corpus, does not reject."""
     labels = table(spark, sf_dir, "labels").where(~classifier.held_out())
+    ship_package(spark)
     weights = classifier.train(classifier.training_rows(docs, labels.select("doc_id", F.col("quality").alias("label"))))
     return docs.where(classifier.score_column(spark, weights)("text") >= 0.5)
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules keep, without the lines that failed."""
+    return rules.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and its place there."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: No SQL expresses a fitted classifier or a tokenizer; tests/llm compares the stages with brute force.
