@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from dispatchmart.llm.common import id_and_text, map_texts, saved
 from dispatchmart.llm.components import connected_components
-from dispatchmart.operators.joins import lookup_join
+from dispatchmart.operators.joins import fits_broadcast, lookup_join
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -244,7 +244,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where(F.col("doc_id") == F.col("_first"))
         .select(F.col("doc_id").alias("_kept"), "_rows")
     )
-    same = F.col(f"`{id_col}`").cast("long")
-    once = docs.join(ids.where("_rows = 1"), same == F.col("_kept"), "left_semi")
-    repeated = docs.join(ids.where("_rows > 1"), same == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    same = F.col(f"`{id_col}`").cast("long") == F.col("_kept")
+    # Identifiers are few bytes each: sent to every task if measured small, else joined by their hash.
+    once, repeated = ids.where("_rows = 1"), ids.where("_rows > 1")
+    small = fits_broadcast(ids)
+    kept = docs.join(F.broadcast(once) if small else once, same, "left_semi")
+    if not repeated.isEmpty():
+        copies = docs.join(F.broadcast(repeated) if small else repeated, same, "left_semi")
+        kept = kept.unionByName(copies.dropDuplicates([id_col]))
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
