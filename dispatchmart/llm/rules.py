@@ -13,6 +13,8 @@ Repeated windows are found by 64-bit hashes of their words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,10 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered).drop("_sorted", "_before", "_after", "_places")
 
 
+def _has_fault(name: str) -> Callable[[Column], Column]:
+    return lambda judged: judged["fault"] == name
+
+
 def _measured(df: DataFrame, max_lost: float) -> DataFrame:
     """Add the measures of ``text``, the lines that pass and the verdict."""
     df = df.withColumn("_words", _words(F.col("text"))).withColumn("_lines", F.split("text", "\n"))
@@ -137,7 +143,7 @@ def _measured(df: DataFrame, max_lost: float) -> DataFrame:
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         *[
-            F.size(F.filter("_judged", lambda j, name=name: j["fault"] == name)).cast("long").alias(f"n_{name}_lines")
+            F.size(F.filter("_judged", _has_fault(name))).cast("long").alias(f"n_{name}_lines")
             for name in ("punctuation", "navigation", "boilerplate")
         ],
     )
@@ -163,5 +169,8 @@ def clean(docs: DataFrame, max_lost: float = MAX_LOST_SHARE, text_col: str = "te
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-    kept = _measured(whole, max_lost).where("kept")
+    # A filter would be pushed down to the text, with all measures written into it over and over; it stays
+    # above a column that is not a function of the row.
+    measured = _measured(whole, max_lost).withColumn("_at", F.monotonically_increasing_id())
+    kept = measured.where(F.col("kept") & (F.col("_at") >= 0))
     return kept.select(*[F.col("clean_text" if c == text_col else f"_row.`{c}`").alias(c) for c in docs.columns])
