@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import dispatchmart
-from dispatchmart.session import checkpoint_dir
+from dispatchmart.session import scratch_path
 
 WORD_GAPS = "[\\x20\\x09-\\x0D]+"
 """What separates words: blanks and the five ASCII control characters from tab to carriage return."""
@@ -50,10 +50,22 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: the lineage is cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+ROWS_PER_TASK = 50_000
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` short rows, in no more tasks than these are worth; large tables stay as they are."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder and read back: the lineage is cut.
+
+    ``rows`` is about how many rows it has, if that is known.
+    """
+    path = scratch_path(df.sparkSession, "saved")
+    (df if rows is None else in_few_tasks(df, rows)).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_texts(rows: DataFrame, per_batch: Callable[[list, Iterator[str]], dict], schema: str) -> DataFrame:

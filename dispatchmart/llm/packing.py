@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchmart.llm.bpe import Codec
-from dispatchmart.llm.common import id_and_text, saved
+from dispatchmart.llm.common import id_and_text, in_few_tasks, saved
 
 CAPACITY = 1024
 GROUP = 1 << 16
@@ -183,23 +183,24 @@ def _pack_group(capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; needs a column ``length`` of 1 to ``capacity``.
 
-    A row number names each row from its first write on, so equal rows stay apart.
+    A row number is written with each row, so equal rows stay apart and no later read can number them anew.
     """
     kept = pieces.columns
-    rows = saved(pieces).withColumn("_row", F.monotonically_increasing_id())
+    rows = saved(pieces.withColumn("_row", F.monotonically_increasing_id()))
     full = rows.where(F.col("length") >= capacity)
     # Sequences of one piece are named by its row, those of bins from 2^62 on.
     done = [full.select(*kept, F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     short = rows.where(F.col("length") < capacity)
-    packed, names = [], 0
-    work, n, before = short.select("_row", F.col("length").cast("long").alias("length")), short.count(), None
+    packed, names, total = [], 0, rows.count()
+    work, n = short.select("_row", F.col("length").cast("long").alias("length")), short.count()
     while n:
         groups = -(-n // group)
         dealt = work.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(names)), F.lit(groups)))
         placed = saved(
             dealt.groupBy("_group").applyInPandas(
                 _pack_group(capacity), "_row long, length long, _group long, _bin long, offset long, _fill long"
-            )
+            ),
+            rows=n,
         )
         name = F.lit((1 << 62) + (names << 56)) + (F.col("_group") * (1 << 24)) + F.col("_bin")
         again = F.lit(groups > 1) & (F.col("_fill") < capacity - int(capacity * ROOM))
@@ -213,7 +214,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     if packed:
         places = reduce(DataFrame.unionByName, packed)
         done.append(short.join(places, "_row").select(*kept, "sequence_id", "offset"))
-    return reduce(DataFrame.unionByName, done)
+    return in_few_tasks(reduce(DataFrame.unionByName, done), total)
 
 
 @lru_cache(maxsize=2)
