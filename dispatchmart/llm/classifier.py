@@ -172,7 +172,8 @@ def train(rows: DataFrame, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
 
     # One task sees at most the chosen rows, each of at most 4 x DIMENSIONS entries.
-    return np.frombuffer(rows.coalesce(1).mapInArrow(run, "weights binary").first()["weights"], "<f4")
+    fitted = rows.coalesce(1).mapInArrow(run, "weights binary").first()
+    return np.frombuffer(fitted["weights"], "<f4") if fitted else np.zeros(DIMENSIONS + 1, "<f4")
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
