@@ -1,0 +1,98 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from edge_rows import documents, edge_rows, empty_rows, texts_of
+
+from dispatchmart.llm import lm
+from dispatchmart.llm.classifier import shape
+
+
+def brute_scores(texts, target):
+    """Both models from plain dictionaries."""
+    words, shapes = Counter(), Counter()
+    for _, text in texts:
+        words.update(text.split())
+        shapes.update(map(shape, text.split()))
+    least = lm.MIN_SHARE * sum(words.values())
+    words, shapes = {w for w in words if words[w] >= least}, {s for s in shapes if shapes[s] >= least}
+    size = 2 + len(words) + len(shapes)
+
+    def tokens(text):
+        named = [("w", w) if w in words else ("s", shape(w)) if shape(w) in shapes else "?" for w in text.split()]
+        return list(zip(["<"] + named, named))
+
+    pairs = {name: Counter() for name in ("target", "background")}
+    for doc_id, text in texts:
+        pairs["background"].update(tokens(text))
+        if doc_id in target:
+            pairs["target"].update(tokens(text))
+    kept = {p for p, n in pairs["background"].items() if n >= least}
+    loss = {}
+    for name, counts in pairs.items():
+        alone, context, own = Counter(), Counter(), Counter()
+        for (v, w), n in counts.items():
+            alone[w] += n
+            context[v] += n
+            own[v] += n * ((v, w) in kept)
+        total, k = sum(alone.values()), lm.SMOOTHING
+
+        def value(v, w, counts=counts, alone=alone, context=context, own=own, total=total):
+            p = (alone[w] + k / size) / (total + k)
+            back = k + context[v] - own[v]
+            return -math.log((counts[v, w] * ((v, w) in kept) + back * p) / (context[v] + k))
+
+        loss[name] = value
+    scores = []
+    for doc_id, text in texts:
+        each = [loss["target"](v, w) - loss["background"](v, w) for v, w in tokens(text)]
+        scores.append((str(doc_id), len(each), sum(each) / len(each) if each else 0.0))
+    return sorted(scores)
+
+
+def check(spark, rows, target):
+    ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    got = sorted((str(r[0]), r[1], r[2]) for r in lm.cross_entropy_difference(rows, ids).collect())
+    want = brute_scores(texts_of(rows), {i for i in target if i is not None})
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
+
+
+@pytest.mark.parametrize("share", [2e-6, 1e-3, 0.01])
+def test_scores_agree_with_brute_force(spark, sf_dir, share, monkeypatch):
+    monkeypatch.setattr(lm, "MIN_SHARE", share)
+    monkeypatch.setattr(lm, "_PORTION", 300)
+    check(spark, documents(spark, sf_dir).where("doc_id < 60"), list(range(0, 60, 3)))
+
+
+@pytest.mark.parametrize("target", [[], [5, 5, None, 3, 400]])
+def test_edge_rows(spark, target):
+    check(spark, edge_rows(spark), target)
+
+
+def test_no_rows(spark):
+    assert lm.cross_entropy_difference(empty_rows(spark), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def test_target_documents_score_lower(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    scored = lm.cross_entropy_difference(docs, labels.where("quality = 1 AND doc_id % 2 = 0").select("doc_id"))
+    rest = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    good, bad = rest[rest.quality == 1].difference, rest[rest.quality == 0].difference
+    assert np.mean([(good < s).mean() for s in bad]) > 0.85
+
+
+def test_models_are_distributions():
+    draw = np.random.default_rng(2)
+    size = 9
+    table = draw.integers(0, 4, (size, size)) * (draw.random((size, size)) < 0.6)
+    kept = [(v, w) for v in range(size) for w in range(size) if table[v, w] > 1]
+    keys = np.array([(v << lm._BITS) | w for v, w in kept])
+    model = lm.Model(table.sum(0).astype(float), table.sum(1).astype(float), keys, np.array([float(table[p]) for p in kept]))
+    for v in range(size):
+        before, after = np.full(size, v), np.arange(size)
+        key = (before << lm._BITS) | after
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        assert abs(np.exp(-model.losses(before, after, at, keys[at] == key)).sum() - 1) < 1e-12
