@@ -38,4 +38,5 @@ def connected_components(links: DataFrame) -> DataFrame:
                 current.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct()
             )
         state = tuple(sums)
-        current = saved(_small_star(_large_star(current).distinct()).distinct())
+        # A contraction never adds links, so their number bounds what is written next.
+        current = saved(_small_star(_large_star(current).distinct()).distinct(), rows=sums[0])

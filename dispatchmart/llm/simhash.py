@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispatchmart.llm.common import id_and_text, map_texts, saved
+from dispatchmart.llm.common import id_and_text, in_few_tasks, map_texts, saved
 from dispatchmart.llm.components import connected_components
 from dispatchmart.operators.joins import fits_broadcast, lookup_join
 
@@ -216,15 +216,16 @@ def link(
 ) -> DataFrame:
     """``doc_id, bits, component_id``: the smallest identifier that links lead to, its own included."""
     prints = saved(fingerprints(docs, id_col, text_col))
-    points = saved(prints.where("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("rep")))
+    n = prints.count()
+    points = saved(prints.where("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("rep")), rows=n)
     groups = connected_components(near_links(points, max_bits, block))
     named = points.join(groups, points["rep"] == groups["node"], "left").select(
         "bits", F.coalesce("component", "rep").alias("component_id")
     )
-    joined = prints.join(named, "bits", "left")
-    return joined.select(
+    joined = prints.join(named, "bits", "left").select(
         "doc_id", "bits", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
+    return in_few_tasks(joined, n)
 
 
 def as_hex(bits: Column) -> Column:
