@@ -204,14 +204,19 @@ SELECT 800000000 + s_suppkey, 500000000 + s_suppkey, 'RESERVE ' || {text('s_supp
 FROM {{supplier}}
 """
 
-# Driver feed: every order is an event; some name no known coverage or company.
+# Driver feed: every order is an event; some name no known coverage or company, some follow a hire of the feed, have no
+# date, come late or share a day with others of the driver.
+_EFFECTIVE = """CASE WHEN o_orderkey % 50 = 0 THEN CAST(NULL AS DATE) WHEN o_orderkey % 50 = 1 THEN DATE '1991-06-01'
+            WHEN o_orderkey % 50 < 5 THEN DATE '1999-01-01' ELSE CAST(o_orderdate AS DATE) END"""
 DRIVER_FEED = f"""
-SELECT CASE WHEN o_orderstatus = 'P' THEN 'NEW ' || {text('o_orderkey')} ELSE 'DRIVER ' || {text('o_custkey')} END AS drivername,
+SELECT CASE WHEN o_orderstatus = 'P' THEN 'NEW ' || {text('o_orderkey % 3000')}
+            WHEN o_orderkey % 40 = 5 THEN 'NEW ' || {text('o_custkey % 3000')}
+            ELSE 'DRIVER ' || {text('o_custkey')} END AS drivername,
        CASE o_orderstatus WHEN 'P' THEN 'HIRED' WHEN 'F' THEN 'FIRED' ELSE 'CHANGE' END AS action,
        {padded('o_orderkey % 5 * 4', 2)} || ':00' AS beginshift, {padded('o_orderkey % 5 * 4 + 3', 2)} || ':59' AS endshift,
        'NATION_' || {text('(o_orderkey + o_custkey) % 27')} AS coverage,
        'Supplier#' || {padded('o_orderkey % ((SELECT count(*) FROM {supplier}) + 1)', 9)} AS source,
-       CAST(o_orderdate AS DATE) AS effdt, CAST(o_orderdate AS DATE) + 1 AS filedt
+       {_EFFECTIVE} AS effdt, CAST(o_orderdate AS DATE) + 1 AS filedt
 FROM {{orders}}
 """
 SHIFT_DIM = f"""

@@ -370,48 +370,78 @@ _COLUMNS = """driverrecordkey, driverkey, drivername, shifttimekey, coveragekey,
 _RESOLVED = """resolved AS (SELECT f.*, s.shifttimekey, g.coveragekey, c.companykey FROM (SELECT DISTINCT * FROM feed) AS f
   LEFT JOIN shifts AS s ON f.beginshift = s.starttime AND f.endshift = s.endtime
   LEFT JOIN coverages AS g ON f.coverage = g.coverage LEFT JOIN companies AS c ON f.source = c.company),
-  applicable AS (SELECT * FROM resolved WHERE action = 'FIRED' OR (action = 'CHANGE' AND shifttimekey IS NOT NULL
-    AND coveragekey IS NOT NULL AND companykey IS NOT NULL))"""
-_UNCHANGED = f"""SELECT DISTINCT {_COLUMNS} FROM dim
-  WHERE current_record <> 1 OR drivername NOT IN (SELECT drivername FROM applicable)"""
-
-
-def _versions(actions: str) -> str:
-    return f"""SELECT CASE WHEN step = 0 THEN driverrecordkey ELSE -1 END AS driverrecordkey, driverkey, drivername,
-  last_value(k1 IGNORE NULLS) OVER w AS shifttimekey, last_value(k2 IGNORE NULLS) OVER w AS coveragekey,
-  last_value(k3 IGNORE NULLS) OVER w AS companykey, hiredate,
-  CASE WHEN step = 0 THEN firedate WHEN action = 'FIRED' THEN effdt ELSE DATE '9999-12-31' END AS firedate,
-  effdt AS effectivedate, filedt AS loaddate,
-  coalesce(lead(effdt) OVER o - 1, DATE '9999-12-31') AS expireddate,
-  CASE WHEN lead(effdt) OVER o IS NULL THEN 1 ELSE 0 END AS current_record
-FROM (SELECT d.*, 0 AS step, 'BASE' AS action, effectivedate AS effdt, loaddate AS filedt,
-             shifttimekey AS k1, coveragekey AS k2, companykey AS k3
-      FROM dim AS d WHERE current_record = 1 AND drivername IN (SELECT drivername FROM applicable WHERE action IN ({actions}))
-      UNION ALL
-      SELECT d.*, 1, a.action, a.effdt, a.filedt, CASE WHEN a.action = 'CHANGE' THEN a.shifttimekey END,
-             CASE WHEN a.action = 'CHANGE' THEN a.coveragekey END, CASE WHEN a.action = 'CHANGE' THEN a.companykey END
-      FROM dim AS d JOIN applicable AS a USING (drivername) WHERE d.current_record = 1 AND a.action IN ({actions})) AS chain
-WINDOW o AS (PARTITION BY driverrecordkey ORDER BY step, effdt, filedt, action, k1, k2, k3),
-       w AS (PARTITION BY driverrecordkey ORDER BY step, effdt, filedt, action, k1, k2, k3 ROWS UNBOUNDED PRECEDING)"""
-
-
+  applicable AS (SELECT * FROM resolved WHERE effdt IS NOT NULL AND (action = 'FIRED' OR (action = 'CHANGE'
+    AND shifttimekey IS NOT NULL AND coveragekey IS NOT NULL AND companykey IS NOT NULL)))"""
 _HIRED = """SELECT CAST(-1 AS INTEGER) AS driverrecordkey, (SELECT coalesce(max(driverkey), 0) FROM dim) +
     row_number() OVER (ORDER BY effdt, filedt, drivername, shifttimekey, coveragekey, companykey) AS driverkey,
   drivername, shifttimekey, coveragekey, companykey, effdt AS hiredate, DATE '9999-12-31' AS firedate,
   effdt AS effectivedate, filedt AS loaddate, DATE '9999-12-31' AS expireddate, 1 AS current_record
-FROM resolved WHERE action = 'HIRED' AND shifttimekey IS NOT NULL AND coveragekey IS NOT NULL AND companykey IS NOT NULL"""
-
-oracle("scd2_unchanged", f"WITH {_RESOLVED} {_UNCHANGED}", **_SCD)
-oracle("scd2_fired", f"WITH {_RESOLVED} {_versions(chr(39) + 'FIRED' + chr(39))}", **_SCD)
-oracle("scd2_changed", f"WITH {_RESOLVED} {_versions(chr(39) + 'CHANGE' + chr(39))}", **_SCD)
+FROM resolved WHERE action = 'HIRED' AND effdt IS NOT NULL
+  AND shifttimekey IS NOT NULL AND coveragekey IS NOT NULL AND companykey IS NOT NULL"""
+
+
+def _day_events(known: str, actions: str = "'FIRED', 'CHANGE'") -> str:
+    """Of each driver and day after the current version's start the one event that counts, the last of the day."""
+    return f"""known AS ({known}),
+  events AS (SELECT * FROM (
+    SELECT k.driverkey, a.effdt, a.filedt, a.action,
+           CASE WHEN a.action = 'CHANGE' THEN a.shifttimekey END AS e1, CASE WHEN a.action = 'CHANGE' THEN a.coveragekey END AS e2,
+           CASE WHEN a.action = 'CHANGE' THEN a.companykey END AS e3,
+           row_number() OVER (PARTITION BY k.driverkey, a.effdt ORDER BY a.filedt DESC, a.action DESC, e1 DESC, e2 DESC, e3 DESC) AS place
+    FROM known AS k JOIN applicable AS a ON k.drivername = a.drivername AND a.effdt > k.effectivedate
+    WHERE k.current_record = 1 AND a.action IN ({actions})) AS d WHERE place = 1)"""
+
+
+_UNCHANGED = f"""SELECT DISTINCT {_COLUMNS} FROM known
+  WHERE current_record <> 1 OR driverkey NOT IN (SELECT driverkey FROM events)"""
+
+# A version starts on its own day and ends the day before the next one; keys last until an event replaces them.
+_VERSIONS = """SELECT CASE WHEN effdt = effectivedate THEN driverrecordkey ELSE -1 END AS driverrecordkey, driverkey, drivername,
+  last_value(e1 IGNORE NULLS) OVER w AS shifttimekey, last_value(e2 IGNORE NULLS) OVER w AS coveragekey,
+  last_value(e3 IGNORE NULLS) OVER w AS companykey, hiredate,
+  CASE action WHEN 'BASE' THEN firedate WHEN 'FIRED' THEN effdt ELSE DATE '9999-12-31' END AS firedate,
+  effdt AS effectivedate, filedt AS loaddate,
+  coalesce(min(effdt) OVER later - 1, DATE '9999-12-31') AS expireddate,
+  CASE WHEN min(effdt) OVER later IS NULL THEN 1 ELSE 0 END AS current_record
+FROM (SELECT k.*, 'BASE' AS action, effectivedate AS effdt, loaddate AS filedt, shifttimekey AS e1, coveragekey AS e2, companykey AS e3
+      FROM known AS k WHERE current_record = 1 AND driverkey IN (SELECT driverkey FROM events)
+      UNION ALL
+      SELECT k.*, e.action, e.effdt, e.filedt, e1, e2, e3 FROM known AS k JOIN events AS e USING (driverkey)
+      WHERE k.current_record = 1) AS chain
+WINDOW w AS (PARTITION BY driverkey ORDER BY effdt ROWS UNBOUNDED PRECEDING),
+       later AS (PARTITION BY driverkey ORDER BY effdt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"""
+_DIM_ONLY = f"SELECT {_COLUMNS} FROM dim"
+_DIM_AND_HIRED = f"SELECT {_COLUMNS} FROM dim UNION ALL SELECT {_COLUMNS} FROM ({_HIRED}) AS h"
+
+oracle("scd2_unchanged", f"WITH {_RESOLVED}, {_day_events(_DIM_ONLY)} {_UNCHANGED}", **_SCD)
+oracle("scd2_fired", f"""WITH {_RESOLVED}, {_day_events(_DIM_ONLY, "'FIRED'")} {_VERSIONS}""", **_SCD)
+oracle("scd2_changed", f"""WITH {_RESOLVED}, {_day_events(_DIM_ONLY, "'CHANGE'")} {_VERSIONS}""", **_SCD)
 oracle("scd2_hired", f"WITH {_RESOLVED} {_HIRED}", **_SCD)
 oracle(
     "scd2_rejects",
-    f"""WITH {_RESOLVED} SELECT drivername, action, beginshift, endshift, coverage, source, effdt, filedt, reason
-        FROM (SELECT *, CASE WHEN action IN ('HIRED', 'CHANGE') AND (shifttimekey IS NULL OR coveragekey IS NULL OR companykey IS NULL)
+    f"""WITH {_RESOLVED}, known AS ({_DIM_AND_HIRED}),
+        since AS (SELECT drivername, min(effectivedate) AS since FROM known WHERE current_record = 1 GROUP BY drivername),
+        ranked AS (SELECT *, rank() OVER (PARTITION BY drivername, effdt ORDER BY filedt DESC, action DESC,
+          CASE WHEN action = 'CHANGE' THEN shifttimekey END DESC, CASE WHEN action = 'CHANGE' THEN coveragekey END DESC,
+          CASE WHEN action = 'CHANGE' THEN companykey END DESC) AS place FROM applicable)
+        SELECT drivername, action, beginshift, endshift, coverage, source, effdt, filedt, reason
+        FROM (SELECT r.*, CASE
+              WHEN r.action IN ('HIRED', 'CHANGE') AND (r.shifttimekey IS NULL OR r.coveragekey IS NULL OR r.companykey IS NULL)
                 THEN 'unknown shift, coverage or company'
-              WHEN action <> 'HIRED' AND drivername NOT IN (SELECT drivername FROM dim WHERE current_record = 1)
-                THEN 'no current driver' END AS reason FROM resolved) AS x WHERE reason IS NOT NULL""",
+              WHEN r.effdt IS NULL THEN 'no effective date'
+              WHEN r.action <> 'HIRED' AND since IS NULL THEN 'no current driver'
+              WHEN r.action <> 'HIRED' AND r.effdt <= since THEN 'not after the current version'
+              WHEN r.action <> 'HIRED' AND place > 1 THEN 'superseded on the same day' END AS reason
+              FROM resolved AS r LEFT JOIN since USING (drivername)
+              LEFT JOIN ranked AS a ON a.drivername = r.drivername AND a.effdt = r.effdt AND a.action = r.action
+                AND a.beginshift = r.beginshift AND a.coverage = r.coverage AND a.source = r.source AND a.filedt = r.filedt) AS x
+        WHERE reason IS NOT NULL""",
+    **_SCD,
+)
+oracle(
+    "scd2_interval_faults",
+    f"""WITH {_RESOLVED}, known AS ({_DIM_AND_HIRED})
+        SELECT DISTINCT driverkey, 0 AS backward, 0 AS overlaps, 1 AS current_versions FROM known""",
     **_SCD,
 )
 _FOUND = "r.shifttimekey IS NOT NULL AND r.coveragekey IS NOT NULL AND r.companykey IS NOT NULL"
@@ -430,14 +460,15 @@ oracle("scd2_fired_compat", f"WITH {_RESOLVED} {_FIRED_COMPAT}", **_SCD)
 oracle("scd2_changed_compat", f"WITH {_RESOLVED} {_CHANGED_COMPAT}", **_SCD)
 oracle("scd2_unchanged_compat", _UNCHANGED_COMPAT, dim=I.DRIVER_DIM, feed=I.DRIVER_FEED)
 for _name, _parts in (
-    ("scd2_dimension", (_UNCHANGED, _versions("'FIRED', 'CHANGE'"), _HIRED)),
+    ("scd2_dimension", (_UNCHANGED, _VERSIONS)),
     ("scd2_dimension_compat", (_UNCHANGED_COMPAT, _FIRED_COMPAT, _CHANGED_COMPAT, _HIRED)),
 ):
+    _with = f"{_RESOLVED}, {_day_events(_DIM_AND_HIRED)}" if _name == "scd2_dimension" else _RESOLVED
     oracle(
         _name,
-        f"""WITH {_RESOLVED}, united AS ({" UNION ALL ".join(f"SELECT * FROM ({part}) AS p" for part in _parts)})
-        SELECT row_number() OVER (ORDER BY driverkey, effectivedate, expireddate, drivername, shifttimekey, coveragekey, companykey,
-          hiredate, firedate, loaddate, current_record NULLS FIRST) AS driverrecordkey,
+        f"""WITH {_with}, united AS ({" UNION ALL ".join(f"SELECT * FROM ({part}) AS p" for part in _parts)})
+        SELECT row_number() OVER (ORDER BY driverkey NULLS FIRST, effectivedate NULLS FIRST, expireddate NULLS FIRST, drivername, shifttimekey, coveragekey,
+          companykey, hiredate, firedate NULLS FIRST, loaddate, current_record NULLS FIRST) AS driverrecordkey,
         driverkey, drivername, shifttimekey, coveragekey, companykey, hiredate, firedate, effectivedate, loaddate, expireddate,
         current_record FROM united""",
         **_SCD,
@@ -477,6 +508,18 @@ oracle(
           AND d.coveragekey = k.coveragekey AND d.companykey = k.companykey)""",
     **_FACT_INPUTS,
 )
+oracle(
+    "keyed_facts",
+    f"""WITH {_KEYED} SELECT datetime, street_address, city, state, source, latitude, longitude, shifttimekey, coveragekey, companykey
+        FROM keyed""",
+    **_FACT_INPUTS,
+)
+oracle(
+    "driver_bridge",
+    """SELECT shifttimekey, coveragekey, companykey, driverrecordkey, driverkey FROM dim WHERE current_record = 1
+       AND shifttimekey IS NOT NULL AND coveragekey IS NOT NULL AND companykey IS NOT NULL""",
+    dim=I.DRIVER_DIM,
+)
 oracle(
     "fact_fan_out",
     f"""WITH {_KEYED} SELECT shifttimekey, coveragekey, companykey, count(DISTINCT k.event_id) AS pickups,
@@ -506,7 +549,7 @@ oracle(
 oracle(
     "count_vectors",
     f"""WITH {_WORDS}, vocabulary AS (SELECT term, CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS term_index
-          FROM counts ORDER BY n DESC, term LIMIT 262144)
+          FROM counts)
         SELECT doc_id, term_index, CAST(count(*) AS DOUBLE) AS n FROM terms JOIN vocabulary USING (term) GROUP BY ALL""",
 )
 _SCORES = """scores AS (SELECT doc_id, avg(polarity) AS polarity, avg(subjectivity) AS subjectivity FROM words JOIN lexicon USING (term) GROUP BY doc_id)"""
@@ -551,13 +594,12 @@ oracle(
 oracle("csv_roundtrip", "SELECT * FROM customer")
 oracle(
     "message_file_roundtrip",
-    f"SELECT conv_id || '-' || turn AS created_at, {_CLEAN.format('translate(text, chr(10), chr(32))')} AS tweet FROM conversations",
+    "SELECT conv_id || '-' || turn AS created_at, text AS tweet FROM conversations",
 )
-oracle("full_refresh", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus FROM orders")
+oracle("full_refresh", "SELECT * FROM orders")
 oracle(
     "append_load",
-    """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
-       UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'""",
+    "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'O'",
 )
 oracle("load_error_budget", "SELECT * FROM customer WHERE c_custkey <> 7")
 oracle(
@@ -571,3 +613,8 @@ oracle(
     """SELECT job_id, job_completed, (SELECT count(*) FROM orders) AS loaded_rows
        FROM (VALUES (1, 'TRUE'), (2, 'FALSE (Tweet)')) AS v(job_id, job_completed)""",
 )
+oracle(
+    "stage_durations",
+    """SELECT job_id, job_completed, TRUE AS in_time, (SELECT count(*) FROM orders) AS loaded_rows
+       FROM (VALUES (1, 'TRUE'), (2, 'FALSE (Tweet)')) AS stages(job_id, job_completed)""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from dispatchmart.functions import address as A
 from dispatchmart.functions import clock as C
 from dispatchmart.functions import columns as K
 from dispatchmart.functions import fixed_values as V
-from dispatchmart.functions.messages import clean_text, message_words
+from dispatchmart.functions.messages import clean_text, message_words, off_one_line, on_one_line
 from dispatchmart.operators import dimension as D
 from dispatchmart.operators import facts as X
 from dispatchmart.operators import sets as S
@@ -27,6 +27,7 @@ from dispatchmart.plans.messages import score_messages
 from dispatchmart.session import scratch_path
 from dispatchmart.sources import loads as L
 from dispatchmart.sources.audit import run_stage
+from dispatchmart.sources.audit import stage_durations as stage_times
 from dispatchmart.sources.readers import read_csv, read_messages, stream_records
 from dispatchmart.streaming.capture import captured_messages, run_bounded_capture, start_capture
 from dispatchmart.streaming.scoring import fit_leading_terms, run_scoring
@@ -327,19 +328,22 @@ def _resolved(spark, sf_dir):
 
 @query
 def scd2_unchanged(spark, sf_dir):
-    return D.unchanged(_dim(spark, sf_dir), _resolved(spark, sf_dir))
+    dim = _dim(spark, sf_dir)
+    return D.unchanged(dim, D.day_events(dim, _resolved(spark, sf_dir)))
 
 
 @query
 def scd2_fired(spark, sf_dir):
     fired = _resolved(spark, sf_dir).where(F.col("action") == "FIRED")
-    return D.applied_versions(_dim(spark, sf_dir), fired)
+    dim = _dim(spark, sf_dir)
+    return D.applied_versions(dim, D.day_events(dim, fired))
 
 
 @query
 def scd2_changed(spark, sf_dir):
     changed = _resolved(spark, sf_dir).where(F.col("action") == "CHANGE")
-    return D.applied_versions(_dim(spark, sf_dir), changed)
+    dim = _dim(spark, sf_dir)
+    return D.applied_versions(dim, D.day_events(dim, changed))
 
 
 @query
@@ -355,7 +359,21 @@ def scd2_dimension(spark, sf_dir):
 
 @query
 def scd2_rejects(spark, sf_dir):
-    return D.rejected_rows(_dim(spark, sf_dir), _resolved(spark, sf_dir))
+    resolved = _resolved(spark, sf_dir)
+    return D.rejected_rows(D.with_hired(_dim(spark, sf_dir), resolved), resolved)
+
+
+@query
+def scd2_interval_faults(spark, sf_dir):
+    """Per driver of the updated dimension: backward intervals, overlaps and current versions."""
+    versions = scd2_dimension(spark, sf_dir)
+    following = Window.partitionBy("driverkey").orderBy("effectivedate", "expireddate")  # a driver's versions
+    checked = versions.withColumn("_next", F.lead("effectivedate").over(following))
+    return checked.groupBy("driverkey").agg(
+        F.count_if(F.col("expireddate") < F.col("effectivedate")).alias("backward"),
+        F.count_if(F.col("_next") <= F.col("expireddate")).alias("overlaps"),
+        F.sum("current_record").alias("current_versions"),
+    )
 
 
 @query
@@ -404,6 +422,17 @@ def fact_without_driver(spark, sf_dir):
     return X.pickups_without_driver(_keyed_pickups(spark, sf_dir), _dim(spark, sf_dir))
 
 
+@query
+def keyed_facts(spark, sf_dir):
+    """Each pickup once, with the keys that lead to its drivers."""
+    return _keyed_pickups(spark, sf_dir)
+
+
+@query
+def driver_bridge(spark, sf_dir):
+    return X.driver_bridge(_dim(spark, sf_dir))
+
+
 @query
 def fact_fan_out(spark, sf_dir):
     return X.drivers_per_pickup_key(_keyed_pickups(spark, sf_dir), _dim(spark, sf_dir))
@@ -497,7 +526,7 @@ def stream_capture(spark, sf_dir):
 def bounded_capture(spark, sf_dir):
     records = stream_records(spark, _record_files(spark, sf_dir))
     out, checkpoint = scratch_path(spark, "bounded"), scratch_path(spark, "bounded-state")
-    return run_bounded_capture(captured_messages(records, I.CAPTURE_WORDS), out, checkpoint)
+    return run_bounded_capture(captured_messages(records, I.CAPTURE_WORDS), out, checkpoint, V.CAPTURE_LIMIT)
 
 
 @query
@@ -537,20 +566,20 @@ def csv_roundtrip(spark, sf_dir):
 
 @query
 def message_file_roundtrip(spark, sf_dir):
-    """Captured conversation turns as a ``~`` file without a header, and back."""
+    """Whole conversation turns as a ``~`` file without a header, and back."""
     turns = I.table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("created_at"), clean_text(F.translate("text", "\n", " ")).alias("tweet")
+        F.concat_ws("-", "conv_id", "turn").alias("created_at"), on_one_line(F.col("text")).alias("tweet")
     )
     path = scratch_path(spark, "messages-csv")
     L.write_csv(turns, path, sep="~", header=False)
-    return read_messages(spark, path)
+    return read_messages(spark, path).withColumn("tweet", off_one_line(F.col("tweet")))
 
 
 @query
 def full_refresh(spark, sf_dir):
     target = scratch_path(spark, "refreshed")
     L.full_refresh(I.table(spark, sf_dir, "customer").select("c_custkey"), target)
-    L.full_refresh(I.table(spark, sf_dir, "orders").drop("o_orderdate"), target, partition_by=("o_orderstatus",))
+    L.full_refresh(I.table(spark, sf_dir, "orders"), target, partition_by=("o_orderstatus",))
     return L.read_target(spark, target)
 
 
@@ -559,7 +588,7 @@ def append_load(spark, sf_dir):
     target = scratch_path(spark, "appended")
     for status in ("O", "F", "P", "O"):
         L.append_load(I.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status), target)
-    return L.read_target(spark, target).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return L.read_target(spark, target)
 
 
 @query
@@ -599,3 +628,20 @@ def audit_rows(spark, sf_dir):
     run_stage(spark, audit, 2, "Tweet", fails)
     loaded = L.read_target(spark, target).agg(F.count("*").alias("n")).scalar()
     return L.read_target(spark, audit).select("job_id", "job_completed", loaded.alias("loaded_rows"))
+
+
+@query
+def stage_durations(spark, sf_dir):
+    """A stage that loads and one that fails: outcome, and that neither ended before it began."""
+    audit, target = scratch_path(spark, "durations"), scratch_path(spark, "timed")
+    orders = I.table(spark, sf_dir, "orders")
+
+    def fails():
+        L.full_refresh(I.table(spark, sf_dir, "no_such_feed"), target)
+
+    run_stage(spark, audit, 1, "Standardization", lambda: L.full_refresh(orders, target))
+    run_stage(spark, audit, 2, "Tweet", fails)
+    timed = stage_times(L.read_target(spark, audit))
+    in_time = (F.col("seconds") >= 0) & (F.col("job_start_time") <= F.col("job_end_time"))
+    loaded = L.read_target(spark, target).agg(F.count("*")).scalar()
+    return timed.select("job_id", "job_completed", in_time.alias("in_time"), loaded.alias("loaded_rows"))

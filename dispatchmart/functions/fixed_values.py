@@ -157,9 +157,6 @@ TAG_TERMS = 5
 TAG_THRESHOLD = 2
 LISTED_TERMS = 10
 
-# Fixed value: the vocabulary limit of Spark's CountVectorizer.
-VOCABULARY_LIMIT = 1 << 18
-
 # Spark ML's English stop words, in the order Spark lists them.
 STOP_WORDS = tuple(
     """

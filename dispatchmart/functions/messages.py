@@ -26,3 +26,18 @@ def mentions(text: Column, keywords: tuple[str, ...]) -> Column:
     """True when any keyword stands in the text as a whole word, in any case."""
     any_word = "|".join(rf"\Q{word.lower()}\E" for word in keywords)
     return F.lower(text).rlike(rf"(^|[^a-z0-9_])({any_word})([^a-z0-9_]|$)")
+
+
+def on_one_line(text: Column) -> Column:
+    """``text`` with backslashes doubled and line breaks written as backslash sequences, for a line of a file."""
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def off_one_line(text: Column) -> Column:
+    """The text that ``on_one_line`` was given."""
+    parts = F.split(text, r"\\\\")  # at doubled backslashes; what is left are single ones
+    broken = F.transform(
+        parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    )
+    return F.array_join(broken, "\\")

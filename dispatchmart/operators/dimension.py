@@ -86,57 +86,62 @@ def _keys_found() -> Column:
 
 def _applicable(resolved: DataFrame) -> DataFrame:
     """FIRED and CHANGE rows that say all they have to say."""
-    return resolved.where((F.col("action") == "FIRED") | ((F.col("action") == "CHANGE") & _keys_found()))
+    complete = (F.col("action") == "FIRED") | ((F.col("action") == "CHANGE") & _keys_found())
+    return resolved.where(complete & F.col("effdt").isNotNull())
 
 
 def _names(df: DataFrame) -> DataFrame:
     return df.select("drivername").where(F.col("drivername").isNotNull()).distinct()
 
 
-def unchanged(dim: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Closed versions, and current ones that no FIRED or CHANGE row touches."""
-    current = lookup_join(dim.where(_is_current()), _names(_applicable(resolved)), ["drivername"], "left_anti")
+def _event() -> Column:
+    """What an event says; of several events of one driver and day the greatest is the one that counts."""
+    keys = F.when(F.col("action") == "CHANGE", F.struct(*LOOKUP_KEYS)).alias("keys")
+    return F.struct("filedt", "action", keys)
+
+
+def day_events(dim: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``driverkey, effdt, event``: the one event of each day after the start of a driver's current version.
+
+    The last event of a day (by file date, then action, then keys) makes that day's version. Several steps read
+    the result, so it is checkpointed.
+    """
+    checkpoint_dir(resolved.sparkSession)
+    current = dim.where(_is_current()).select("drivername", "driverkey", F.col("effectivedate").alias("_since"))
+    events = _applicable(resolved).select("drivername", "effdt", _event().alias("event"))
+    later = lookup_join(events, current, ["drivername"]).where(F.col("effdt") > F.col("_since"))
+    return later.groupBy("driverkey", "effdt").agg(F.max("event").alias("event")).checkpoint()
+
+
+def unchanged(dim: DataFrame, events: DataFrame) -> DataFrame:
+    """Closed versions, and current ones that no event follows; ``events`` as ``day_events`` gives them."""
+    touched = events.select("driverkey").distinct()
+    current = lookup_join(dim.where(_is_current()), touched, ["driverkey"], "left_anti")
     return dim.where(~_is_current()).select(DIMENSION).unionByName(current.select(DIMENSION)).distinct()
 
 
-def applied_versions(dim: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Versions of the drivers that FIRED and CHANGE rows touch.
+def applied_versions(dim: DataFrame, events: DataFrame) -> DataFrame:
+    """Versions of the drivers that FIRED and CHANGE rows touch; ``events`` as ``day_events`` gives them.
 
-    The driver's current version and the events after it form one chain, in the
-    order of effective date and file date. FIRED keeps the keys in force before it.
+    The driver's current version and the events after it form one chain in the order of
+    their dates, which all differ. FIRED keeps the keys in force before it.
     """
-    events = _applicable(resolved)
-    touched = lookup_join(dim.where(_is_current()), _names(events), ["drivername"], "left_semi")
-    touched = touched.select(DIMENSION).checkpoint()
-    keys = F.struct(*LOOKUP_KEYS).alias("keys")
-    base = touched.select(
+    touched = events.select("driverkey").distinct()
+    base_rows = lookup_join(dim.where(_is_current()), touched, ["driverkey"], "left_semi").select(DIMENSION).checkpoint()
+    base = base_rows.select(
         *DIMENSION,
         F.lit(0).alias("step"),
         F.col("effectivedate").alias("effdt"),
         F.col("loaddate").alias("filedt"),
         F.lit("BASE").alias("action"),
-        keys,
+        F.struct(*LOOKUP_KEYS).alias("keys"),
     )
     steps = lookup_join(
-        events.select(
-            "drivername",
-            F.lit(1).alias("step"),
-            "effdt",
-            "filedt",
-            "action",
-            F.when(F.col("action") == "CHANGE", F.struct(*LOOKUP_KEYS)).alias("keys"),
-        ),
-        touched,
-        ["drivername"],
+        events.select("driverkey", F.lit(1).alias("step"), "effdt", "event.*"), base_rows, ["driverkey"]
     ).select(base.columns)
     chain = base.unionByName(steps).withColumnsRenamed({name: f"base_{name}" for name in DIMENSION})
     chained = next_and_latest(
-        chain,
-        "base_driverrecordkey",
-        ["step", "effdt", "filedt", "action"],
-        following="effdt",
-        carried="keys",
-        rows_differ=True,
+        chain, "base_driverkey", ["step", "effdt"], following="effdt", carried="keys", rows_differ=True
     )
     first = F.col("step") == 0
     last = F.col("next_effdt").isNull()
@@ -158,7 +163,8 @@ def applied_versions(dim: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def _hired_rows(resolved: DataFrame) -> DataFrame:
-    return resolved.where((F.col("action") == "HIRED") & _keys_found()).select(
+    complete = (F.col("action") == "HIRED") & _keys_found() & F.col("effdt").isNotNull()
+    return resolved.where(complete).select(
         F.lit(UNNUMBERED).alias("driverrecordkey"),
         "drivername",
         *LOOKUP_KEYS,
@@ -184,14 +190,25 @@ def hired_versions(dim: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def rejected_rows(dim: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Feed rows that change nothing, with the reason."""
-    current = _names(dim.where(_is_current())).withColumn("_current", F.lit(True))
-    checked = lookup_join(resolved, current, ["drivername"], "left")
+    """Feed rows that make no version, with the reason; ``dim`` includes the drivers the feed hires."""
+    current = dim.where(_is_current()).groupBy("drivername").agg(F.min("effectivedate").alias("_since"))
+    checked = lookup_join(resolved, current.withColumn("_current", F.lit(True)), ["drivername"], "left")
+    days = (
+        _applicable(resolved)
+        .groupBy("drivername", "effdt")
+        .agg(F.max(_event()).alias("_last"))
+        .where(F.col("drivername").isNotNull())
+    )
+    checked = lookup_join(checked, days, ["drivername", "effdt"], "left")
     action = F.col("action")
+    follows = action.isin("CHANGE", "FIRED")
     reason = (
         F.when(~F.coalesce(action.isin("HIRED", "CHANGE", "FIRED"), F.lit(False)), "unknown action")
         .when(action.isin("HIRED", "CHANGE") & ~_keys_found(), "unknown shift, coverage or company")
-        .when(action.isin("CHANGE", "FIRED") & F.col("_current").isNull(), "no current driver")
+        .when(F.col("effdt").isNull(), "no effective date")
+        .when(follows & F.col("_current").isNull(), "no current driver")
+        .when(follows & (F.col("effdt") <= F.col("_since")), "not after the current version")
+        .when(follows & (_event() < F.col("_last")), "superseded on the same day")
     )
     return checked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*FEED, "reason")
 
@@ -203,15 +220,18 @@ def number_records(versions: DataFrame) -> DataFrame:
     )
 
 
+def with_hired(dim: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The dimension and the drivers that the feed hires, so that later events of the feed find them."""
+    return dim.select(DIMENSION).unionByName(hired_versions(dim, resolved))
+
+
 def update_dimension(dim: DataFrame, feed: DataFrame, lookups: Lookups) -> DimensionUpdate:
-    """Apply a feed to the dimension; what cannot be applied comes back as rejects."""
+    """Apply a feed to the dimension; what makes no version comes back as rejects."""
     resolved = resolve_feed(feed, lookups)
-    versions = (
-        unchanged(dim, resolved)
-        .unionByName(applied_versions(dim, resolved))
-        .unionByName(hired_versions(dim, resolved))
-    )
-    return DimensionUpdate(number_records(versions), rejected_rows(dim, resolved))
+    known = with_hired(dim, resolved)
+    events = day_events(known, resolved)
+    versions = unchanged(known, events).unionByName(applied_versions(known, events))
+    return DimensionUpdate(number_records(versions), rejected_rows(known, resolved))
 
 
 # The same steps with the results older loads were made with: every version of a

@@ -47,8 +47,17 @@ def current_drivers(dim: DataFrame) -> DataFrame:
     return dim.where(F.col("current_record") == 1).select(*KEYS, "driverrecordkey", "driverkey")
 
 
+def driver_bridge(dim: DataFrame) -> DataFrame:
+    """The current drivers of each shift, coverage and company.
+
+    Pickups that carry these three keys find their drivers through it, so a fact table holds each
+    pickup once.
+    """
+    return current_drivers(dim).where(F.col("shifttimekey").isNotNull() & F.col("coveragekey").isNotNull() & F.col("companykey").isNotNull())
+
+
 def facts_with_keys(keyed: DataFrame, dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Every pickup with every current driver of its shift, coverage and company.
+    """Every pickup with every current driver of its shift, coverage and company, for those who ask for all pairs.
 
     The few key combinations hold very many pickups each; ``lookup_join`` keeps them
     from meeting in one task.

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchmart.functions import fixed_values as V
 from dispatchmart.operators.joins import BROADCAST_ROWS, lookup_join
 from dispatchmart.operators.sets import mark_head, union_feeds
 
@@ -28,18 +27,17 @@ def add_coordinates(pickups: DataFrame, gazetteer: DataFrame, max_rows: int = BR
 def geocode_feeds(
     feeds: list[DataFrame],
     gazetteer: DataFrame,
-    budget: int | None = V.GEOCODE_BUDGET,
+    budget: int | None = None,
     order_by: tuple[str, ...] = ("datetime",),
 ) -> DataFrame:
-    """All feeds in one table; the first ``budget`` pickups of each get coordinates, ``None`` means all.
+    """All feeds in one table with coordinates; under a ``budget`` only the first so many pickups of each get them.
 
-    The feeds are united before the join, so the gazetteer is read and sent out once.
+    The feeds are united before the join, so the gazetteer is read and sent out once. Pickups beyond
+    a budget take no part in it.
     """
     if budget is None:
         return add_coordinates(union_feeds(*feeds), gazetteer)
     marked = union_feeds(*[mark_head(feed, budget, list(order_by)) for feed in feeds])
-    located = add_coordinates(marked, gazetteer)
-    return located.select(
-        *feeds[0].columns,
-        *[F.when(F.col("is_head"), F.col(c)).alias(c) for c in ("latitude", "longitude")],
-    )
+    located = add_coordinates(marked.where("is_head").drop("is_head"), gazetteer)
+    nowhere = {c: F.lit(None).cast("double") for c in ("latitude", "longitude")}
+    return located.unionByName(marked.where("NOT is_head").drop("is_head").withColumns(nowhere))

@@ -10,10 +10,17 @@ from dispatchmart.operators.joins import BROADCAST_ROWS, SALTS, fits_broadcast,
 from dispatchmart.session import checkpoint_dir
 
 _KEY = "_message"
+_EXACT = "decimal(18,15)"
 
 
 def text_scores(
-    df: DataFrame, lexicon: DataFrame, key: str, text: str, max_rows: int = BROADCAST_ROWS, cleaned: bool = False
+    df: DataFrame,
+    lexicon: DataFrame,
+    key: str,
+    text: str,
+    max_rows: int = BROADCAST_ROWS,
+    cleaned: bool = False,
+    small: bool | None = None,
 ) -> DataFrame:
     """Mean polarity and subjectivity of the lexicon words per ``key``; keys without any are absent.
 
@@ -21,22 +28,26 @@ def text_scores(
 
     A measured small lexicon is broadcast and only sums per message are shuffled.
     Beyond that, words are first counted per message, and the salted join keeps a
-    word that most messages use from meeting in one task.
+    word that most messages use from meeting in one task. Scores are added up as
+    decimals, so both ways and any order of rows give the same sums. ``small`` is the
+    measurement, where the caller has made it.
     """
     letters = F.col(text) if cleaned else clean_text(F.col(text))
     words = df.select(key, F.explode(F.split(letters, r"\W")).alias("term")).where(F.col("term") != "")
     entries = lexicon.groupBy("term").agg(
         F.min(F.struct(*[F.col(c).cast("double").alias(c) for c in ("polarity", "subjectivity")])).alias("_entry")
     )
-    if fits_broadcast(lexicon, max_rows):
+    if fits_broadcast(lexicon, max_rows) if small is None else small:
         hits = words.withColumn("_n", F.lit(1)).join(F.broadcast(entries), "term")
     else:
         counted = words.groupBy(key, "term").agg(F.count("*").alias("_n"))
         hits = lookup_join(counted, entries, ["term"], max_rows=0, bound=lexicon, salts=SALTS)
     weight = F.sum("_n")
     return hits.groupBy(key).agg(
-        (F.sum(F.col("_entry.polarity") * F.col("_n")) / weight).alias("polarity"),
-        (F.sum(F.col("_entry.subjectivity") * F.col("_n")) / weight).alias("subjectivity"),
+        *[
+            (F.sum(F.col(f"_entry.{c}").cast(_EXACT) * F.col("_n")).cast("double") / weight).alias(c)
+            for c in ("polarity", "subjectivity")
+        ]
     )
 
 
@@ -47,6 +58,7 @@ def add_sentiment(
     key: str | None = None,
     max_rows: int = BROADCAST_ROWS,
     cleaned: bool = False,
+    small: bool | None = None,
 ) -> DataFrame:
     """``polarity`` and ``subjectivity``, 0 when no word is in the lexicon.
 
@@ -58,11 +70,13 @@ def add_sentiment(
         checkpoint_dir(df.sparkSession)
         key = _KEY
         df = df.checkpoint().withColumn(key, F.monotonically_increasing_id())
-    scored = df.join(text_scores(df, lexicon, key, text, max_rows, cleaned), key, "left")
+    scored = df.join(text_scores(df, lexicon, key, text, max_rows, cleaned, small), key, "left")
     filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("polarity", "subjectivity")]
     return scored.select(*columns, *filled)
 
 
-def message_facts(tagged: DataFrame, lexicon: DataFrame, text: str = "tweet", key: str | None = None) -> DataFrame:
+def message_facts(
+    tagged: DataFrame, lexicon: DataFrame, text: str = "tweet", key: str | None = None, small: bool | None = None
+) -> DataFrame:
     """Tagged messages, whose text is clean, with their sentiment and without their count vectors."""
-    return add_sentiment(tagged.drop("features"), lexicon, text, key, cleaned=True)
+    return add_sentiment(tagged.drop("features"), lexicon, text, key, cleaned=True, small=small)

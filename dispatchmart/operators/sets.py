@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dispatchmart.operators.joins import lookup_join
 from dispatchmart.operators.ordered import sortable_columns
+from dispatchmart.session import checkpoint_dir
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -50,11 +51,12 @@ def insert_missing_sources(target: DataFrame, rows: DataFrame, column: str = "so
     """Rows of ``rows`` whose ``column`` is NOT IN that column of ``target``.
 
     With SQL's meaning of NULL: a NULL in the target admits nothing, and a NULL in
-    ``rows`` is admitted only when the target is empty. The target's values are made
-    distinct before they take part, so its size does not matter.
+    ``rows`` is admitted only when the target is empty. The target is read once: its
+    distinct values are written, and they alone tell whether it is empty or holds a NULL.
     """
-    present = target.groupBy(column).agg(F.lit(1).alias("_one")).select(column)
-    has_null = target.agg(F.coalesce(F.max(F.col(column).isNull()), F.lit(False))).scalar()
-    is_empty = target.agg(F.count("*") == 0).scalar()
+    checkpoint_dir(target.sparkSession)
+    present = target.groupBy(column).agg(F.lit(1).alias("_one")).select(column).checkpoint()
+    has_null = present.agg(F.coalesce(F.max(F.col(column).isNull()), F.lit(False))).scalar()
+    is_empty = present.agg(F.count("*") == 0).scalar()
     new = lookup_join(rows, present.where(F.col(column).isNotNull()), [column], "left_anti")
     return new.where(~has_null & (F.col(column).isNotNull() | is_empty)).select(rows.columns)

@@ -11,6 +11,7 @@ from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.messages import clean_text, message_words, without_stop_words
 from dispatchmart.operators.joins import BROADCAST_ROWS, lookup_join
 from dispatchmart.operators.ordered import number_rows
+from dispatchmart.session import checkpoint_dir
 
 
 def add_words(df: DataFrame, text: str = "tweet", words: str = "words_clean") -> DataFrame:
@@ -61,26 +62,36 @@ def add_tag(df: DataFrame, leading: Column | None = None, text: str = "tweet") -
     return cleaned.withColumn("tags", tag(F.split(F.col(text), r"\W"), leading))
 
 
-def vocabulary(df: DataFrame, text: str = "tweet", size: int = V.VOCABULARY_LIMIT) -> DataFrame:
-    """The ``size`` most frequent terms with their places, 0 for the most frequent one."""
-    counts = term_counts(df, text).select(F.negative("n").alias("_rank"), "term")
+def vocabulary(df: DataFrame, text: str = "tweet", size: int | None = None) -> DataFrame:
+    """All terms, or the ``size`` most frequent ones, with their places: 0 for the most frequent one."""
+    return _placed(term_counts(df, text), size)
+
+
+def _placed(counts: DataFrame, size: int | None) -> DataFrame:
+    counts = counts.select(F.negative("n").alias("_rank"), "term")
     placed = number_rows(counts, "term_index", ["_rank", "term"], after=-1, rows_differ=True)
-    return placed.where(F.col("term_index") < size).select("term", F.col("term_index").cast("int").alias("term_index"))
+    if size is not None:
+        placed = placed.where(F.col("term_index") < size)
+    return placed.select("term", F.col("term_index").cast("int").alias("term_index"))
 
 
 def count_vectors(
     df: DataFrame,
     key: str,
     text: str = "tweet",
-    size: int = V.VOCABULARY_LIMIT,
+    size: int | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Sparse count vectors over the vocabulary as ``indices`` and ``values``, one row per message.
+    """Sparse count vectors over all terms, or the ``size`` most frequent, as ``indices`` and ``values``.
 
-    The vocabulary stays a table; a message without terms has empty arrays.
+    The texts are cut into words once: the counts per message are written, the vocabulary is
+    summed from them and joined back. The vocabulary stays a table; a message without terms has
+    empty arrays.
     """
-    terms = vocabulary(df, text, size)
-    entries = lookup_join(document_term_counts(df, key, text), terms, ["term"], max_rows=max_rows)
+    checkpoint_dir(df.sparkSession)
+    counts = document_term_counts(df, key, text).checkpoint()
+    terms = _placed(counts.groupBy("term").agg(F.sum("n").alias("n")), size)
+    entries = lookup_join(counts, terms, ["term"], max_rows=max_rows)
     vectors = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "n"))).alias("_entries"))
     filled = df.select(key).join(vectors, key, "left").withColumn(
         "_entries", F.coalesce("_entries", F.array().cast("array<struct<term_index:int,n:bigint>>"))
@@ -92,8 +103,12 @@ def count_vectors(
     )
 
 
-def add_features(df: DataFrame, text: str = "tweet", size: int = V.VOCABULARY_LIMIT) -> DataFrame:
-    """Spark ML's count vectors as ``features``; the order of equally frequent terms is Spark's choice."""
+def add_features(df: DataFrame, size: int, text: str = "tweet") -> DataFrame:
+    """Spark ML's count vectors as ``features``; the order of equally frequent terms is Spark's choice.
+
+    Spark ML brings the ``size`` terms of its vocabulary to the driver, so the caller says how many there may be;
+    ``count_vectors`` has no such bound.
+    """
     stages = [
         RegexTokenizer(inputCol="_clean", outputCol="words_token", pattern=r"\W"),
         StopWordsRemover(inputCol="words_token", outputCol="words_clean", stopWords=list(V.STOP_WORDS)),

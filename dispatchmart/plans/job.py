@@ -10,16 +10,22 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from dispatchmart import schemas
-from dispatchmart.functions import fixed_values as V
 from dispatchmart.operators.dimension import Lookups, dimension_as_text, update_dimension
-from dispatchmart.operators.facts import add_pickup_keys, facts_with_keys, pickups_without_driver
+from dispatchmart.operators.facts import add_pickup_keys, driver_bridge, facts_with_keys, pickups_without_driver
 from dispatchmart.plans.messages import score_messages
 from dispatchmart.plans.standardize import standard_pickups
 from dispatchmart.sources.audit import run_stage
-from dispatchmart.sources.loads import full_refresh, merge_second_source, read_target, write_csv
-from dispatchmart.sources.readers import read_csv, read_messages
+from dispatchmart.sources.loads import (
+    full_refresh,
+    load_with_error_budget,
+    merge_second_source,
+    read_target,
+    write_csv,
+)
+from dispatchmart.sources.readers import read_messages
 
 
 @dataclass(frozen=True)
@@ -43,11 +49,20 @@ class Targets:
         return f"{self.root}/{table}"
 
 
-def load_pickups(spark: SparkSession, inputs: Inputs, targets: Targets, budget: int | None = V.GEOCODE_BUDGET) -> None:
+def read_feed(spark: SparkSession, path: str, schema: T.StructType, targets: Targets, name: str) -> DataFrame:
+    """An arriving file under the error budget of a load: its good rows, the bad ones next to them.
+
+    ``LoadRejected`` when there are too many of these.
+    """
+    accepted, quarantine = targets[f"accepted_{name}"], targets[f"quarantine_{name}"]
+    return load_with_error_budget(spark, path, schema, accepted, quarantine).loaded
+
+
+def load_pickups(spark: SparkSession, inputs: Inputs, targets: Targets, budget: int | None = None) -> None:
     pickups = standard_pickups(
-        read_csv(spark, inputs.location_feed, schemas.LOCATION_FEED),
-        read_csv(spark, inputs.free_text_feed, schemas.FREE_TEXT_FEED),
-        read_csv(spark, inputs.split_field_feed, schemas.SPLIT_FIELD_FEED),
+        read_feed(spark, inputs.location_feed, schemas.LOCATION_FEED, targets, "location_feed"),
+        read_feed(spark, inputs.free_text_feed, schemas.FREE_TEXT_FEED, targets, "free_text_feed"),
+        read_feed(spark, inputs.split_field_feed, schemas.SPLIT_FIELD_FEED, targets, "split_field_feed"),
         read_target(spark, targets["gazetteer"]),
         budget,
     )
@@ -59,8 +74,11 @@ def load_messages(spark: SparkSession, inputs: Inputs, targets: Targets) -> None
     full_refresh(score_messages(read_messages(spark, inputs.messages), lexicon), targets["tweet_analysis"])
 
 
-def load_drivers(spark: SparkSession, targets: Targets) -> None:
-    """New dimension next to the old one, its rejects, and the facts with keys."""
+def load_drivers(spark: SparkSession, targets: Targets, expand_facts: bool = False) -> None:
+    """New dimension next to the old one, its rejects, the pickups with their keys and the bridge to the drivers.
+
+    ``expand_facts`` also writes every pickup with every driver, which grows as pickups times drivers.
+    """
     lookups = Lookups(
         read_target(spark, targets["shifttime_dim"]),
         read_target(spark, targets["coverage_dim"]),
@@ -71,12 +89,15 @@ def load_drivers(spark: SparkSession, targets: Targets) -> None:
     full_refresh(update.rejects, targets["driver_feed_rejects"])
     dimension = read_target(spark, targets["driver_dim_updated"])
     keyed = add_pickup_keys(read_target(spark, targets["pickup_data"]))
-    full_refresh(facts_with_keys(keyed, dimension), targets["pickup_data_withkeys"])
+    full_refresh(keyed, targets["pickup_data_keyed"])
+    full_refresh(driver_bridge(dimension), targets["driver_bridge"])
+    if expand_facts:
+        full_refresh(facts_with_keys(keyed, dimension), targets["pickup_data_withkeys"])
     full_refresh(pickups_without_driver(keyed, dimension), targets["pickup_data_unserved"])
 
 
 def load_second_source(spark: SparkSession, inputs: Inputs, targets: Targets) -> None:
-    second = read_csv(spark, inputs.second_source, schemas.PICKUP)
+    second = read_feed(spark, inputs.second_source, schemas.PICKUP, targets, "second_source")
     merge_second_source(second, read_target(spark, targets["pickup_data"]), targets["pickupdata_with_anothersource"])
 
 
@@ -85,12 +106,14 @@ def export_dimension(spark: SparkSession, targets: Targets, path: str) -> None:
     write_csv(dimension_as_text(read_target(spark, targets["driver_dim_updated"])), path)
 
 
-def run_job(spark: SparkSession, inputs: Inputs, targets: Targets, budget: int | None = V.GEOCODE_BUDGET) -> DataFrame:
+def run_job(
+    spark: SparkSession, inputs: Inputs, targets: Targets, budget: int | None = None, expand_facts: bool = False
+) -> DataFrame:
     """All stages in order; returns the audit table."""
     stages: list[tuple[str, Callable[[], None]]] = [
         ("Standardization", lambda: load_pickups(spark, inputs, targets, budget)),
         ("Tweet", lambda: load_messages(spark, inputs, targets)),
-        ("SCD", lambda: load_drivers(spark, targets)),
+        ("SCD", lambda: load_drivers(spark, targets, expand_facts)),
         ("Second source", lambda: load_second_source(spark, inputs, targets)),
     ]
     for job_id, (stage, work) in enumerate(stages, start=1):

@@ -88,10 +88,10 @@ def standard_pickups(
     free_text: DataFrame,
     split_field: DataFrame,
     gazetteer: DataFrame,
-    budget: int | None = V.GEOCODE_BUDGET,
+    budget: int | None = None,
     compat: bool = False,
 ) -> DataFrame:
-    """All three feeds in one table, with coordinates for the first ``budget`` pickups of each."""
+    """All three feeds in one table, with coordinates; ``budget`` limits these to the first pickups of each feed."""
     feeds = [
         location_feed(location, compat),
         free_text_feed(free_text, compat),

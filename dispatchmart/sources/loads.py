@@ -6,6 +6,7 @@ with JDBC options it is a table of that database.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
@@ -53,11 +54,35 @@ def full_refresh(
 ) -> None:
     """Replace everything the target holds; a database table is truncated, not dropped.
 
-    The new content is computed into a checkpoint first, and the target is only
-    touched when that has succeeded. ``df`` may therefore read the target.
+    A folder is written once, next to the target, and takes its place by renaming when it
+    is complete; until then readers see the old content. Tables are computed into a
+    checkpoint first. Either way ``df`` may read the target, and a failure leaves it as it was.
     """
-    checkpoint_dir(df.sparkSession)
-    _write(df.checkpoint().write.mode("overwrite").partitionBy(*partition_by), target, jdbc)
+    if jdbc is None and "/" in target:
+        incoming = f"{target.rstrip('/')}-incoming-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(incoming)
+        _take_place(df.sparkSession, incoming, target)
+    else:
+        checkpoint_dir(df.sparkSession)
+        _write(df.checkpoint().write.mode("overwrite").partitionBy(*partition_by), target, jdbc)
+
+
+def _take_place(spark: SparkSession, incoming: str, target: str) -> None:
+    """Rename ``incoming`` to ``target``; what was there goes once the new content is in place."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, place = hadoop.Path(incoming), hadoop.Path(target)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = hadoop.Path(f"{target.rstrip('/')}-outgoing-{uuid.uuid4().hex}")
+    had = files.exists(place)
+    if had and not files.rename(place, old):
+        raise OSError(f"{target} cannot be renamed")
+    if not files.rename(new, place):
+        if had:
+            files.rename(old, place)
+        raise OSError(f"{incoming} cannot take the place of {target}")
+    if had:
+        files.delete(old, True)
+    spark.catalog.refreshByPath(target)
 
 
 def append_load(
@@ -79,9 +104,8 @@ def load_with_error_budget(
 ) -> LoadResult:
     """Load a delimited file; bad rows are set aside while there are fewer than ``max_errors``.
 
-    The first pass writes the bad rows to ``quarantine``; each task stops at
-    ``max_errors`` of them. The target is untouched when the load fails.
-    All columns are parsed in both passes, so both see the same rows as bad.
+    The first pass writes all bad rows to ``quarantine``. The target is untouched when the
+    load fails. All columns are parsed in both passes, so both see the same rows as bad.
     """
     marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     rows = (
@@ -93,11 +117,11 @@ def load_with_error_budget(
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=_BAD,
             columnPruning=False,
-            enforceSchema=True,
+            enforceSchema=not header,
         )
         .csv(path)
     )
-    bad = rows.where(F.col(_BAD).isNotNull()).limit(max_errors)
+    bad = rows.where(F.col(_BAD).isNotNull())
     full_refresh(bad.withColumnRenamed(_BAD, "record"), quarantine)
     rejected = read_target(spark, quarantine)
     found = rejected.count()
@@ -108,9 +132,9 @@ def load_with_error_budget(
 
 
 def merge_second_source(second: DataFrame, pickups: DataFrame, target: str) -> DataFrame:
-    """Append a second source, then the pickups whose source the target lacks."""
-    spark = second.sparkSession
-    append_load(second, target)
-    merged = read_target(spark, target)
-    append_load(insert_missing_sources(merged, pickups), target)
-    return read_target(spark, target)
+    """A second source, and the pickups whose source it lacks, as the whole content of ``target``.
+
+    One write, which a repeated run replaces.
+    """
+    full_refresh(second.unionByName(insert_missing_sources(second, pickups)), target)
+    return read_target(second.sparkSession, target)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,9 +46,9 @@ def start_capture(messages: DataFrame, path: str, checkpoint: str, fmt: str = "p
 
 
 def run_bounded_capture(
-    messages: DataFrame, path: str, checkpoint: str, limit: int = V.CAPTURE_LIMIT
+    messages: DataFrame, path: str, checkpoint: str, limit: int
 ) -> DataFrame:
-    """Capture at most ``limit`` messages in all, over any number of runs.
+    """Capture at most ``limit`` messages in all, over any number of runs; the stream ends when there are so many.
 
     Each micro-batch owns one folder, which it replaces when it runs again, and counts
     only the folders of earlier batches, so a batch that is repeated after a failure
@@ -54,6 +56,8 @@ def run_bounded_capture(
     """
     spark = messages.sparkSession
 
+    full = threading.Event()
+
     def keep_first(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         earlier = _captured(session, path).where(F.col("batch") < batch_id)
@@ -62,6 +66,8 @@ def run_bounded_capture(
             batch.orderBy("created_at", "tweet").limit(room).write.mode("overwrite").parquet(
                 f"{path}/batch={batch_id}"
             )
+        if _captured(session, path).count() >= limit:
+            full.set()
 
     _captured(spark, path, create=True)
     query = (
@@ -70,7 +76,9 @@ def run_bounded_capture(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    while not query.awaitTermination(1):
+        if full.is_set():
+            query.stop()
     return _captured(spark, path).drop("batch")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
+from dispatchmart.operators.joins import fits_broadcast
 from dispatchmart.operators.sentiment import message_facts
 from dispatchmart.operators.terms import add_tag, top_terms
 
@@ -20,14 +21,18 @@ def run_scoring(
 ) -> DataFrame:
     """Tag and score a message stream with fitted terms, one folder per micro-batch.
 
-    A repeated batch replaces its own folder.
+    A repeated batch replaces its own folder. The lexicon is measured once, before the
+    stream starts, and a batch is read from the stream once.
     """
     spark = messages.sparkSession
+    small = fits_broadcast(lexicon)
     terms = F.array(*[F.lit(term) for term in leading]).cast("array<string>")
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        facts = message_facts(add_tag(batch, terms), lexicon, key=key)
+        batch.persist()
+        facts = message_facts(add_tag(batch, terms), lexicon, key=key, small=small)
         facts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     query = (
         messages.writeStream.foreachBatch(score)

@@ -62,7 +62,7 @@ def test_read_table_from_the_catalog(spark):
         R.read_table(spark, "three", jdbc={"url": "jdbc:none"}, split_on="id")
 
 
-@pytest.mark.parametrize("bad, passes", [(0, True), (1, True), (2, False), (3, False)])
+@pytest.mark.parametrize("bad, passes", [(0, True), (1, True), (2, False), (3, False), (50, False)])
 def test_error_budget(spark, tmp_path, bad, passes):
     lines = ["k,v", *[f"{i},{i}.5" for i in range(20)], *[f"x{i},1.0" for i in range(bad)]]
     path = write(tmp_path / "in.csv", "\n".join(lines) + "\n")
@@ -80,6 +80,7 @@ def test_error_budget(spark, tmp_path, bad, passes):
         with pytest.raises(L.LoadRejected):
             L.load_with_error_budget(*arguments)
         assert L.read_target(spark, target).columns == ["id"]
+        assert L.read_target(spark, quarantine).count() == bad
 
 
 def test_refresh_append_and_second_source(spark, tmp_path):
@@ -89,7 +90,19 @@ def test_refresh_append_and_second_source(spark, tmp_path):
     L.full_refresh(two, target)
     L.full_refresh(one, target)
     assert rows(L.read_target(spark, target)) == [("A", 1)]
-    assert rows(L.merge_second_source(one, two, target), "i") == [("A", 1), ("A", 1), ("B", 3), ("B", 3)]
+    for _ in range(2):  # a repeated run replaces what the first has written
+        assert rows(L.merge_second_source(one, two, target), "i") == [("A", 1), ("B", 3), ("B", 3)]
+
+
+def test_refresh_that_breaks_leaves_the_old_target(spark, tmp_path):
+    target = str(tmp_path / "t")
+    L.full_refresh(spark.range(5), target)
+    half = spark.range(0, 1000, 1, 8).select(F.when(F.col("id") == 900, F.raise_error(F.lit("broken"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="broken"):
+        L.full_refresh(half, target)
+    assert L.read_target(spark, target).count() == 5
+    L.full_refresh(L.read_target(spark, target).where("id > 2"), target)
+    assert rows(L.read_target(spark, target)) == [(3,), (4,)]
 
 
 def test_table_target(spark):
@@ -259,8 +272,12 @@ def mart(spark, tmp_path):
 
 def test_whole_job(spark, mart, tmp_path):
     inputs, targets = mart
-    audit = job.run_job(spark, inputs, targets)
+    audit = job.run_job(spark, inputs, targets, expand_facts=True)
     assert rows(audit.select("job_id", "job_completed"), "job_id") == [(i, "TRUE") for i in range(1, 5)]
+    keyed = L.read_target(spark, targets["pickup_data_keyed"]).join(
+        L.read_target(spark, targets["driver_bridge"]), ["shifttimekey", "coveragekey", "companykey"]
+    )
+    assert rows(keyed.select("driverrecordkey", "source"), "source") == [(2, "DIAL7"), (1, "SKYLINE")]
     facts = L.read_target(spark, targets["pickup_data_withkeys"])
     assert rows(facts.select("driverrecordkey", "driverkey", "datetime", "source", "latitude"), "source") == [
         (2, 2, "21:00", "DIAL7", None),
@@ -280,6 +297,21 @@ def test_whole_job(spark, mart, tmp_path):
     assert exported.where("drivername = 'B'").first().expireddate == "12/31/9999"
 
 
+def test_malformed_feed_rows_are_set_aside_or_fail_the_stage(spark, mart):
+    inputs, targets = mart
+    with open(inputs.location_feed, "a") as file:
+        file.write("one,two\n")
+    assert {r.job_completed for r in job.run_job(spark, inputs, targets).collect()} == {"TRUE"}
+    assert L.read_target(spark, targets["quarantine_location_feed"]).count() == 1
+    loaded = L.read_target(spark, targets["pickup_data"]).count()
+    with open(inputs.location_feed, "a") as file:
+        file.write("a,b,c,d,e\n" * 3)
+    outcomes = [r.job_completed for r in job.run_job(spark, inputs, targets).orderBy("job_start_time").collect()]
+    assert outcomes[4:] == ["FALSE (Standardization)", "TRUE", "TRUE", "TRUE"]
+    assert L.read_target(spark, targets["quarantine_location_feed"]).count() == 4
+    assert L.read_target(spark, targets["pickup_data"]).count() == loaded
+
+
 def test_failed_stage_does_not_load(spark, mart):
     inputs, targets = mart
     job.run_job(spark, inputs, targets)

@@ -215,7 +215,7 @@ def lookups(spark):
 
 def feed(spark, *events):
     full = [
-        (name, action, begin, end, place, company, day, day.replace(year=day.year + 1))
+        (name, action, begin, end, place, company, day, day and day.replace(year=day.year + 1))
         for name, action, begin, end, place, company, day in events
     ]
     return spark.createDataFrame(full, schemas.DRIVER_FEED)
@@ -295,6 +295,36 @@ def test_rejects_leave_the_dimension_alone(spark, drivers, lookups):
     }
 
 
+def test_late_undated_and_same_day_events(spark, drivers, lookups):
+    events = feed(
+        spark,
+        ("A", "CHANGE", *EVENING, date(2018, 5, 5)),
+        ("A", "CHANGE", *EVENING, date(2020, 1, 1)),
+        ("A", "FIRED", None, None, None, None, None),
+        ("A", "CHANGE", *EVENING, date(2021, 3, 3)),
+        ("A", "FIRED", None, None, None, None, date(2021, 3, 3)),
+        ("H", "HIRED", *NIGHT, date(2021, 1, 1)),
+        ("H", "CHANGE", *EVENING, date(2021, 2, 1)),
+        ("H", "FIRED", None, None, None, None, date(2021, 3, 1)),
+    )
+    update = D.update_dimension(drivers, events, lookups)
+    changed = update.dimension.where("drivername IN ('A', 'H')")
+    got = rows(changed.select("drivername", "effectivedate", "expireddate", "coveragekey", "firedate", "current_record"), "drivername", "effectivedate")
+    assert got == [
+        ("A", date(2020, 1, 1), date(2021, 3, 2), 1, OPEN, 0),
+        ("A", date(2021, 3, 3), OPEN, 1, date(2021, 3, 3), 1),
+        ("H", date(2021, 1, 1), date(2021, 1, 31), 1, OPEN, 0),
+        ("H", date(2021, 2, 1), date(2021, 2, 28), 7, OPEN, 0),
+        ("H", date(2021, 3, 1), OPEN, 7, date(2021, 3, 1), 1),
+    ]
+    assert sorted(rows(update.rejects.select("drivername", "action", "reason"))) == [
+        ("A", "CHANGE", "not after the current version"),
+        ("A", "CHANGE", "not after the current version"),
+        ("A", "CHANGE", "superseded on the same day"),
+        ("A", "FIRED", "no effective date"),
+    ]
+
+
 def test_dimension_invariants(spark, lookups):
     rng = random.Random(3)
     names = [f"N{i}" for i in range(40)]
@@ -419,7 +449,7 @@ def test_count_vectors(messages, max_rows):
 
 
 def test_ml_features_hold_the_same_counts(messages):
-    vectors = {r.id: sorted(r.features.values.tolist()) for r in W.add_features(messages).collect()}
+    vectors = {r.id: sorted(r.features.values.tolist()) for r in W.add_features(messages, 100).collect()}
     assert vectors == {r[0]: sorted(r[2]) for r in rows(W.count_vectors(messages, "id"))}
 
 
@@ -433,5 +463,5 @@ def test_sentiment(messages, lexicon, key, max_rows):
 
 
 def test_message_facts(messages, lexicon):
-    facts = score_messages(messages, lexicon, features=True)
+    facts = score_messages(messages, lexicon, features=100)
     assert facts.columns == ["id", "tweet", "tags", "polarity", "subjectivity"]
