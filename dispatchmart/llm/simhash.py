@@ -245,12 +245,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where(F.col("doc_id") == F.col("_first"))
         .select(F.col("doc_id").alias("_kept"), "_rows")
     )
-    same = F.col(f"`{id_col}`").cast("long") == F.col("_kept")
     # Identifiers are few bytes each: sent to every task if measured small, else joined by their hash.
     once, repeated = ids.where("_rows = 1"), ids.where("_rows > 1")
     small = fits_broadcast(ids)
-    kept = docs.join(F.broadcast(once) if small else once, same, "left_semi")
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        # Both sides are named by their table: columns of docs may have any name.
+        same = docs[f"`{id_col}`"].cast("long") == wanted["_kept"]
+        return docs.join(F.broadcast(wanted) if small else wanted, same, "left_semi")
+
+    kept = rows_of(once)
     if not repeated.isEmpty():
-        copies = docs.join(F.broadcast(repeated) if small else repeated, same, "left_semi")
-        kept = kept.unionByName(copies.dropDuplicates([id_col]))
+        kept = kept.unionByName(rows_of(repeated).dropDuplicates([id_col]))
     return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
