@@ -1,6 +1,6 @@
 """Small documents with everything that may go wrong, under columns whose names operators use themselves."""
 
-EXTRA = "score double, length long, bits long, key string, _row long, kept boolean, component_id long, rank int, host string"
+EXTRA = "score double, length long, bits long, key string, _row long, kept boolean, component_id long, rank int, host string, _kept long"
 SCHEMA = f"doc_id long, text string, {EXTRA}"
 
 PROSE = "The cat sat on the mat, and the dog lay by the door. " * 8
@@ -25,7 +25,7 @@ TEXTS = [
 def edge_rows(spark):
     rows = [(i, text) for i, text in enumerate(TEXTS)]
     rows += [(3, "one"), (3, "one"), (None, "no identifier"), (None, None), (-7, PROSE)]
-    return spark.createDataFrame([(*row, *([None] * 9)) for row in rows], SCHEMA)
+    return spark.createDataFrame([(*row, *([None] * 10)) for row in rows], SCHEMA)
 
 
 def empty_rows(spark):
