@@ -257,6 +257,14 @@ def test_dimension_seed(spark, drivers, lookups):
     assert update.rejects.count() == 0
 
 
+def test_vocabulary_has_no_default_limit(spark):
+    n = 270_000
+    word = F.concat(F.lit("zz"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    messages = spark.range(0, n, 1, 8).groupBy((F.col("id") % 500).alias("id")).agg(F.concat_ws(" ", F.collect_list(word)).alias("tweet"))
+    entries = W.count_vectors(messages, "id").select(F.explode("indices").alias("i"))
+    assert entries.agg(F.count("*"), F.countDistinct("i"), F.max("i")).first() == (n, n, n - 1)
+
+
 def test_several_events_of_one_driver(spark, drivers, lookups):
     events = feed(
         spark,
