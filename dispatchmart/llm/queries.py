@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bpe, classifier, counts, lm, packing, rules, simhash, topk, urls, warc
+from dispatchmart.llm import bigrams, bpe, classifier, counts, packing, rules, simhash, topk, urls, warc
 from dispatchmart.llm.oracles import QUALITY_RULES, REVISITS, URL_FILTER
 from dispatchmart.llm.records import spark_records
 from dispatchmart.llm.common import table
@@ -94,7 +94,7 @@ def op5_quality_rules(spark, sf_dir):
 def op6_lm_scoring(spark, sf_dir):
     """The target is what the labels call good; the background is the whole corpus."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return bigrams.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 @query
