@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bigrams, bpe, classifier, counts, packing, rules, simhash, topk, urls, warc
-from dispatchmart.llm.oracles import QUALITY_RULES, REVISITS, URL_FILTER
+from dispatchmart.llm import bigrams, bpe, classifier, counts, lines, packing, rules, simhash, topk, urls, warc
+from dispatchmart.llm.oracles import LINE_DEDUP, QUALITY_RULES, REVISITS, URL_FILTER
 from dispatchmart.llm.records import spark_records
 from dispatchmart.llm.common import table
 
@@ -126,6 +126,13 @@ def op9_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op12_line_dedup(spark, sf_dir):
+    kept = lines.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 ORACLES["op2_warc_revisits"] = REVISITS
 ORACLES["op3_url_filter"] = URL_FILTER
 ORACLES["op5_quality_rules"] = QUALITY_RULES
+ORACLES["op12_line_dedup"] = LINE_DEDUP
