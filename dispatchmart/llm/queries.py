@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bigrams, bpe, classifier, counts, lines, packing, rules, simhash, topk, urls, warc
+from dispatchmart.llm import bigrams, bpe, classifier, counts, lines, packing, periods, rules, simhash, topk, urls, warc
 from dispatchmart.llm.oracles import LINE_DEDUP, QUALITY_RULES, REVISITS, URL_FILTER
 from dispatchmart.llm.records import spark_records
 from dispatchmart.llm.common import table
@@ -132,6 +132,13 @@ def op12_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periods.collapse_runs(table(spark, sf_dir, "documents"))
+    digest = F.sha2("collapsed", 256).alias("collapsed_sha256")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", digest)
+
+
 ORACLES["op2_warc_revisits"] = REVISITS
 ORACLES["op3_url_filter"] = URL_FILTER
 ORACLES["op5_quality_rules"] = QUALITY_RULES
