@@ -51,7 +51,7 @@ def _texts(batch: pa.RecordBatch):
     return (value.as_py() for value in batch.column("text").cast(pa.binary()))
 
 
-def last_documents(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+def last_documents(docs: DataFrame, min_chars: int, min_docs: int, keys_at_once: int = KEYS_AT_ONCE) -> DataFrame:
     """``key, owner``: for each key and task the largest documents that hold it, ``min_docs`` at most."""
 
     def emit(held):
@@ -67,7 +67,7 @@ def last_documents(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
                     owners = held.get(key, ())
                     if owner not in owners:
                         held[key] = tuple(sorted((*owners, owner))[-min_docs:])
-                if len(held) >= KEYS_AT_ONCE:
+                if len(held) >= keys_at_once:
                     yield emit(held)
                     held = {}
         yield emit(held)

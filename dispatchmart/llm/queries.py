@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchmart.llm import bigrams, bpe, classifier, counts, lines, packing, periods, rules, simhash, topk, urls, warc
+from dispatchmart.llm import bigrams, bpe, classifier, conversations, counts, lines, packing, periods, rules, simhash, topk, urls, warc
 from dispatchmart.llm.oracles import LINE_DEDUP, QUALITY_RULES, REVISITS, URL_FILTER
 from dispatchmart.llm.records import spark_records
 from dispatchmart.llm.common import table
@@ -126,6 +126,12 @@ def op9_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """Conversations damaged by a hash of their turns, repaired."""
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))).conversations
+
+
 @query
 def op12_line_dedup(spark, sf_dir):
     kept = lines.drop_shared_lines(table(spark, sf_dir, "documents"))

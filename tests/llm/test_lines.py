@@ -73,12 +73,13 @@ def test_ties_repeated_rows_and_short_keys(spark):
     assert by_id[9] == [(0, "")]
 
 
-def test_a_task_keeps_few_documents_of_a_line(spark, monkeypatch):
+def test_a_task_keeps_few_documents_of_a_line(spark):
     """A line of every document leaves a task as ``min_docs`` rows, however many documents it saw."""
     df = spark.range(4000).selectExpr("id AS owner", f"'{SHARED}' AS text").coalesce(2)
     held = lines.last_documents(df, 20, 3).collect()
     assert len(held) <= 2 * 3
-    monkeypatch.setattr(lines, "KEYS_AT_ONCE", 1)
+    handed_on = lines.last_documents(df, 20, 3, keys_at_once=1).collect()
+    assert len(handed_on) > 6 and max(r["owner"] for r in handed_on) == 3999
     shared = lines.shared_lines(df, 20, 3).collect()
     assert [r["keeper"] for r in shared] == [3999]
 
