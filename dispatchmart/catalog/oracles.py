@@ -618,3 +618,17 @@ oracle(
     """SELECT job_id, job_completed, TRUE AS in_time, (SELECT count(*) FROM orders) AS loaded_rows
        FROM (VALUES (1, 'TRUE'), (2, 'FALSE (Tweet)')) AS stages(job_id, job_completed)""",
 )
+
+_ALL_ORDERS = "SELECT '{step}' AS step, 'orders' AS target, count(*) AS n, sum(o_orderkey) AS keys FROM orders {where}"
+_ALL_LINES = "SELECT '{step}', 'lines', count(*), sum(l_partkey) FROM lineitem {where}"
+oracle(
+    "atomic_loads",
+    " UNION ALL ".join(
+        [
+            *(_ALL_ORDERS.format(step=step, where="WHERE o_orderstatus = 'O'") for step in ("first", "broken")),
+            *(_ALL_ORDERS.format(step=step, where="") for step in ("restarted", "rolled back")),
+            *(_ALL_LINES.format(step=step, where="WHERE l_linenumber = 1") for step in ("first", "broken")),
+            *(_ALL_LINES.format(step=step, where="") for step in ("restarted", "rolled back")),
+        ]
+    ),
+)

@@ -27,6 +27,7 @@ from dispatchmart.plans.messages import score_messages
 from dispatchmart.session import scratch_path
 from dispatchmart.sources import loads as L
 from dispatchmart.sources.audit import run_stage
+from dispatchmart.sources.commits import Store
 from dispatchmart.sources.audit import stage_durations as stage_times
 from dispatchmart.sources.readers import read_csv, read_messages, stream_records
 from dispatchmart.streaming.capture import captured_messages, run_bounded_capture, start_capture
@@ -557,6 +558,11 @@ _CUSTOMER = T.StructType(
 )
 
 
+def _mart_table(spark, name):
+    """A table in a folder of its own, below which nothing else is kept."""
+    return f"{scratch_path(spark, 'mart')}/{name}"
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "customer-csv")
@@ -577,7 +583,7 @@ def message_file_roundtrip(spark, sf_dir):
 
 @query
 def full_refresh(spark, sf_dir):
-    target = scratch_path(spark, "refreshed")
+    target = _mart_table(spark, "refreshed")
     L.full_refresh(I.table(spark, sf_dir, "customer").select("c_custkey"), target)
     L.full_refresh(I.table(spark, sf_dir, "orders"), target, partition_by=("o_orderstatus",))
     return L.read_target(spark, target)
@@ -585,12 +591,42 @@ def full_refresh(spark, sf_dir):
 
 @query
 def append_load(spark, sf_dir):
-    target = scratch_path(spark, "appended")
+    target = _mart_table(spark, "appended")
     for status in ("O", "F", "P", "O"):
         L.append_load(I.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status), target)
     return L.read_target(spark, target)
 
 
+@query
+def atomic_loads(spark, sf_dir):
+    """What readers see of two tables: first load, a job broken between its two loads, its restart, one rolled back."""
+    orders, lines = (I.table(spark, sf_dir, name) for name in ("orders", "lineitem"))
+    store, seen = Store(spark, scratch_path(spark, "mart")), []
+    first = store.begin()
+    first.replace("orders", orders.where(F.col("o_orderstatus") == "O"), ("o_orderpriority",))
+    first.replace("lines", lines.where(F.col("l_linenumber") == 1))
+    first.publish()
+    seen.append(("first", store.snapshot()))
+    store.begin("nightly").replace("orders", orders)
+    seen.append(("broken", store.snapshot()))
+    again = store.begin("nightly")
+    again.replace("orders", orders)
+    again.append("lines", lines.where(F.col("l_linenumber") > 1))
+    again.publish()
+    seen.append(("restarted", store.snapshot()))
+    dropped = store.begin("dropped")
+    dropped.replace("orders", orders.where(F.col("o_orderstatus") == "F"))
+    dropped.roll_back()
+    seen.append(("rolled back", store.snapshot()))
+
+    def summary(step, snapshot, table, key):
+        rows = store.read(table, snapshot=snapshot)
+        return rows.agg(F.count("*").alias("n"), F.sum(key).alias("keys")).select(F.lit(step).alias("step"), F.lit(table).alias("target"), "n", "keys")
+
+    keys = {"orders": "o_orderkey", "lines": "l_partkey"}
+    return S.union_feeds(*[summary(step, state, table, key) for step, state in seen for table, key in keys.items()])
+
+
 @query
 def load_error_budget(spark, sf_dir):
     """The customers as CSV, with one account balance that is no number."""
@@ -598,9 +634,8 @@ def load_error_budget(spark, sf_dir):
     broken = F.when(F.col("c_custkey") == 7, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
     path = scratch_path(spark, "broken-csv")
     L.write_csv(customers.withColumn("c_acctbal", broken), path)
-    return L.load_with_error_budget(
-        spark, path, _CUSTOMER, scratch_path(spark, "loaded"), scratch_path(spark, "quarantine")
-    ).loaded
+    mart = scratch_path(spark, "mart")
+    return L.load_with_error_budget(spark, path, _CUSTOMER, f"{mart}/loaded", f"{mart}/quarantine").loaded
 
 
 @query
@@ -611,13 +646,13 @@ def second_source(spark, sf_dir):
     first = orders.where(F.col("o_orderstatus") != "F").select(
         "o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.lit("1-URGENT")).otherwise(F.lit("SKYLINE")).alias("source")
     )
-    return L.merge_second_source(second, first, scratch_path(spark, "second-source"))
+    return L.merge_second_source(second, first, _mart_table(spark, "second_source"))
 
 
 @query
 def audit_rows(spark, sf_dir):
     """Two stages, of which the second fails before it loads; what was loaded is counted."""
-    audit, target = scratch_path(spark, "audit"), scratch_path(spark, "audited")
+    audit, target = _mart_table(spark, "audit"), _mart_table(spark, "audited")
     orders = I.table(spark, sf_dir, "orders")
 
     def fails():
@@ -633,7 +668,7 @@ def audit_rows(spark, sf_dir):
 @query
 def stage_durations(spark, sf_dir):
     """A stage that loads and one that fails: outcome, and that neither ended before it began."""
-    audit, target = scratch_path(spark, "durations"), scratch_path(spark, "timed")
+    audit, target = _mart_table(spark, "audit"), _mart_table(spark, "timed")
     orders = I.table(spark, sf_dir, "orders")
 
     def fails():

@@ -17,14 +17,9 @@ from dispatchmart.operators.dimension import Lookups, dimension_as_text, update_
 from dispatchmart.operators.facts import add_pickup_keys, driver_bridge, facts_with_keys, pickups_without_driver
 from dispatchmart.plans.messages import score_messages
 from dispatchmart.plans.standardize import standard_pickups
-from dispatchmart.sources.audit import run_stage
-from dispatchmart.sources.loads import (
-    full_refresh,
-    load_with_error_budget,
-    merge_second_source,
-    read_target,
-    write_csv,
-)
+from dispatchmart.sources.audit import run_committed_stage
+from dispatchmart.sources.commits import Commit, Store
+from dispatchmart.sources.loads import LoadCounts, load_in_commit, read_target, with_second_source, write_csv
 from dispatchmart.sources.readers import read_messages
 
 
@@ -41,7 +36,7 @@ class Inputs:
 
 @dataclass(frozen=True)
 class Targets:
-    """Where tables live: ``root`` is a folder, every table a folder inside it."""
+    """Where tables live: one folder with all of them, kept by its manifests."""
 
     root: str
 
@@ -49,56 +44,54 @@ class Targets:
         return f"{self.root}/{table}"
 
 
-def read_feed(spark: SparkSession, path: str, schema: T.StructType, targets: Targets, name: str) -> DataFrame:
-    """An arriving file under the error budget of a load: its good rows, the bad ones next to them.
+FEEDS = ("location_feed", "free_text_feed", "split_field_feed", "second_source")
 
-    ``LoadRejected`` when there are too many of these.
+
+def read_feed(commit: Commit, path: str, schema: T.StructType, name: str) -> tuple[DataFrame, LoadCounts]:
+    """An arriving file under the error budget of a load: its good rows, and how many were good and bad.
+
+    Both kinds become tables of the commit. ``LoadRejected`` when there are too many bad ones.
     """
-    accepted, quarantine = targets[f"accepted_{name}"], targets[f"quarantine_{name}"]
-    return load_with_error_budget(spark, path, schema, accepted, quarantine).loaded
+    counts = load_in_commit(commit, path, schema, f"accepted_{name}", f"quarantine_{name}")
+    return commit.read(f"accepted_{name}"), counts
 
 
-def load_pickups(spark: SparkSession, inputs: Inputs, targets: Targets, budget: int | None = None) -> None:
-    pickups = standard_pickups(
-        read_feed(spark, inputs.location_feed, schemas.LOCATION_FEED, targets, "location_feed"),
-        read_feed(spark, inputs.free_text_feed, schemas.FREE_TEXT_FEED, targets, "free_text_feed"),
-        read_feed(spark, inputs.split_field_feed, schemas.SPLIT_FIELD_FEED, targets, "split_field_feed"),
-        read_target(spark, targets["gazetteer"]),
-        budget,
-    )
-    full_refresh(pickups, targets["pickup_data"])
+def load_pickups(commit: Commit, inputs: Inputs, budget: int | None = None) -> LoadCounts:
+    location, first = read_feed(commit, inputs.location_feed, schemas.LOCATION_FEED, "location_feed")
+    free_text, second = read_feed(commit, inputs.free_text_feed, schemas.FREE_TEXT_FEED, "free_text_feed")
+    split, third = read_feed(commit, inputs.split_field_feed, schemas.SPLIT_FIELD_FEED, "split_field_feed")
+    commit.replace("pickup_data", standard_pickups(location, free_text, split, commit.read("gazetteer"), budget))
+    return first + second + third
 
 
-def load_messages(spark: SparkSession, inputs: Inputs, targets: Targets) -> None:
-    lexicon = read_target(spark, targets["lexicon"])
-    full_refresh(score_messages(read_messages(spark, inputs.messages), lexicon), targets["tweet_analysis"])
+def load_messages(commit: Commit, inputs: Inputs) -> LoadCounts:
+    messages = read_messages(commit.store.spark, inputs.messages)
+    return LoadCounts(commit.replace("tweet_analysis", score_messages(messages, commit.read("lexicon"))))
 
 
-def load_drivers(spark: SparkSession, targets: Targets, expand_facts: bool = False) -> None:
+def load_drivers(commit: Commit, expand_facts: bool = False) -> LoadCounts:
     """New dimension next to the old one, its rejects, the pickups with their keys and the bridge to the drivers.
 
     ``expand_facts`` also writes every pickup with every driver, which grows as pickups times drivers.
     """
-    lookups = Lookups(
-        read_target(spark, targets["shifttime_dim"]),
-        read_target(spark, targets["coverage_dim"]),
-        read_target(spark, targets["company_dim"]),
-    )
-    update = update_dimension(read_target(spark, targets["driver_dim"]), read_target(spark, targets["driver_feed"]), lookups)
-    full_refresh(update.dimension, targets["driver_dim_updated"])
-    full_refresh(update.rejects, targets["driver_feed_rejects"])
-    dimension = read_target(spark, targets["driver_dim_updated"])
-    keyed = add_pickup_keys(read_target(spark, targets["pickup_data"]))
-    full_refresh(keyed, targets["pickup_data_keyed"])
-    full_refresh(driver_bridge(dimension), targets["driver_bridge"])
+    lookups = Lookups(commit.read("shifttime_dim"), commit.read("coverage_dim"), commit.read("company_dim"))
+    update = update_dimension(commit.read("driver_dim"), commit.read("driver_feed"), lookups)
+    versions = commit.replace("driver_dim_updated", update.dimension)
+    rejected = commit.replace("driver_feed_rejects", update.rejects)
+    dimension = commit.read("driver_dim_updated")
+    commit.replace("pickup_data_keyed", add_pickup_keys(commit.read("pickup_data")))
+    keyed = commit.read("pickup_data_keyed")
+    commit.replace("driver_bridge", driver_bridge(dimension))
     if expand_facts:
-        full_refresh(facts_with_keys(keyed, dimension), targets["pickup_data_withkeys"])
-    full_refresh(pickups_without_driver(keyed, dimension), targets["pickup_data_unserved"])
+        commit.replace("pickup_data_withkeys", facts_with_keys(keyed, dimension))
+    commit.replace("pickup_data_unserved", pickups_without_driver(keyed, dimension))
+    return LoadCounts(versions, rejected)
 
 
-def load_second_source(spark: SparkSession, inputs: Inputs, targets: Targets) -> None:
-    second = read_feed(spark, inputs.second_source, schemas.PICKUP, targets, "second_source")
-    merge_second_source(second, read_target(spark, targets["pickup_data"]), targets["pickupdata_with_anothersource"])
+def load_second_source(commit: Commit, inputs: Inputs) -> LoadCounts:
+    second, counts = read_feed(commit, inputs.second_source, schemas.PICKUP, "second_source")
+    commit.replace("pickupdata_with_anothersource", with_second_source(second, commit.read("pickup_data")))
+    return counts
 
 
 def export_dimension(spark: SparkSession, targets: Targets, path: str) -> None:
@@ -107,15 +100,27 @@ def export_dimension(spark: SparkSession, targets: Targets, path: str) -> None:
 
 
 def run_job(
-    spark: SparkSession, inputs: Inputs, targets: Targets, budget: int | None = None, expand_facts: bool = False
+    spark: SparkSession,
+    inputs: Inputs,
+    targets: Targets,
+    budget: int | None = None,
+    expand_facts: bool = False,
+    run_id: str | None = None,
 ) -> DataFrame:
-    """All stages in order; returns the audit table."""
-    stages: list[tuple[str, Callable[[], None]]] = [
-        ("Standardization", lambda: load_pickups(spark, inputs, targets, budget)),
-        ("Tweet", lambda: load_messages(spark, inputs, targets)),
-        ("SCD", lambda: load_drivers(spark, targets, expand_facts)),
-        ("Second source", lambda: load_second_source(spark, inputs, targets)),
+    """All stages in order, each with its audit row in one commit; returns the audit table.
+
+    A job that broke off and is run again under its ``run_id`` passes over the stages that were published and finishes
+    the one that was not.
+    """
+    store = Store(spark, targets.root)
+    stages: list[tuple[str, Callable[[Commit], LoadCounts]]] = [
+        ("Standardization", lambda commit: load_pickups(commit, inputs, budget)),
+        ("Tweet", lambda commit: load_messages(commit, inputs)),
+        ("SCD", lambda commit: load_drivers(commit, expand_facts)),
+        ("Second source", lambda commit: load_second_source(commit, inputs)),
     ]
+    evidence = tuple(f"quarantine_{name}" for name in FEEDS)
     for job_id, (stage, work) in enumerate(stages, start=1):
-        run_stage(spark, targets["audit"], job_id, stage, work)
+        commit_id = f"{run_id}-stage{job_id}" if run_id else None
+        run_committed_stage(store, "audit", job_id, stage, work, commit_id, evidence)
     return read_target(spark, targets["audit"])

@@ -65,5 +65,7 @@ AUDIT = T.StructType(
         T.StructField("job_start_time", T.TimestampType()),
         T.StructField("job_end_time", T.TimestampType()),
         T.StructField("job_completed", T.StringType()),
+        T.StructField("rows_loaded", T.LongType()),
+        T.StructField("rows_rejected", T.LongType()),
     ]
 )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.schemas import AUDIT
-from dispatchmart.sources.loads import append_load
+from dispatchmart.sources.commits import Commit, Store
+from dispatchmart.sources.loads import LoadCounts, LoadRejected, append_load
 
 log = logging.getLogger(__name__)
 
@@ -31,7 +32,49 @@ def run_stage(spark: SparkSession, audit: str, job_id: int, stage: str, work: Ca
         log.exception("stage %s failed", stage)
         outcome = f"FALSE ({stage})"
     end = datetime.now(timezone.utc)
-    append_load(spark.createDataFrame([(job_id, start, end, outcome)], AUDIT), audit)
+    append_load(_row(spark, job_id, start, end, outcome), audit)
+    return outcome == "TRUE"
+
+
+def _row(
+    spark: SparkSession, job_id: int, start: datetime, end: datetime, outcome: str, counts: LoadCounts | None = None
+) -> DataFrame:
+    loaded, rejected = (counts.loaded, counts.rejected) if counts else (None, None)
+    return spark.createDataFrame([(job_id, start, end, outcome, loaded, rejected)], AUDIT)
+
+
+def run_committed_stage(
+    store: Store,
+    audit: str,
+    job_id: int,
+    stage: str,
+    work: Callable[[Commit], LoadCounts | None],
+    commit_id: str | None = None,
+    evidence: tuple[str, ...] = (),
+) -> bool:
+    """Run a stage whose loads and audit row become visible in one commit; True when it succeeded.
+
+    ``work`` puts its loads into the commit and gives the rows its feeds had, as counted while they were written. A
+    stage that fails changes no table but those named as ``evidence`` (a quarantine) and the audit. A
+    stage that breaks off before the commit leaves nothing to be seen; run again under the same ``commit_id`` it
+    goes on from the loads that were complete, and does nothing if it had been published.
+    """
+    start = datetime.now(timezone.utc)
+    commit, counts = store.begin(commit_id), None
+    if commit.already_published:
+        return True
+    try:
+        counts = work(commit)
+        outcome = "TRUE"
+    except Exception as error:
+        log.exception("stage %s failed", stage)
+        outcome = f"FALSE ({stage})"
+        counts = error.counts if isinstance(error, LoadRejected) else None
+        failed, commit = commit, store.begin()
+        commit.adopt(failed, list(evidence))
+    end = datetime.now(timezone.utc)
+    commit.append(audit, _row(store.spark, job_id, start, end, outcome, counts))
+    commit.publish()
     return outcome == "TRUE"
 
 
