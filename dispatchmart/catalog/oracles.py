@@ -473,6 +473,13 @@ for _name, _parts in (
         current_record FROM united""",
         **_SCD,
     )
+oracle(
+    "scd2_incremental",
+    f"""WITH {_RESOLVED}, {_day_events(_DIM_AND_HIRED)}, united AS (SELECT * FROM ({_UNCHANGED}) AS p UNION ALL SELECT * FROM ({_VERSIONS}) AS q)
+    SELECT drivername, shifttimekey, coveragekey, companykey, hiredate, firedate, effectivedate, loaddate, expireddate, current_record
+    FROM united""",
+    **_SCD,
+)
 oracle(
     "dimension_as_text",
     """SELECT driverrecordkey, driverkey, drivername, shifttimekey, coveragekey, companykey, strftime(hiredate, '%m/%d/%Y') AS hiredate,
@@ -632,3 +639,14 @@ oracle(
         ]
     ),
 )
+
+oracle(
+    "stable_keys",
+    """WITH keys AS (SELECT o_custkey, o_orderpriority, bool_or(o_orderstatus = 'F') AS in_first_feed FROM orders GROUP BY ALL),
+    sizes AS (SELECT in_first_feed, count(*) AS n FROM keys GROUP BY ALL),
+    first AS (SELECT count(*) FILTER (in_first_feed) AS n FROM keys)
+    SELECT s.in_first_feed, s.n AS n_keys, s.n AS n_numbers, CASE WHEN in_first_feed THEN 1001 ELSE 1001 + first.n END AS lowest,
+      CASE WHEN in_first_feed THEN 1000 + s.n ELSE 1000 + first.n + s.n END AS highest, 0 AS changed, 0 AS changed_again,
+      0 AS blocks_with_gaps
+    FROM sizes AS s, first""",
+)

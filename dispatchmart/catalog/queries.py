@@ -21,7 +21,9 @@ from dispatchmart.operators import sets as S
 from dispatchmart.operators import terms as W
 from dispatchmart.operators.geocode import add_coordinates, geocode_feeds
 from dispatchmart.operators.ordered import number_rows
+from dispatchmart.operators.registry import register
 from dispatchmart.operators.sentiment import add_sentiment
+from dispatchmart.plans import incremental as N
 from dispatchmart.plans import standardize as P
 from dispatchmart.plans.messages import score_messages
 from dispatchmart.session import scratch_path
@@ -210,6 +212,37 @@ def surrogate_keys(spark, sf_dir):
     return number_rows(lines, "record_key", ["l_shipdate", "l_orderkey", "l_linenumber"], after=100)
 
 
+@query
+def stable_keys(spark, sf_dir):
+    """Customers of two feeds in a key registry, the first again among the second; what became of the numbers."""
+    orders = I.table(spark, sf_dir, "orders")
+    store = Store(spark, scratch_path(spark, "mart"))
+
+    def apply(feed):
+        commit = store.begin()
+        numbers = register(commit, "customers", feed.select("o_custkey", "o_orderpriority"), after=1000)
+        commit.publish()
+        return numbers.select("o_custkey", "o_orderpriority", F.col("number").alias("given"), "block")
+
+    first = apply(orders.where(F.col("o_orderstatus") == "F"))
+    second = apply(orders)
+    again = apply(orders)
+    seen = second.join(first.withColumnRenamed("given", "before").drop("block"), ["o_custkey", "o_orderpriority"], "left")
+    seen = seen.join(again.withColumnRenamed("given", "after").drop("block"), ["o_custkey", "o_orderpriority"])
+    old = F.col("before").isNotNull()
+    blocks = seen.groupBy("block").agg((F.max("given") - F.min("given") + 1 != F.count("*")).alias("gap"))
+    gaps = blocks.agg(F.count_if("gap")).scalar()
+    return seen.groupBy(old.alias("in_first_feed")).agg(
+        F.count("*").alias("n_keys"),
+        F.count_distinct("given").alias("n_numbers"),
+        F.min("given").alias("lowest"),
+        F.max("given").alias("highest"),
+        F.count_if(old & (F.col("before") != F.col("given"))).alias("changed"),
+        F.count_if(F.col("after") != F.col("given")).alias("changed_again"),
+        F.any_value(gaps).alias("blocks_with_gaps"),
+    )
+
+
 # Places, sets, head and rest
 
 
@@ -377,6 +410,18 @@ def scd2_interval_faults(spark, sf_dir):
     )
 
 
+@query
+def scd2_incremental(spark, sf_dir):
+    """The dimension after three batches, the second sent twice; keys that batches number otherwise are left out."""
+    store, lookups = Store(spark, scratch_path(spark, "mart")), _lookups(spark, sf_dir)
+    feed = I.derive(spark, sf_dir, I.DRIVER_FEED)
+    N.create_dimension(store, _dim(spark, sf_dir), buckets=8)
+    number = F.when(F.col("effdt") >= "1997-01-01", 2).when(F.col("effdt") >= "1994-06-01", 1).otherwise(0)
+    for batch in (0, 1, 1, 2):
+        N.apply_batch(store, feed.where(number == batch), lookups, batch, buckets=8)
+    return store.read(N.DIMENSION).drop("driverrecordkey", "driverkey")
+
+
 @query
 def scd2_fired_compat(spark, sf_dir):
     return D.compat_fired(_dim(spark, sf_dir), _resolved(spark, sf_dir))

@@ -162,7 +162,8 @@ def applied_versions(dim: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def _hired_rows(resolved: DataFrame) -> DataFrame:
+def hired_rows(resolved: DataFrame) -> DataFrame:
+    """The first version of each driver that the feed hires, without a driver key."""
     complete = (F.col("action") == "HIRED") & _keys_found() & F.col("effdt").isNotNull()
     return resolved.where(complete).select(
         F.lit(UNNUMBERED).alias("driverrecordkey"),
@@ -181,7 +182,7 @@ def hired_versions(dim: DataFrame, resolved: DataFrame) -> DataFrame:
     """One new driver per HIRED row, keyed on from the largest driver key."""
     largest = dim.agg(F.coalesce(F.max("driverkey"), F.lit(0))).scalar()
     return number_rows(
-        _hired_rows(resolved),
+        hired_rows(resolved),
         "driverkey",
         ["effectivedate", "loaddate", "drivername"],
         after=largest,
