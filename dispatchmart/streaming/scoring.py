@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
-from dispatchmart.operators.joins import fits_broadcast
-from dispatchmart.operators.sentiment import message_facts
+from dispatchmart.operators.sentiment import fits_in_row, message_facts
 from dispatchmart.operators.terms import add_tag, top_terms
 
 
@@ -25,7 +24,7 @@ def run_scoring(
     stream starts, and a batch is read from the stream once.
     """
     spark = messages.sparkSession
-    small = fits_broadcast(lexicon)
+    small = fits_in_row(lexicon)
     terms = F.array(*[F.lit(term) for term in leading]).cast("array<string>")
 
     def score(batch: DataFrame, batch_id: int) -> None:

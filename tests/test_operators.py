@@ -470,6 +470,29 @@ def test_sentiment(messages, lexicon, key, max_rows):
     assert got == [(i + offset, *scores) for offset in (1, 11) for i, scores in enumerate(one)]
 
 
+def test_small_lexicons_are_looked_up_in_the_row(spark, sf_dir):
+    """One scan of the texts and no exchange; the lexicon value is in no row; both ways give the same scores."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    words = texts.select(F.explode(F.split(F.lower("text"), r"\W+")).alias("term")).distinct()
+    length = F.length("term")
+    lexicon = words.where("length(term) > 1").select(
+        "term", (F.crc32("term") % 2001 / 1000 - 1).alias("polarity"), (1 / length).alias("subjectivity")
+    )
+    lexicon = lexicon.union(lexicon.limit(5)).union(spark.createDataFrame([(None, 1.0, 1.0)], "term string, polarity double, subjectivity double"))
+    small = add_sentiment(texts, lexicon, text="text", small=True)
+    plan = small._jdf.queryExecution().executedPlan()
+    node, kinds = plan.inputPlan(), []  # without the plans of subqueries
+    while True:
+        kinds.append(node.nodeName().split(" ")[0])
+        if node.children().size() != 1:
+            break
+        node = node.children().apply(0)
+    assert kinds == ["Project", "Project", "Scan"] and "AS _lexicon" not in plan.toString()
+    large = add_sentiment(texts, lexicon, text="text", key="doc_id", max_rows=0)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    assert small.where("polarity <> 0").count() > 50
+
+
 def test_message_facts(messages, lexicon):
     facts = score_messages(messages, lexicon, features=100)
     assert facts.columns == ["id", "tweet", "tags", "polarity", "subjectivity"]
