@@ -148,6 +148,26 @@ SELECT 'STAND ' || {text('s_nationkey')} AS street_address, c_mktsegment AS city
 FROM {{supplier}} JOIN (SELECT DISTINCT c_nationkey, c_mktsegment FROM {{customer}}) AS c ON s_nationkey = c_nationkey
 """
 
+# Every order at a house number; a third of them on one street. Some streets and cities have no ranges.
+NUMBERED_PICKUPS = f"""
+SELECT o_orderkey, {text('o_custkey % 1200')} || ' ' || CASE WHEN o_orderkey % 3 = 0 THEN 'BROADWAY' ELSE 'STREET ' || {text('o_custkey % 60')} END AS street_address,
+       {pick('o_custkey', 'BRONX,QUEENS,NOWHERE,BROOKLYN')} AS city, 'NEW YORK' AS state
+FROM {{orders}}
+UNION ALL
+SELECT -1 - c_custkey, {pick('c_custkey', 'JFK AIRPORT,STREET 5,12345678901 BROADWAY')}, 'QUEENS', 'NEW YORK' FROM {{customer}}
+"""
+
+# Ranges of every part, with coordinates that doubles hold exactly.
+HOUSE_RANGES = f"""
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'BROADWAY' ELSE 'STREET ' || {text('p_partkey % 45')} END AS street,
+       {pick('p_partkey', 'BRONX,QUEENS,BROOKLYN')} AS city, 'NEW YORK' AS state,
+       p_partkey * 7 % 1000 AS house_from, p_partkey * 7 % 1000 + CASE WHEN p_partkey % 50 = 0 THEN 1000 ELSE p_size - 1 END AS house_to,
+       {pick('p_partkey', 'odd,even,both,odd,even')} AS side,
+       40 + CAST(p_partkey % 64 AS DOUBLE) / 64 AS latitude_from, -74 + CAST(p_partkey % 32 AS DOUBLE) / 64 AS longitude_from,
+       40 + CAST(p_partkey % 16 AS DOUBLE) / 64 AS latitude_to, -73 + CAST(p_partkey % 8 AS DOUBLE) / 64 AS longitude_to
+FROM {{part}}
+"""
+
 # Pickup feeds, with the column names and untidy values of the files.
 LOCATION_FEED = f"""
 SELECT o_orderkey, {us_date('o_orderdate')} AS `Date`, {_CLOCK} AS `Time`,

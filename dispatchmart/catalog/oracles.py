@@ -650,3 +650,48 @@ oracle(
       0 AS blocks_with_gaps
     FROM sizes AS s, first""",
 )
+
+_MIDDLE = ", ".join(
+    f"(least(min({c}_from), min({c}_to)) + greatest(max({c}_from), max({c}_to))) / 2 AS {c}" for c in ("latitude", "longitude")
+)
+oracle(
+    "geocode_ranges",
+    f"""WITH addresses AS (
+      SELECT DISTINCT street_address, city, state, regexp_extract(street_address, '^(\\d+) (.+)$', 1) AS digits,
+        regexp_extract(street_address, '^(\\d+) (.+)$', 2) AS rest FROM pickups),
+    parted AS (
+      SELECT *, CASE WHEN rest = '' THEN street_address ELSE rest END AS street,
+        CASE WHEN length(digits) BETWEEN 1 AND 9 THEN CAST(digits AS BIGINT) END AS number FROM addresses),
+    covered AS (
+      SELECT p.street_address, p.city, p.state, p.number, r.*,
+        row_number() OVER (PARTITION BY p.street_address, p.city, p.state
+          ORDER BY house_to - house_from, house_from, latitude_from, longitude_from, latitude_to, longitude_to) AS rn
+      FROM parted AS p JOIN ranges AS r ON p.street = r.street AND p.city = r.city AND p.state = r.state
+        AND p.number BETWEEN r.house_from AND r.house_to
+        AND (side = 'both' OR (side = 'odd' AND number % 2 = 1) OR (side = 'even' AND number % 2 = 0))),
+    exact AS (
+      SELECT street_address, city, state,
+        latitude_from + (latitude_to - latitude_from) * ((number - house_from) / greatest(house_to - house_from, 1)) AS latitude,
+        longitude_from + (longitude_to - longitude_from) * ((number - house_from) / greatest(house_to - house_from, 1)) AS longitude
+      FROM covered WHERE rn = 1),
+    streets AS (SELECT street, city, state, {_MIDDLE} FROM ranges GROUP BY ALL),
+    cities AS (SELECT city, state, {_MIDDLE} FROM ranges GROUP BY ALL)
+    SELECT o_orderkey, k.street_address, k.city, k.state,
+      round(coalesce(e.latitude, s.latitude, c.latitude), 9) AS latitude, round(coalesce(e.longitude, s.longitude, c.longitude), 9) AS longitude,
+      CASE WHEN e.latitude IS NOT NULL THEN 'number' WHEN s.latitude IS NOT NULL THEN 'street' WHEN c.latitude IS NOT NULL THEN 'city' END AS precision
+    FROM pickups AS k LEFT JOIN parted AS p USING (street_address, city, state) LEFT JOIN exact AS e USING (street_address, city, state)
+      LEFT JOIN streets AS s ON s.street = p.street AND s.city = p.city AND s.state = p.state
+      LEFT JOIN cities AS c ON c.city = p.city AND c.state = p.state""",
+    pickups=I.NUMBERED_PICKUPS,
+    ranges=I.HOUSE_RANGES,
+)
+
+_UPPER_WORDS = "SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS {} FROM {}"
+oracle(
+    "misspelt_streets",
+    f"""WITH wanted AS ({_UPPER_WORDS.format('street', 'conversations')}), listed AS ({_UPPER_WORDS.format('nearest', 'benchmark')}),
+    pairs AS (SELECT *, levenshtein(street, nearest) AS distance FROM wanted, listed
+      WHERE length(street) BETWEEN length(nearest) - 2 AND length(nearest) + 2),
+    best AS (SELECT *, row_number() OVER (PARTITION BY street ORDER BY distance, nearest) AS rn FROM pairs WHERE distance <= 2)
+    SELECT street, nearest, distance FROM best WHERE rn = 1""",
+)

@@ -19,6 +19,7 @@ from dispatchmart.operators import dimension as D
 from dispatchmart.operators import facts as X
 from dispatchmart.operators import sets as S
 from dispatchmart.operators import terms as W
+from dispatchmart.operators.address_ranges import locate_by_range, nearest_names
 from dispatchmart.operators.geocode import add_coordinates, geocode_feeds
 from dispatchmart.operators.ordered import number_rows
 from dispatchmart.operators.registry import register
@@ -257,6 +258,26 @@ def geocode_budget(spark, sf_dir):
     return geocode_feeds([customers], I.derive(spark, sf_dir, I.GAZETTEER), V.GEOCODE_BUDGET)
 
 
+@query
+def geocode_ranges(spark, sf_dir):
+    """Any house number of a street: within a range, else the middle of the street, else that of the city."""
+    located = locate_by_range(I.derive(spark, sf_dir, I.NUMBERED_PICKUPS), I.derive(spark, sf_dir, I.HOUSE_RANGES))
+    return located.withColumns({c: F.round(c, 9) for c in ("latitude", "longitude")})
+
+
+def _words_as_streets(df):
+    """Every word of the texts as the name of a street."""
+    words = df.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("street")).where(F.col("street") != "")
+    return words.select(F.upper("street").alias("street")).distinct().select("street", F.lit("NEW YORK CITY").alias("city"), F.lit("NEW YORK").alias("state"))
+
+
+@query
+def misspelt_streets(spark, sf_dir):
+    """The words of the conversations looked up among those of the benchmark, up to two edits apart."""
+    wanted, listed = (_words_as_streets(I.table(spark, sf_dir, name)) for name in ("conversations", "benchmark"))
+    return nearest_names(wanted, listed).select("street", "nearest", "distance")
+
+
 @query
 def split_head_rest(spark, sf_dir):
     orders = I.table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_custkey")

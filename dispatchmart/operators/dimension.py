@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.clock import date_text, day_before
-from dispatchmart.operators.joins import lookup_join
+from dispatchmart.operators.joins import spread_join
 from dispatchmart.operators.ordered import next_and_latest, number_rows
 from dispatchmart.session import checkpoint_dir
 
@@ -74,9 +74,9 @@ def resolve_feed(feed: DataFrame, lookups: Lookups) -> DataFrame:
     )
     companies = lookups.companies.select(F.col("company").alias("source"), "companykey")
     rows = feed.select(FEED).distinct()
-    rows = lookup_join(rows, shifts, ["beginshift", "endshift"], "left")
-    rows = lookup_join(rows, lookups.coverages.select("coverage", "coveragekey"), ["coverage"], "left")
-    rows = lookup_join(rows, companies, ["source"], "left")
+    rows = spread_join(rows, shifts, ["beginshift", "endshift"], "left")
+    rows = spread_join(rows, lookups.coverages.select("coverage", "coveragekey"), ["coverage"], "left")
+    rows = spread_join(rows, companies, ["source"], "left")
     return rows.select(*FEED, *LOOKUP_KEYS).checkpoint()
 
 
@@ -109,14 +109,14 @@ def day_events(dim: DataFrame, resolved: DataFrame) -> DataFrame:
     checkpoint_dir(resolved.sparkSession)
     current = dim.where(_is_current()).select("drivername", "driverkey", F.col("effectivedate").alias("_since"))
     events = _applicable(resolved).select("drivername", "effdt", _event().alias("event"))
-    later = lookup_join(events, current, ["drivername"]).where(F.col("effdt") > F.col("_since"))
+    later = spread_join(events, current, ["drivername"]).where(F.col("effdt") > F.col("_since"))
     return later.groupBy("driverkey", "effdt").agg(F.max("event").alias("event")).checkpoint()
 
 
 def unchanged(dim: DataFrame, events: DataFrame) -> DataFrame:
     """Closed versions, and current ones that no event follows; ``events`` as ``day_events`` gives them."""
     touched = events.select("driverkey").distinct()
-    current = lookup_join(dim.where(_is_current()), touched, ["driverkey"], "left_anti")
+    current = spread_join(dim.where(_is_current()), touched, ["driverkey"], "left_anti")
     return dim.where(~_is_current()).select(DIMENSION).unionByName(current.select(DIMENSION)).distinct()
 
 
@@ -127,7 +127,7 @@ def applied_versions(dim: DataFrame, events: DataFrame) -> DataFrame:
     their dates, which all differ. FIRED keeps the keys in force before it.
     """
     touched = events.select("driverkey").distinct()
-    base_rows = lookup_join(dim.where(_is_current()), touched, ["driverkey"], "left_semi").select(DIMENSION).checkpoint()
+    base_rows = spread_join(dim.where(_is_current()), touched, ["driverkey"], "left_semi").select(DIMENSION).checkpoint()
     base = base_rows.select(
         *DIMENSION,
         F.lit(0).alias("step"),
@@ -136,7 +136,7 @@ def applied_versions(dim: DataFrame, events: DataFrame) -> DataFrame:
         F.lit("BASE").alias("action"),
         F.struct(*LOOKUP_KEYS).alias("keys"),
     )
-    steps = lookup_join(
+    steps = spread_join(
         events.select("driverkey", F.lit(1).alias("step"), "effdt", "event.*"), base_rows, ["driverkey"]
     ).select(base.columns)
     chain = base.unionByName(steps).withColumnsRenamed({name: f"base_{name}" for name in DIMENSION})
@@ -193,14 +193,14 @@ def hired_versions(dim: DataFrame, resolved: DataFrame) -> DataFrame:
 def rejected_rows(dim: DataFrame, resolved: DataFrame) -> DataFrame:
     """Feed rows that make no version, with the reason; ``dim`` includes the drivers the feed hires."""
     current = dim.where(_is_current()).groupBy("drivername").agg(F.min("effectivedate").alias("_since"))
-    checked = lookup_join(resolved, current.withColumn("_current", F.lit(True)), ["drivername"], "left")
+    checked = spread_join(resolved, current.withColumn("_current", F.lit(True)), ["drivername"], "left")
     days = (
         _applicable(resolved)
         .groupBy("drivername", "effdt")
         .agg(F.max(_event()).alias("_last"))
         .where(F.col("drivername").isNotNull())
     )
-    checked = lookup_join(checked, days, ["drivername", "effdt"], "left")
+    checked = spread_join(checked, days, ["drivername", "effdt"], "left")
     action = F.col("action")
     follows = action.isin("CHANGE", "FIRED")
     reason = (
@@ -241,16 +241,16 @@ def update_dimension(dim: DataFrame, feed: DataFrame, lookups: Lookups) -> Dimen
 
 
 def compat_unchanged(dim: DataFrame, feed: DataFrame) -> DataFrame:
-    return lookup_join(dim, _names(feed), ["drivername"], "left_anti").select(DIMENSION).distinct()
+    return spread_join(dim, _names(feed), ["drivername"], "left_anti").select(DIMENSION).distinct()
 
 
 def _compat_matches(dim: DataFrame, resolved: DataFrame, action: str) -> DataFrame:
     """Every version of a driver with every feed row of that action for the driver."""
     rows = resolved.where(F.col("action") == action)
-    touched = lookup_join(dim, _names(rows), ["drivername"], "left_semi").select(
+    touched = spread_join(dim, _names(rows), ["drivername"], "left_semi").select(
         *[F.col(c).alias(c if c == "drivername" else f"dim_{c}") for c in DIMENSION]
     )
-    return lookup_join(touched, rows.drop(*[c for c in FEED if c not in ("drivername", "effdt", "filedt")]), ["drivername"])
+    return spread_join(touched, rows.drop(*[c for c in FEED if c not in ("drivername", "effdt", "filedt")]), ["drivername"])
 
 
 def compat_fired(dim: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.clock import minute_of_day, shift_key
 from dispatchmart.functions.columns import recode
-from dispatchmart.operators.joins import BROADCAST_ROWS, lookup_join
+from dispatchmart.operators.joins import BROADCAST_ROWS, spread_join
 
 PICKUP = ["datetime", "street_address", "city", "state", "source", "latitude", "longitude"]
 FACT = ["driverrecordkey", "driverkey", *PICKUP]
@@ -34,12 +34,12 @@ def add_pickup_keys(
     if coverages is None:
         keyed = keyed.withColumn("coveragekey", recode(F.col("city"), V.COVERAGE_KEYS, F.lit(V.UNKNOWN_KEY)))
     else:
-        keyed = lookup_join(keyed, coverages.select(F.col("coverage").alias("city"), "coveragekey"), ["city"], "left")
+        keyed = spread_join(keyed, coverages.select(F.col("coverage").alias("city"), "coveragekey"), ["city"], "left")
         keyed = keyed.withColumn("coveragekey", F.coalesce("coveragekey", F.lit(V.UNKNOWN_KEY)))
     if companies is None:
         keyed = keyed.withColumn("companykey", recode(F.col("source"), V.COMPANY_KEYS))
     else:
-        keyed = lookup_join(keyed, companies.select(F.col("company").alias("source"), "companykey"), ["source"], "left")
+        keyed = spread_join(keyed, companies.select(F.col("company").alias("source"), "companykey"), ["source"], "left")
     return keyed.select(*PICKUP, *KEYS)
 
 
@@ -59,16 +59,16 @@ def driver_bridge(dim: DataFrame) -> DataFrame:
 def facts_with_keys(keyed: DataFrame, dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every pickup with every current driver of its shift, coverage and company, for those who ask for all pairs.
 
-    The few key combinations hold very many pickups each; ``lookup_join`` keeps them
+    The few key combinations hold very many pickups each; ``spread_join`` keeps them
     from meeting in one task.
     """
-    return lookup_join(keyed, current_drivers(dim), KEYS, "inner", max_rows).select(FACT)
+    return spread_join(keyed, current_drivers(dim), KEYS, "inner", max_rows).select(FACT)
 
 
 def pickups_without_driver(keyed: DataFrame, dim: DataFrame) -> DataFrame:
     """Pickups that no current driver serves."""
     served = current_drivers(dim).select(KEYS).distinct()
-    return lookup_join(keyed, served, KEYS, "left_anti").select(*PICKUP, *KEYS)
+    return spread_join(keyed, served, KEYS, "left_anti").select(*PICKUP, *KEYS)
 
 
 def drivers_per_pickup_key(keyed: DataFrame, dim: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchmart.operators.joins import BROADCAST_ROWS, lookup_join
+from dispatchmart.operators.joins import BROADCAST_ROWS, spread_join
 from dispatchmart.operators.sets import mark_head, union_feeds
 
 PLACE_KEY = ["street_address", "city", "state"]
@@ -15,12 +15,12 @@ def add_coordinates(pickups: DataFrame, gazetteer: DataFrame, max_rows: int = BR
     """``latitude`` and ``longitude`` of each pickup's place, NULL when it is not listed.
 
     A place listed more than once counts once, with its smallest coordinates, so no
-    pickup is doubled. Airports may hold most pickups; ``lookup_join`` spreads them.
+    pickup is doubled. Airports may hold most pickups; ``spread_join`` spreads them.
     """
     places = gazetteer.groupBy(PLACE_KEY).agg(
         F.min(F.struct(*[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")])).alias("geo")
     )
-    located = lookup_join(pickups, places, PLACE_KEY, "left", max_rows, bound=gazetteer)
+    located = spread_join(pickups, places, PLACE_KEY, "left", max_rows, bound=gazetteer)
     return located.select(*pickups.columns, "geo.*")
 
 

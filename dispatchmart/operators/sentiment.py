@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchmart.functions.messages import clean_text
-from dispatchmart.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
+from dispatchmart.operators.joins import BROADCAST_ROWS, fits_broadcast, spread_join
 from dispatchmart.session import checkpoint_dir
 
 _KEY = "_message"
@@ -74,7 +74,7 @@ def text_scores(
     letters = F.col(text) if cleaned else clean_text(F.col(text))
     words = df.select(key, F.explode(F.split(letters, r"\W")).alias("term")).where(F.col("term") != "")
     counted = words.groupBy(key, "term").agg(F.count("*").alias("_n"))
-    hits = lookup_join(counted, _entries(lexicon), ["term"], max_rows=max_rows, bound=lexicon)
+    hits = spread_join(counted, _entries(lexicon), ["term"], max_rows=max_rows, bound=lexicon)
     sums = [_mean(F.sum(F.col(f"_entry.{c}") * F.col("_n")), F.sum("_n")).alias(c) for c in SCORES]
     return hits.groupBy(key).agg(*sums)
 

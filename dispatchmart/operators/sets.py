@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchmart.operators.joins import lookup_join
+from dispatchmart.operators.joins import spread_join
 from dispatchmart.operators.ordered import sortable_columns
 from dispatchmart.session import checkpoint_dir
 
@@ -58,5 +58,5 @@ def insert_missing_sources(target: DataFrame, rows: DataFrame, column: str = "so
     present = target.groupBy(column).agg(F.lit(1).alias("_one")).select(column).checkpoint()
     has_null = present.agg(F.coalesce(F.max(F.col(column).isNull()), F.lit(False))).scalar()
     is_empty = present.agg(F.count("*") == 0).scalar()
-    new = lookup_join(rows, present.where(F.col(column).isNotNull()), [column], "left_anti")
+    new = spread_join(rows, present.where(F.col(column).isNotNull()), [column], "left_anti")
     return new.where(~has_null & (F.col(column).isNotNull() | is_empty)).select(rows.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.messages import clean_text, message_words, without_stop_words
-from dispatchmart.operators.joins import BROADCAST_ROWS, lookup_join
+from dispatchmart.operators.joins import BROADCAST_ROWS, spread_join
 from dispatchmart.operators.ordered import number_rows
 from dispatchmart.session import checkpoint_dir
 
@@ -91,7 +91,7 @@ def count_vectors(
     checkpoint_dir(df.sparkSession)
     counts = document_term_counts(df, key, text).checkpoint()
     terms = _placed(counts.groupBy("term").agg(F.sum("n").alias("n")), size)
-    entries = lookup_join(counts, terms, ["term"], max_rows=max_rows)
+    entries = spread_join(counts, terms, ["term"], max_rows=max_rows)
     vectors = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "n"))).alias("_entries"))
     filled = df.select(key).join(vectors, key, "left").withColumn(
         "_entries", F.coalesce("_entries", F.array().cast("array<struct<term_index:int,n:bigint>>"))

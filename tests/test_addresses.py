@@ -1,0 +1,155 @@
+"""House-number ranges, misspelt streets, and joins by measured hot keys, against brute force."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from dispatchmart.operators import joins as J
+from dispatchmart.operators.address_ranges import house_number, in_ranges, locate_by_range, nearest_names, street_name
+
+RANGES = (
+    "street string, city string, state string, house_from long, house_to long, side string, "
+    "latitude_from double, longitude_from double, latitude_to double, longitude_to double"
+)
+PICKUP = "id long, street_address string, city string, state string"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_and_names(spark):
+    texts = ["12 MAIN ST", "  7  W 45TH ST ", "JFK AIRPORT", "148-18 134TH ST", "1234567890 X ST", "5", "", None, "007 BOND ST"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string").select(house_number(F.col("a")), street_name(F.col("a")))
+    assert [tuple(r) for r in df.collect()] == [
+        (12, "MAIN ST"), (7, "W 45TH ST"), (None, "JFK AIRPORT"), (None, "148-18 134TH ST"), (None, "X ST"), (None, "5"),
+        (None, ""), (None, None), (7, "BOND ST"),
+    ]
+
+
+def slow_place(number, ranges):
+    fits = [
+        r for r in ranges
+        if number is not None and r[3] <= number <= r[4] and (r[5] == "both" or (r[5] == "odd") == (number % 2 == 1) and r[5] in ("odd", "even"))
+    ]
+    if not fits:
+        return None
+    _, low, lat, lon, lat2, lon2 = min((r[4] - r[3], r[3], *r[6:]) for r in fits)
+    length = min(r[4] - r[3] for r in fits)
+    share = (number - low) / max(length, 1)
+    return lat + (lat2 - lat) * share, lon + (lon2 - lon) * share
+
+
+def test_ranges_of_any_length_and_level(spark):
+    draw = random.Random(1)
+    ranges = []
+    for _ in range(400):
+        low = draw.choice([0, 1, draw.randint(0, 5000), draw.randint(0, 10**9 - 1)])
+        high = low + draw.choice([0, 1, 2, draw.randint(0, 300), draw.randint(0, 10**8), -3])
+        ranges.append((draw.choice("AB"), "C", "S", low, high, draw.choice(["odd", "even", "both", "x"]), *[draw.randint(0, 64) / 64 for _ in range(4)]))
+    numbers = [n for r in ranges for n in (r[3], r[4], r[3] - 1, r[4] + 1) if n >= 0]
+    asked = sorted({(street, n) for street in "ABZ" for n in numbers})
+    df = spark.createDataFrame([(s, "C", "S", n) for s, n in asked] + [("A", "C", "S", None)], "street string, city string, state string, number long")
+    got = {(r.street, r.number): (r.latitude, r.longitude) for r in in_ranges(df, spark.createDataFrame(ranges, RANGES)).collect()}
+    want = {(s, n): slow_place(n, [r for r in ranges if r[0] == s]) for s, n in asked}
+    assert got == {key: place for key, place in want.items() if place}
+    assert len(got) > 300
+
+
+def test_fallbacks_nulls_and_repeated_rows(spark):
+    ranges = spark.createDataFrame(
+        [("MAIN ST", "X", "S", 1, 9, "odd", 1.0, 2.0, 3.0, 4.0), ("SIDE ST", "X", "S", 2, 2, "both", 9.0, 9.0, 9.0, 9.0)], RANGES
+    )
+    pickups = [(1, "5 MAIN ST", "X", "S"), (1, "5 MAIN ST", "X", "S"), (2, "4 MAIN ST", "X", "S"), (3, "5 OTHER ST", "X", "S"),
+               (4, "5 MAIN ST", "Y", "S"), (5, None, "X", "S"), (6, "2 SIDE ST", "X", None)]
+    for max_rows in (J.BROADCAST_ROWS, 0):
+        got = locate_by_range(spark.createDataFrame(pickups, PICKUP), ranges, max_rows)
+        assert sorted((r.id, r.latitude, r.longitude, r.precision) for r in got.collect()) == [
+            (1, 2.0, 3.0, "number"), (1, 2.0, 3.0, "number"), (2, 2.0, 3.0, "street"), (3, 5.0, 5.5, "city"),
+            (4, None, None, None), (5, None, None, None), (6, None, None, None),
+        ]
+    assert locate_by_range(spark.createDataFrame([], PICKUP), ranges).count() == 0
+    assert {r.precision for r in locate_by_range(spark.createDataFrame(pickups, PICKUP), ranges.limit(0)).collect()} == {None}
+
+
+def test_a_hot_street_costs_an_address_a_row(spark):
+    """A third of all pickups on one street, most at one number: each address meets the ranges of its blocks once."""
+    ranges = spark.range(500).selectExpr(
+        "'BROADWAY' street", "'X' city", "'S' state", "id * 20 house_from", "id * 20 + 19 house_to", "'both' side",
+        "1D latitude_from", "1D longitude_from", "2D latitude_to", "2D longitude_to",
+    )
+    numbers = spark.range(30_000).selectExpr("CASE WHEN id % 2 = 0 THEN 17 ELSE id % 10000 END AS number")
+    addresses = numbers.distinct().selectExpr("'BROADWAY' street", "'X' city", "'S' state", "number")
+    assert in_ranges(addresses, ranges).count() == addresses.count()
+    plan = plan_of(in_ranges(addresses, ranges))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "_block" in plan
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_names_is_brute_force(spark, seed):
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("abcé ", k=draw.choice([0, 1, 2, 3, 3, 4, 5, 6, 9, 14])))
+
+    def changed(text):
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randint(0, len(text))
+            text = text[:at] + draw.choice(["", "b", "z", "aa"]) + text[at + draw.randint(0, 1) :]
+        return text
+
+    listed = [(word(), draw.choice("XY"), "S") for _ in range(150)]
+    wanted = [(changed(name), city, "S") for name, city, _ in listed] + [(word(), draw.choice("XYZ"), "S") for _ in range(100)]
+    wanted += [(None, "X", "S"), ("aaaaaaaaaaaa", "X", "S"), ("aaaaaaaaaaaa", "X", "S")]
+    columns = "street string, city string, state string, distance long"
+    frames = [spark.createDataFrame([(*row, None) for row in rows], columns) for rows in (wanted, listed + [(None, "X", "S"), ("aaaaaaaaaaaaaa", "X", "S")])]
+    listed.append(("aaaaaaaaaaaaaa", "X", "S"))
+    got = {(r.street, r.city): (r.distance, r.nearest) for r in nearest_names(*frames).collect()}
+    want = {}
+    for name, city, _ in wanted:
+        near = [(edits(name, other), other) for other, place, _ in listed if place == city] if name is not None else []
+        if near and min(near)[0] <= 2:
+            want[name, city] = min(near)
+    assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join_is_a_join(spark, how):
+    third = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 500))
+    big = spark.range(6000).select("id", third.alias("k")).repartition(6)
+    side = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4), (None, 5)], "k string, v int")
+    for max_rows in (J.BROADCAST_ROWS, 0):
+        got, want = J.spread_join(big, side, ["k"], how, max_rows), big.join(side, ["k"], how)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_only_measured_hot_keys_are_split(spark):
+    even = spark.range(3000).withColumn("k", F.col("id") % 1000)
+    side = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert J.hot_keys(even, ["k"]) == []
+    assert "_salt" not in J.spread_join(even, side, ["k"], max_rows=0)._jdf.queryExecution().toString()
+    third = even.withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("k")))
+    (key, share), = J.hot_keys(third, ["k"])
+    assert key == 7 and 0.33 < share < 0.34
+    joined = J.spread_join(third, side, ["k"], max_rows=0)
+    plan = joined._jdf.queryExecution().toString()
+    assert "SPARK_PARTITION_ID" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        J.spread_join(third, side, ["k"], "full", max_rows=0)
+
+
+def test_a_hot_third_is_shared_by_many_tasks(spark):
+    big = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    side = big.distinct().withColumn("v", F.lit(1))
+    joined = J.spread_join(big.repartition(16), side, ["k"], "left", max_rows=0)
+    sizes = [r["count"] for r in joined.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 15_000 and len(sizes) > 1
