@@ -266,4 +266,25 @@ SELECT {padded('doc_id', 12)} AS created_at,
        CASE WHEN source = 'src0' THEN text END AS retweeted
 FROM {{documents}}
 """
+# The documents as JSON lines of many shapes: as they should be, with missing, further and wrongly typed fields, and broken.
+_SAID = "text"
+for _code in (9, 10, 13, 34, 92):  # what JSON would have to escape
+    _SAID = f"replace({_SAID}, chr({_code}), ' ')"
+_STAMPED = """'"created_at": "' || stamp || '"'"""
+_TEXT = """'"text": "' || said || '"'"""
+FLEXIBLE_LINES = f"""
+SELECT doc_id, said, CASE CAST(doc_id % 11 AS INT)
+    WHEN 0 THEN '{{{{' || {_STAMPED} || ', ' || {_TEXT} || ', "lang": "' || lang || '"}}}}'
+    WHEN 1 THEN '{{{{' || {_TEXT} || ', ' || {_STAMPED} || '}}}}'
+    WHEN 2 THEN '{{{{' || {_STAMPED} || ', "text": "short", "lang": "en", "user": {{{{"id": [1, 2]}}}}, "extended_tweet": {{{{"full_text": "' || said || '"}}}}}}}}'
+    WHEN 3 THEN '{{{{' || {_STAMPED} || ', "text": {{{{"full": "' || said || '"}}}}, "lang": "en"}}}}'
+    WHEN 4 THEN '{{{{"created_at": ' || {text('doc_id')} || ', ' || {_TEXT} || ', "lang": 7}}}}'
+    WHEN 5 THEN '{{{{' || {_STAMPED} || ', "text": "' || said
+    WHEN 6 THEN '{{{{' || {_STAMPED} || ', ' || {_TEXT} || ', "extended_tweet": "none", "retweeted_status": {{{{"text": "x"}}}}}}}}'
+    WHEN 7 THEN '{{{{"created_at": ["' || stamp || '"], ' || {_TEXT} || ', "retweeted_status": null}}}}'
+    WHEN 8 THEN '["' || said || '"]'
+    WHEN 9 THEN '{{{{' || {_STAMPED} || ', "text": true, "lang": null}}}}'
+    ELSE '  ' END AS value
+FROM (SELECT doc_id, lang, {padded('doc_id', 12)} AS stamp, {_SAID} AS said FROM {{documents}}) AS d
+"""
 CAPTURE_WORDS = ("with", "by")

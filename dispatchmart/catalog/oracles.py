@@ -695,3 +695,17 @@ oracle(
     best AS (SELECT *, row_number() OVER (PARTITION BY street ORDER BY distance, nearest) AS rn FROM pairs WHERE distance <= 2)
     SELECT street, nearest, distance FROM best WHERE rn = 1""",
 )
+
+oracle(
+    "flexible_capture",
+    """SELECT CASE CAST(doc_id % 11 AS INT) WHEN 4 THEN CAST(doc_id AS VARCHAR) WHEN 5 THEN NULL WHEN 7 THEN NULL WHEN 8 THEN NULL
+        ELSE lpad(CAST(doc_id AS VARCHAR), 12, '0') END AS created_at,
+      CASE WHEN doc_id % 11 IN (0, 1, 2, 4, 6, 7) THEN said WHEN doc_id % 11 = 9 THEN 'true' END AS tweet,
+      CASE CAST(doc_id % 11 AS INT) WHEN 0 THEN lang WHEN 2 THEN 'en' WHEN 3 THEN 'en' WHEN 4 THEN '7' END AS lang,
+      doc_id % 11 = 6 AS is_retweet,
+      CASE CAST(doc_id % 11 AS INT) WHEN 3 THEN 'no text' WHEN 5 THEN 'no JSON' WHEN 8 THEN 'no object' END AS problem,
+      CASE WHEN doc_id % 11 IN (3, 5, 8) THEN md5(value) END AS kept
+    FROM lines JOIN documents USING (doc_id) WHERE doc_id % 11 < 10""",
+    lines=I.FLEXIBLE_LINES,
+)
+oracle("stream_leading_terms", ORACLES["top_terms"])

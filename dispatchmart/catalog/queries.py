@@ -32,8 +32,9 @@ from dispatchmart.sources import loads as L
 from dispatchmart.sources.audit import run_stage
 from dispatchmart.sources.commits import Store
 from dispatchmart.sources.audit import stage_durations as stage_times
-from dispatchmart.sources.readers import read_csv, read_messages, stream_records
+from dispatchmart.sources.readers import flexible_records, read_csv, read_messages, stream_records
 from dispatchmart.streaming.capture import captured_messages, run_bounded_capture, start_capture
+from dispatchmart.streaming.leading import follow_terms, leading_terms
 from dispatchmart.streaming.scoring import fit_leading_terms, run_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,6 +597,34 @@ def bounded_capture(spark, sf_dir):
     return run_bounded_capture(captured_messages(records, I.CAPTURE_WORDS), out, checkpoint, V.CAPTURE_LIMIT)
 
 
+@query
+def flexible_capture(spark, sf_dir):
+    """JSON lines of many shapes as a stream: what can be used, and what cannot with the reason."""
+    path = scratch_path(spark, "lines")
+    I.derive(spark, sf_dir, I.FLEXIBLE_LINES).select("value").write.text(path)
+    out = scratch_path(spark, "flexible")
+    records = flexible_records(spark.readStream.text(path))
+    query = records.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "flexible-state"))
+    query.trigger(availableNow=True).start(out).awaitTermination()
+    usable = F.when(F.col("problem").isNull(), F.coalesce("full_text", "text"))
+    kept = F.when(F.col("problem").isNotNull(), F.md5("record"))
+    return spark.read.parquet(out).select("created_at", usable.alias("tweet"), "lang", "is_retweet", "problem", kept.alias("kept"))
+
+
+@query
+def stream_leading_terms(spark, sf_dir):
+    """The leading terms of a stream of four files, merged into a summary of few terms, in two runs."""
+    source, state = scratch_path(spark, "messages"), scratch_path(spark, "terms-state")
+    store = Store(spark, scratch_path(spark, "mart"))
+    documents = _documents(spark, sf_dir)
+    for halves in ((0, 1), (2, 3)):
+        part = documents.where((F.col("doc_id") % 4).isin(*halves))
+        part.repartitionByRange(2, "doc_id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        follow_terms(stream, store, state, counters=2_000)
+    return leading_terms(store)
+
+
 @query
 def stream_scored(spark, sf_dir):
     """Conversation turns as a stream, tagged with terms fitted on the documents."""

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dispatchmart import schemas
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.messages import mentions
+from dispatchmart.sources.commits import Store
+
+_TABLE, _BATCH, _TOTAL = "messages", "batch", "captured"
 
 
 def captured_messages(
@@ -45,31 +47,31 @@ def start_capture(messages: DataFrame, path: str, checkpoint: str, fmt: str = "p
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
-def run_bounded_capture(
-    messages: DataFrame, path: str, checkpoint: str, limit: int
-) -> DataFrame:
+def run_bounded_capture(messages: DataFrame, path: str, checkpoint: str, limit: int) -> DataFrame:
     """Capture at most ``limit`` messages in all, over any number of runs; the stream ends when there are so many.
 
-    Each micro-batch owns one folder, which it replaces when it runs again, and counts
-    only the folders of earlier batches, so a batch that is repeated after a failure
-    neither doubles nor drops a message.
+    The running total is published with the rows of each micro-batch, beside the number of the batch (``commits``). So a
+    batch reads nothing that was captured before, and one that is repeated after a failure neither doubles nor drops
+    a message.
     """
     spark = messages.sparkSession
-
-    full = threading.Event()
+    store, full = Store(spark, path), threading.Event()
+    if not store.has(_TABLE):
+        first = store.begin()
+        first.replace(_TABLE, spark.createDataFrame([], messages.schema))
+        first.publish()
 
     def keep_first(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        earlier = _captured(session, path).where(F.col("batch") < batch_id)
-        room = limit - earlier.count()
-        if room > 0:
-            batch.orderBy("created_at", "tweet").limit(room).write.mode("overwrite").parquet(
-                f"{path}/batch={batch_id}"
-            )
-        if _captured(session, path).count() >= limit:
+        commit = store.begin()
+        total = commit.mark_of(_TOTAL, 0)
+        if batch_id > commit.mark_of(_BATCH, -1) and total < limit:
+            total += commit.append(_TABLE, batch.orderBy("created_at", "tweet").limit(limit - total))
+            commit.mark(_TOTAL, total)
+            commit.mark(_BATCH, batch_id)
+            commit.publish()
+        if total >= limit:
             full.set()
 
-    _captured(spark, path, create=True)
     query = (
         messages.writeStream.foreachBatch(keep_first)
         .option("checkpointLocation", checkpoint)
@@ -79,13 +81,4 @@ def run_bounded_capture(
     while not query.awaitTermination(1):
         if full.is_set():
             query.stop()
-    return _captured(spark, path).drop("batch")
-
-
-def _captured(spark: SparkSession, path: str, create: bool = False) -> DataFrame:
-    """What the batches so far have captured, with the batch number."""
-    if create:
-        empty = spark.createDataFrame([], schemas.MESSAGE)
-        empty.write.mode("overwrite").parquet(f"{path}/batch=-1")
-    schema = f"{', '.join(f'{name} string' for name in schemas.MESSAGE.names)}, batch long"
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    return store.read(_TABLE)
