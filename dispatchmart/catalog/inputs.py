@@ -136,8 +136,9 @@ SELECT c_custkey,
 FROM {{customer}}
 """
 
+_VISIT = "(DATE '2014-11-20' + CAST(c_custkey * 7 % 97 AS INT))"
 PLACED_CUSTOMERS = f"""
-SELECT c_custkey, {padded('c_custkey', 10)} AS datetime, 'STAND ' || {text('c_nationkey')} AS street_address,
+SELECT c_custkey, replace({us_date(_VISIT)}, '/', '-') || ' ' || {text('c_custkey % 12 + 1')} || ':05:00 ' || {pick('c_custkey', 'AM,PM,am')} AS datetime, 'STAND ' || {text('c_nationkey')} AS street_address,
        c_mktsegment AS city, CASE WHEN c_acctbal < 0 THEN 'UNLISTED' ELSE {text('c_nationkey % 5')} END AS state
 FROM {{customer}}
 """
@@ -194,6 +195,19 @@ SELECT o_orderkey, {us_date('o_orderdate')} AS `DATE`, {_CLOCK} AS `TIME`,
 FROM {{orders}}
 """
 
+# Whole texts with several ON and several runs of digits.
+_MANY_ON = "replace(replace(replace(text, ' the ', ' ON '), ' of ', ' ON 5 '), ' de ', ' ON ON ')"
+MANY_CROSS_STREETS = f"SELECT doc_id, {_MANY_ON} AS address FROM {{documents}}"
+_MANY_RUNS = "replace(replace(replace(replace(replace(text, ' the ', ' 11'), 'er', '2'), 'en', '31 '), 'in', '1ST'), 'on', '23RD ')"
+MANY_DIGIT_RUNS = f"SELECT doc_id, {_MANY_RUNS} AS street FROM {{documents}}"
+
+# A second source of pickups, with the name of the first feed.
+SECOND_SOURCE = f"""
+SELECT replace({us_date('o_orderdate')}, '/', '-') || ' 1:00:00 AM' AS datetime, {_HOUSE} || ' SECOND ST' AS street_address,
+       'BRONX' AS city, 'NEW YORK' AS state, 'SKYLINE' AS source, 40.5 AS latitude, -73.5 AS longitude
+FROM {{orders}} WHERE o_orderstatus = 'F'
+"""
+
 PICKUP_PLACES = f"""
 SELECT DISTINCT {text('c_custkey % 900 + 1')} || ' BROADWAY YORK' AS street_address, 'NEW YORK CITY' AS city, 'NEW YORK' AS state,
        CAST(c_custkey % 900 AS DOUBLE) / 4 AS latitude, CAST(-(c_custkey % 900) AS DOUBLE) AS longitude

@@ -46,13 +46,18 @@ def _without_cross_street(pieces: str) -> str:
            WHEN {inside} AND i = {at} + 1 AND NOT regexp_matches(w, '^[A-Z]+$') THEN '' ELSE w END) END, ' ')"""
 
 
+# Number words and their ordinals, in the order the rules take them.
+_ORDINALS = [
+    ("FIRST", "1ST"), ("SECOND", "2ND"), ("THIRD", "3RD"), ("FIFTH", "5TH"), ("SIXTH", "6TH"), ("SEVENTH", "7TH"),
+    ("EIGHTH", "8TH"), ("NINTH", "9TH"), ("TENTH", "10TH"), ("ELEVENTH", "11TH"), ("TWELFTH", "12TH"), ("FOURTH", "4TH"),
+]
+
+
 def _number_words(address: str, fourth: bool = True) -> str:
-    words = ["FIRST 1ST", "SECOND 2ND", "THIRD 3RD", "FIFTH 5TH", "SIXTH 6TH", "SEVENTH 7TH", "EIGHTH 8TH",
-             "NINTH 9TH", "TENTH 10TH", "ELEVENTH 11TH", "TWELFTH 12TH"]
     sql = address
-    for pair in words + (["FOURTH 4TH"] if fourth else []):
-        word, number = pair.split()
-        sql = f"regexp_replace({sql}, '{word}', '{number}', 'g')"
+    for word, number in _ORDINALS:
+        if fourth or word != "FOURTH":
+            sql = f"regexp_replace({sql}, '{word}', '{number}', 'g')"
     return sql
 
 
@@ -89,10 +94,15 @@ def _location_city(code: str) -> str:
       WHEN 'WK' THEN 'NEWARK' WHEN 'AG' THEN 'EAST ELMHURST' ELSE {code} END END"""
 
 
+# City codes and their cities, in the order the older rules take them.
+_CITY_CODES = [
+    ("M", "MANHATTAN"), ("BK", "BROOKLYN"), ("BX", "BRONX"), ("QU", "QUEENS"), ("FK", "JAMAICA"), ("WK", "NEWARK"), ("AG", "EAST ELMHURST"),
+]
+
+
 def _location_city_compat(code: str) -> str:
     sql = f"CASE WHEN {code} IN ('NJ', 'LI', 'PA', 'CT', 'WE') THEN '' ELSE {code} END"
-    for pair in ("M MANHATTAN", "BK BROOKLYN", "BX BRONX", "QU QUEENS", "FK JAMAICA", "WK NEWARK", "AG EAST ELMHURST"):
-        key, city = pair.split(" ", 1)
+    for key, city in _CITY_CODES:
         sql = f"replace({sql}, '{key}', '{city}')"
     return sql
 
@@ -261,7 +271,8 @@ oracle(
     "geocode_budget",
     f"""WITH {_PLACES} SELECT c.c_custkey, c.datetime, street_address, city, state,
         CASE WHEN rn <= 100 THEN geo.a END AS latitude, CASE WHEN rn <= 100 THEN geo.b END AS longitude
-        FROM (SELECT *, row_number() OVER (ORDER BY datetime) AS rn FROM customers) AS c
+        FROM (SELECT *, row_number() OVER (ORDER BY strptime(upper(datetime), '%m-%d-%Y %I:%M:%S %p'), datetime, c_custkey) AS rn
+          FROM customers) AS c
         LEFT JOIN places USING (street_address, city, state)""",
     customers=I.PLACED_CUSTOMERS,
     gazetteer=I.GAZETTEER,
@@ -709,3 +720,60 @@ oracle(
     lines=I.FLEXIBLE_LINES,
 )
 oracle("stream_leading_terms", ORACLES["top_terms"])
+
+# Whole texts: ON after ON, each on what the one before has left; every run of digits by the characters around its end.
+oracle(
+    "cross_streets_in_texts",
+    f"""WITH cut AS (SELECT doc_id, {_tokens('address')} AS t FROM src),
+    steps AS (SELECT doc_id, list_prepend(t, list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'ON'),
+      lambda i: [CAST(i AS VARCHAR)])) AS folds FROM cut)
+    SELECT doc_id, md5(array_to_string(list_reduce(folds, lambda acc, p: CASE WHEN acc[CAST(p[1] AS INT)] <> 'ON' THEN acc ELSE
+      list_transform(acc, lambda w, i: CASE WHEN i = CAST(p[1] AS INT) THEN ''
+        WHEN CAST(p[1] AS INT) + 2 > len(acc) THEN w
+        WHEN i = CAST(p[1] AS INT) + 2 THEN ''
+        WHEN i = CAST(p[1] AS INT) + 1 AND NOT regexp_full_match(w, '\\p{{L}}+') THEN '' ELSE w END) END), ' ')) AS street_address
+    FROM steps""",
+    src=I.MANY_CROSS_STREETS,
+)
+
+
+def _digit_runs(compat: bool) -> str:
+    ordinal = "CASE WHEN before[i - 2] = '1' THEN 'TH' WHEN c[i - 1] = '1' THEN 'ST' WHEN c[i - 1] = '2' THEN 'ND' WHEN c[i - 1] = '3' THEN 'RD' ELSE 'TH' END"
+    ordinal = ordinal.replace("before[i - 2]", "CASE WHEN i > 2 THEN c[i - 2] END")
+    kept = "false" if compat else "i < len(c) AND c[i] || c[i + 1] IN ('ST', 'ND', 'RD', 'TH') AND (i + 2 > len(c) OR NOT regexp_matches(c[i + 2], '[\\p{L}\\p{Nd}_]'))"
+    return f"""md5(array_to_string(list_transform(c, lambda x, i: CASE WHEN i > 1 AND regexp_matches(c[i - 1], '[0-9]') AND NOT regexp_matches(x, '[0-9]') AND NOT ({kept})
+      THEN {f'lower({ordinal})' if compat else ordinal} || ' ' ELSE x END), ''))"""
+
+
+oracle(
+    "ordinal_runs_in_texts",
+    f"""WITH cut AS (SELECT doc_id, regexp_extract_all(street, '(?s).') AS c FROM src)
+    SELECT doc_id, {_digit_runs(False)} AS street, {_digit_runs(True)} AS street_compat FROM cut""",
+    src=I.MANY_DIGIT_RUNS,
+)
+
+
+def _job_rows(what: str, rows: str, where: str = "true", outcome: str = "TRUE") -> str:
+    return f"SELECT '{what}' AS what, count(*) AS n, '{outcome}' AS outcome FROM ({rows}) AS t WHERE {where}"
+
+
+oracle(
+    "whole_job",
+    " UNION ALL ".join(
+        [
+            _job_rows("pickup_data", ORACLES["standard_pickups"]),
+            _job_rows("pickup_data_keyed", ORACLES["standard_pickups"]),
+            _job_rows("quarantine_location_feed", "SELECT 1", "false"),
+            _job_rows("tweet_analysis", "FROM documents"),
+            _job_rows("driver_dim_updated", ORACLES["scd2_dimension"]),
+            _job_rows("driver_feed_rejects", ORACLES["scd2_rejects"]),
+            _job_rows("driver_bridge", ORACLES["scd2_dimension"], "current_record = 1 AND shifttimekey + coveragekey + companykey IS NOT NULL"),
+            f"""SELECT 'pickupdata_with_anothersource', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') +
+              (SELECT count(*) FROM ({ORACLES["standard_pickups"]}) AS p WHERE source <> 'SKYLINE'), 'TRUE'""",
+            "SELECT 'stage 1', 3 * count(*), 'TRUE' FROM orders",
+            _job_rows("stage 2", "FROM documents"),
+            _job_rows("stage 3", ORACLES["scd2_dimension"]),
+            _job_rows("stage 4", "SELECT 1 FROM orders WHERE o_orderstatus = 'F'"),
+        ]
+    ),
+)

@@ -25,6 +25,7 @@ from dispatchmart.operators.ordered import number_rows
 from dispatchmart.operators.registry import register
 from dispatchmart.operators.sentiment import add_sentiment
 from dispatchmart.plans import incremental as N
+from dispatchmart.plans import job as J
 from dispatchmart.plans import standardize as P
 from dispatchmart.plans.messages import score_messages
 from dispatchmart.session import scratch_path
@@ -76,6 +77,22 @@ def cross_street_removal(spark, sf_dir):
     return streets.select("o_orderkey", A.remove_cross_street(F.col("pieces")).alias("street_address"))
 
 
+@query
+def cross_streets_in_texts(spark, sf_dir):
+    texts = _cut(I.derive(spark, sf_dir, I.MANY_CROSS_STREETS))
+    return texts.select("doc_id", F.md5(A.remove_cross_street(F.col("pieces"))).alias("street_address"))
+
+
+@query
+def ordinal_runs_in_texts(spark, sf_dir):
+    texts = I.derive(spark, sf_dir, I.MANY_DIGIT_RUNS)
+    return texts.select(
+        "doc_id",
+        F.md5(A.ordinal_digit_runs(F.col("street"))).alias("street"),
+        F.md5(A.ordinal_digit_runs(F.col("street"), compat=True)).alias("street_compat"),
+    )
+
+
 @query
 def ordinal_words(spark, sf_dir):
     streets = I.derive(spark, sf_dir, I.NUMBER_WORDS)
@@ -775,3 +792,33 @@ def stage_durations(spark, sf_dir):
     in_time = (F.col("seconds") >= 0) & (F.col("job_start_time") <= F.col("job_end_time"))
     loaded = L.read_target(spark, target).agg(F.count("*")).scalar()
     return timed.select("job_id", "job_completed", in_time.alias("in_time"), loaded.alias("loaded_rows"))
+
+
+@query
+def whole_job(spark, sf_dir):
+    """All stages over derived feeds: rows of each target, and of each stage its outcome and the rows it loaded."""
+    folder = scratch_path(spark, "arrived")
+    feeds = {"location": I.LOCATION_FEED, "free_text": I.FREE_TEXT_FEED, "split_field": I.SPLIT_FIELD_FEED, "second": I.SECOND_SOURCE}
+    for name, sql in feeds.items():
+        feed = I.derive(spark, sf_dir, sql)
+        L.write_csv(feed.drop("o_orderkey"), f"{folder}/{name}")
+    messages = I.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), on_one_line(F.col("text")))
+    L.write_csv(messages, f"{folder}/messages", sep="~", header=False)
+    targets = J.Targets(scratch_path(spark, "mart"))
+    warehouse = Store(spark, targets.root).begin()
+    tables = {"shifttime_dim": I.SHIFT_DIM, "coverage_dim": I.COVERAGE_DIM, "company_dim": I.COMPANY_DIM, "gazetteer": I.PICKUP_PLACES,
+              "driver_dim": I.DRIVER_DIM, "driver_feed": I.DRIVER_FEED}
+    for name, sql in tables.items():
+        warehouse.replace(name, I.derive(spark, sf_dir, sql))
+    warehouse.replace("lexicon", _lexicon(spark, sf_dir))
+    warehouse.publish()
+    inputs = J.Inputs(*[f"{folder}/{name}" for name in ("location", "free_text", "split_field", "messages", "second")])
+    audit = stage_times(J.run_job(spark, inputs, targets), counts=True)
+    names = ("pickup_data", "quarantine_location_feed", "tweet_analysis", "driver_dim_updated", "driver_feed_rejects",
+             "pickup_data_keyed", "driver_bridge", "pickupdata_with_anothersource")
+    counted = [
+        L.read_target(spark, targets[name]).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n", F.lit("TRUE").alias("outcome"))
+        for name in names
+    ]
+    stages = audit.where("seconds >= 0").select(F.concat(F.lit("stage "), "job_id").alias("what"), F.col("rows_loaded").alias("n"), F.col("job_completed").alias("outcome"))
+    return S.union_feeds(*counted, stages)

@@ -185,3 +185,6 @@ MAX_LOAD_ERRORS = 2
 DATE_TEXT = "MM/dd/yyyy"
 DATE_TEXT_IN = "M/d/yyyy"
 AUDIT_TIME_TEXT = "dd/MM/yyyy HH:mm:ss"
+
+# How the time of a pickup may be written.
+PICKUP_TIMES = ("M-d-yyyy h:mm:ss a", "M-d-yyyy h:mm a", "M-d-yyyy H:mm:ss", "M-d-yyyy H:mm")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dispatchmart.functions import fixed_values as V
 from dispatchmart.operators.joins import BROADCAST_ROWS, spread_join
 from dispatchmart.operators.sets import mark_head, union_feeds
 
@@ -24,20 +25,26 @@ def add_coordinates(pickups: DataFrame, gazetteer: DataFrame, max_rows: int = BR
     return located.select(*pickups.columns, "geo.*")
 
 
+def _moment(text: str) -> Column:
+    """The time that a pickup's text tells, NULL when it tells none."""
+    return F.coalesce(*[F.try_to_timestamp(F.col(text), F.lit(layout)) for layout in V.PICKUP_TIMES])
+
+
 def geocode_feeds(
     feeds: list[DataFrame],
     gazetteer: DataFrame,
     budget: int | None = None,
-    order_by: tuple[str, ...] = ("datetime",),
+    at: str = "datetime",
 ) -> DataFrame:
     """All feeds in one table with coordinates; under a ``budget`` only the first so many pickups of each get them.
 
-    The feeds are united before the join, so the gazetteer is read and sent out once. Pickups beyond
-    a budget take no part in it.
+    The first pickups are those of the earliest time in ``at``; ones without a readable time come before all others. The
+    feeds are united before the join, so the gazetteer is read and sent out once. Pickups beyond a budget take no
+    part in it.
     """
     if budget is None:
         return add_coordinates(union_feeds(*feeds), gazetteer)
-    marked = union_feeds(*[mark_head(feed, budget, list(order_by)) for feed in feeds])
+    marked = union_feeds(*[mark_head(feed.withColumn("_at", _moment(at)), budget, ["_at", at]) for feed in feeds]).drop("_at")
     located = add_coordinates(marked.where("is_head").drop("is_head"), gazetteer)
     nowhere = {c: F.lit(None).cast("double") for c in ("latitude", "longitude")}
     return located.unionByName(marked.where("NOT is_head").drop("is_head").withColumns(nowhere))

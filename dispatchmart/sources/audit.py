@@ -78,8 +78,8 @@ def run_committed_stage(
     return outcome == "TRUE"
 
 
-def stage_durations(audit: DataFrame) -> DataFrame:
-    """Audit rows with the time each stage took and the times as text."""
+def stage_durations(audit: DataFrame, counts: bool = False) -> DataFrame:
+    """Audit rows with the time each stage took and the times as text; with the ``counts`` of its rows on request."""
     seconds = F.col("job_end_time").cast("double") - F.col("job_start_time").cast("double")
     return audit.select(
         "job_id",
@@ -87,4 +87,5 @@ def stage_durations(audit: DataFrame) -> DataFrame:
         F.date_format("job_end_time", V.AUDIT_TIME_TEXT).alias("job_end_time"),
         "job_completed",
         seconds.alias("seconds"),
+        *(["rows_loaded", "rows_rejected"] if counts else []),
     )
