@@ -95,24 +95,25 @@ def remove_cross_street(pieces: Column) -> Column:
     letters. Both are left alone when fewer than two words follow.
     """
 
-    def blank_at(state: Column, at: Column) -> Column:
-        inside = at + 2 < F.size(state)
-        return F.when(
-            F.get(state, at) == "ON",
-            F.transform(
-                state,
-                lambda word, i: F.when(
-                    (i == at)
-                    | (inside & (i == at + 2))
-                    | (inside & (i == at + 1) & ~word.rlike(r"^\p{L}+$")),
-                    F.lit(""),
-                ).otherwise(word),
-            ),
-        ).otherwise(state)
-
-    positions = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    blanked = F.aggregate(positions, pieces, blank_at)
-    return F.when(F.array_contains(pieces, "ON"), _joined(blanked)).otherwise(_joined(pieces))
+    marks = F.array_compact(F.transform(pieces, lambda word, i: F.when(word == "ON", i)))
+    # An ON two words after one that counts is blanked by it; any other counts, also right after one.
+    counting = F.aggregate(
+        marks,
+        F.array().cast("array<int>"),
+        lambda kept, at: F.when(F.array_contains(kept, at - 2), kept).otherwise(F.array_append(kept, at)),
+    )
+
+    def blanked(at: Column) -> Column:
+        def rule(word: Column, i: Column) -> Column:
+            first = F.array_contains(at, i - 1) & (i + 1 < F.size(pieces)) & ~word.rlike(r"^\p{L}+$")
+            gone = F.array_contains(at, i) | F.array_contains(at, i - 2) | first
+            return F.when(gone, F.lit("")).otherwise(word)
+
+        return F.transform(pieces, rule)
+
+    # As the element of a list the places are found once, not again for every word.
+    once = F.element_at(F.transform(F.array(counting), blanked), 1)
+    return F.when(F.array_contains(pieces, "ON"), _joined(once)).otherwise(_joined(pieces))
 
 
 def ordinal_words(address: Column, compat: bool = False) -> Column:
