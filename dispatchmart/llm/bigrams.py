@@ -1,6 +1,9 @@
-"""Cross-entropy difference with every word and every pair of words of the corpus, however large it is.
+"""Cross-entropy difference: how much better a target model predicts a document than a background model.
 
-The models are those of ``lm`` with nothing left out: a pair seen once counts, so no mass but the smoothing backs off:
+Both are bigram models with one vocabulary and one smoothing, of every word and every pair of words of the corpus, however
+large it is: a pair seen once counts, so no mass but the smoothing backs off. A document's score is the mean over its words
+of the target's loss less the background's; documents rank by it, the lower the closer to the target. The models hold the counts
+of the scored documents themselves, so the sign of a score says more about membership than about likeness.
 
     p(w | v) = (c(v, w) + K p(w)) / (c(v) + K),   p(w) = (c(w) + K / |V|) / (N + K)
 
@@ -12,7 +15,9 @@ the second word; the start and the last word of a text make the difference up. W
 
 Documents are named by the hash of their text: copies of a text add up and are divided by their number.
 
-Defined results: as in ``lm``.
+Defined results: a null or empty text has no words and the score 0; equal texts have equal scores, each row of them is
+kept; an empty table gives an empty one; an empty target leaves a uniform model for it; columns besides
+the identifier and the text are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ from pyspark.sql import functions as F
 
 from dispatchmart.llm.classifier import shape
 from dispatchmart.llm.common import id_and_text, saved
-from dispatchmart.llm.lm import _CACHED_WORDS, _PORTION, SMOOTHING
 from dispatchmart.operators.joins import lookup_join
 
+SMOOTHING = 64.0
 HOT_SHARE = 1 / 2000
+_CACHED_WORDS = 400_000
+_PORTION = 500_000  # distinct words that a task holds before it sends their counts
 _CHUNK = 1 << 21  # words that a task deals out at a time
 _START, _LAST = 0, 1  # in place of the word before: the start of a text; the mark of a text's last word
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +251,7 @@ def _add_up(waiting):
 def cross_entropy_difference(
     docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, n_words, difference`` of every whole text, as ``lm.cross_entropy_difference`` with nothing left out."""
+    """``doc_id, n_words, difference`` of every whole text."""
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     ids = target_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()

@@ -1,15 +1,53 @@
-"""All words and pairs against the brute force of the language models with no share required."""
+"""All words and pairs against models made from plain dictionaries."""
+
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from edge_rows import documents, edge_rows, empty_rows, texts_of
-from test_lm import brute_scores
 
-from dispatchmart.llm import bigrams, lm, queries
+from dispatchmart.llm import bigrams, queries
+from dispatchmart.llm.classifier import shape
+
+
+def brute_scores(texts, target):
+    """Both models from plain dictionaries."""
+    words, shapes = Counter(), Counter()
+    for _, text in texts:
+        words.update(text.split())
+        shapes.update(map(shape, text.split()))
+    size = 2 + len(words) + len(shapes)
+
+    def tokens(text):
+        return list(zip([None] + text.split(), text.split()))
+
+    pairs = {name: Counter() for name in ("target", "background")}
+    for doc_id, text in texts:
+        pairs["background"].update(tokens(text))
+        if doc_id in target:
+            pairs["target"].update(tokens(text))
+    loss = {}
+    for name, counts in pairs.items():
+        alone, context = Counter(), Counter()
+        for (v, w), n in counts.items():
+            alone[w] += n
+            context[v] += n
+        total, k = sum(alone.values()), bigrams.SMOOTHING
 
+        def value(v, w, counts=counts, alone=alone, context=context, total=total):
+            p = (alone[w] + k / size) / (total + k)
+            return -math.log((counts[v, w] + k * p) / (context[v] + k))
 
-def compare(rows, got, target, monkeypatch):
-    monkeypatch.setattr(lm, "MIN_SHARE", 0.0)
+        loss[name] = value
+    scores = []
+    for doc_id, text in texts:
+        each = [loss["target"](v, w) - loss["background"](v, w) for v, w in tokens(text)]
+        scores.append((str(doc_id), len(each), sum(each) / len(each) if each else 0.0))
+    return sorted(scores)
+
+
+def compare(rows, got, target):
     got = sorted((str(r[0]), r[1], r[2]) for r in got.collect())
     want = brute_scores(texts_of(rows), target)
     assert [g[:2] for g in got] == [w[:2] for w in want]
@@ -23,22 +61,30 @@ def test_every_word_and_pair_counts(spark, sf_dir, share, monkeypatch):
     monkeypatch.setattr(bigrams, "_CHUNK", 2000)
     rows, target = documents(spark, sf_dir).where("doc_id < 60"), list(range(0, 60, 3))
     ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
-    compare(rows, bigrams.cross_entropy_difference(rows, ids), set(target), monkeypatch)
+    compare(rows, bigrams.cross_entropy_difference(rows, ids), set(target))
 
 
 @pytest.mark.parametrize("target", [[], [5, 5, None, 3, 400]])
-def test_edge_rows(spark, target, monkeypatch):
+def test_edge_rows(spark, target):
     ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
-    compare(edge_rows(spark), bigrams.cross_entropy_difference(edge_rows(spark), ids), {i for i in target if i is not None}, monkeypatch)
+    compare(edge_rows(spark), bigrams.cross_entropy_difference(edge_rows(spark), ids), {i for i in target if i is not None})
 
 
 def test_no_rows(spark):
     assert bigrams.cross_entropy_difference(empty_rows(spark), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
-def test_the_query_leaves_nothing_out(spark, sf_dir, monkeypatch):
-    """Whatever share bounds the other models, the registered query keeps all words and pairs."""
-    monkeypatch.setattr(lm, "MIN_SHARE", 1e-3)
+def test_the_query_leaves_nothing_out(spark, sf_dir):
     got = queries.op6_lm_scoring(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()
-    compare(documents(spark, sf_dir), got, {r["doc_id"] for r in labels}, monkeypatch)
+    compare(documents(spark, sf_dir), got, {r["doc_id"] for r in labels})
+
+
+def test_target_documents_score_lower(spark):
+    """Good documents the target never saw rank before bad ones."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    scored = bigrams.cross_entropy_difference(docs, labels.where("quality = 1 AND doc_id % 2 = 0").select("doc_id"))
+    rest = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    good, bad = rest[rest.quality == 1].difference, rest[rest.quality == 0].difference
+    assert np.mean([(good < s).mean() for s in bad]) > 0.85
