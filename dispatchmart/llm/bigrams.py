@@ -42,7 +42,7 @@ _CHUNK = 1 << 21  # words that a task deals out at a time
 _START, _LAST = 0, 1  # in place of the word before: the start of a text; the mark of a text's last word
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PACKED = ("words", "sizes", "contexts", "at", "docs", "targets", "doc_at")
-_TYPES = (np.int64, np.int32, np.int64, np.int32, np.int64, np.bool_, np.int32)
+_TYPES = (np.int64, np.int32, np.int64, np.uint8, np.int64, np.bool_, np.uint8)  # places as bytes of two or four each
 _ADDED, _ADDED_TYPES = ("docs", "sums", "words"), (np.int64, np.float64, np.int32)
 
 
@@ -125,6 +125,15 @@ def _is_hot(known: Totals, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (known.hot[at] == words if len(known.hot) else np.zeros(len(words), bool)), at
 
 
+def _as_bytes(places: np.ndarray) -> np.ndarray:
+    """Places in a list, in two bytes each where the list is short enough."""
+    return places.astype(np.uint16 if places.max() < 1 << 16 else np.uint32).view(np.uint8)
+
+
+def _places(raw: np.ndarray, count: int) -> np.ndarray:
+    return raw.view(np.uint16 if len(raw) == 2 * count else np.uint32)
+
+
 def _deal(sent, n_buckets: int):
     """Occurrences of pairs, packed: a row for each bucket and chunk of texts."""
 
@@ -148,7 +157,7 @@ def _deal(sent, n_buckets: int):
                 words, sizes = np.unique(after[start:end], return_counts=True)
                 contexts, at = np.unique(before[start:end], return_inverse=True)
                 of, doc_at = np.unique(doc[start:end], return_inverse=True)
-                columns = (words, sizes, contexts, at, keys[of], good[of], doc_at)
+                columns = (words, sizes, contexts, _as_bytes(at), keys[of], good[of], _as_bytes(doc_at))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(bucket[start])], pa.int32()),
@@ -221,10 +230,11 @@ def _weigh_buckets(sent, n_buckets: int):
     """What occurrences add to documents, packed again: a row for each bucket of documents."""
 
     def work(waiting):
-        rows = [
-            (np.repeat(words, sizes), contexts[at], docs[doc_at], targets[doc_at])
-            for words, sizes, contexts, at, docs, targets, doc_at in waiting
-        ]
+        rows = []
+        for words, sizes, contexts, at, docs, targets, doc_at in waiting:
+            word = np.repeat(words, sizes)
+            of = _places(doc_at, len(word))
+            rows.append((word, contexts[_places(at, len(word))], docs[of], targets[of]))
         docs, sums, words = _weigh(sent.value, *(np.concatenate(c) for c in zip(*rows)))
         bucket = ((docs.view(np.uint64) * _MIX >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -88,3 +88,11 @@ def test_target_documents_score_lower(spark):
     rest = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     good, bad = rest[rest.quality == 1].difference, rest[rest.quality == 0].difference
     assert np.mean([(good < s).mean() for s in bad]) > 0.85
+
+
+def test_places_take_two_bytes_or_four():
+    for largest in (0, 65_535, 65_536):
+        places = np.array([0, largest, 7])
+        raw = bigrams._as_bytes(places)
+        assert len(raw) == (6 if largest < 65_536 else 12)
+        assert (bigrams._places(np.frombuffer(raw.tobytes(), np.uint8), 3) == places).all()
