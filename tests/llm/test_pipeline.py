@@ -56,4 +56,4 @@ def test_query_against_sql(spark, sf_dir, name, monkeypatch):
 def test_all_are_registered():
     names = entry_module.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
