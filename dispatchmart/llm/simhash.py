@@ -38,13 +38,13 @@ _ODD_BITS = 0x5555555555555555
 _HALF = (1 << 32) - 1
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The 64 majority bits of the hashes of a text's shingles, repeats included."""
+def shingle_hashes(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hash of every shingle of a text in order, repeats included."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle_words:
         starts, ends = [0], [len(joined)]
@@ -53,7 +53,11 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
         starts = np.concatenate([[0], ends[:-shingle_words] + 1]).tolist()
         ends = ends[shingle_words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), "<u8", len(starts))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), "<u8", len(starts))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in more than half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -61,6 +65,11 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The 64 majority bits of the hashes of a text's shingles, repeats included."""
+    return majority_bits(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, bits``: the fingerprint of every whole text, as a signed number."""
 
@@ -232,12 +241,15 @@ def as_hex(bits: Column) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None
+) -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of its group, with all their columns.
 
-    Of several rows with one identifier one stays; rows without an identifier stay.
+    ``groups`` has ``doc_id, component_id``; without it they are those of ``link``. Of several rows with one identifier
+    one stays; rows without an identifier stay.
     """
-    groups = link(docs, id_col=id_col, text_col=text_col)
+    groups = link(docs, id_col=id_col, text_col=text_col) if groups is None else groups
     ids = saved(
         groups.where("doc_id IS NOT NULL")
         .groupBy("doc_id")
