@@ -40,6 +40,8 @@ BANDS, ROWS = 12, 4
 FAR_BITS = 24
 """Fingerprints that differ in more bits are not compared: five deviations above the mean at a similarity of 0.8."""
 
+PAIRS_PER_TASK = 256
+
 _CHUNK = 4096
 _MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -107,8 +109,9 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle_words
     """The ``a, b`` whose texts are similar, written as a table; only texts of a pair are shuffled, never all."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = saved(lookup_join(rows.where("doc_id IS NOT NULL"), ids, ["doc_id"], "left_semi"))
-    # One text may be in very many pairs.
-    with_b = spread_join(pairs, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ["b"])
+    # Pairs are a few bytes each, but their texts are not: they are dealt by number. One text may be in very many pairs.
+    dealt = pairs.repartition(max(1, -(-pairs.count() // PAIRS_PER_TASK)), "a", "b")
+    with_b = spread_join(dealt, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ["b"])
     both = spread_join(with_b, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"])
     compared = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(similarity, shingle_words), "a long, b long")
     return saved(compared)
