@@ -646,7 +646,8 @@ def stream_leading_terms(spark, sf_dir):
 def stream_scored(spark, sf_dir):
     """Conversation turns as a stream, tagged with terms fitted on the documents."""
     stored = I.table(spark, sf_dir, "conversations")
-    turns = spark.readStream.schema(stored.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    # A pattern, as a stream takes a single file by a pattern only; a folder of files fits it, too.
+    turns = spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/conversations.parque[t]")
     messages = turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("created_at"), F.col("text").alias("tweet")
     )

@@ -116,3 +116,19 @@ def test_leading_terms_of_a_stream_restart_from_the_checkpoint(spark, tmp_path):
         assert store.read(MESSAGES).count() == len(texts)
         want = [tuple(r) for r in top_terms(messages(spark, texts), 5).collect()]
         assert [tuple(r) for r in leading_terms(store, 5).collect()] == want
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_scored_stream_reads_a_table_of_any_number_of_files(spark, tmp_path, files):
+    from dispatchmart.catalog.queries import QUERIES
+
+    turns = [(i // 4, i % 4, "user", f"taxi good number {'x' * i}") for i in range(12)]
+    tables = {
+        "conversations": spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"),
+        "documents": spark.createDataFrame([(1, "taxi good taxi number")], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(1, "good number")], "item_id long, text string"),
+    }
+    for name, rows in tables.items():
+        rows.repartition(files).write.parquet(str(tmp_path / f"{name}.parquet"))
+    scored = QUERIES["stream_scored"](spark, str(tmp_path))
+    assert sorted(r.created_at for r in scored.collect()) == sorted(f"{i // 4}-{i % 4}" for i in range(12))
