@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.clock import date_text, day_before
 from dispatchmart.operators.joins import spread_join
 from dispatchmart.operators.ordered import next_and_latest, number_rows
-from dispatchmart.session import checkpoint_dir
+from dispatchmart.session import stored
 
 DIMENSION = [
     "driverrecordkey",
@@ -66,9 +66,8 @@ def resolve_feed(feed: DataFrame, lookups: Lookups) -> DataFrame:
     """Feed rows with the keys of their shift, coverage and company; NULL where there is none.
 
     A row delivered twice is one event. Several steps read the result, so it is
-    checkpointed.
+    written.
     """
-    checkpoint_dir(feed.sparkSession)
     shifts = lookups.shifts.select(
         F.col("starttime").alias("beginshift"), F.col("endtime").alias("endshift"), "shifttimekey"
     )
@@ -77,7 +76,7 @@ def resolve_feed(feed: DataFrame, lookups: Lookups) -> DataFrame:
     rows = spread_join(rows, shifts, ["beginshift", "endshift"], "left")
     rows = spread_join(rows, lookups.coverages.select("coverage", "coveragekey"), ["coverage"], "left")
     rows = spread_join(rows, companies, ["source"], "left")
-    return rows.select(*FEED, *LOOKUP_KEYS).checkpoint()
+    return stored(rows.select(*FEED, *LOOKUP_KEYS), "resolved")
 
 
 def _keys_found() -> Column:
@@ -104,13 +103,12 @@ def day_events(dim: DataFrame, resolved: DataFrame) -> DataFrame:
     """``driverkey, effdt, event``: the one event of each day after the start of a driver's current version.
 
     The last event of a day (by file date, then action, then keys) makes that day's version. Several steps read
-    the result, so it is checkpointed.
+    the result, so it is written.
     """
-    checkpoint_dir(resolved.sparkSession)
     current = dim.where(_is_current()).select("drivername", "driverkey", F.col("effectivedate").alias("_since"))
     events = _applicable(resolved).select("drivername", "effdt", _event().alias("event"))
     later = spread_join(events, current, ["drivername"]).where(F.col("effdt") > F.col("_since"))
-    return later.groupBy("driverkey", "effdt").agg(F.max("event").alias("event")).checkpoint()
+    return stored(later.groupBy("driverkey", "effdt").agg(F.max("event").alias("event")), "events")
 
 
 def unchanged(dim: DataFrame, events: DataFrame) -> DataFrame:
@@ -127,7 +125,7 @@ def applied_versions(dim: DataFrame, events: DataFrame) -> DataFrame:
     their dates, which all differ. FIRED keeps the keys in force before it.
     """
     touched = events.select("driverkey").distinct()
-    base_rows = spread_join(dim.where(_is_current()), touched, ["driverkey"], "left_semi").select(DIMENSION).checkpoint()
+    base_rows = stored(spread_join(dim.where(_is_current()), touched, ["driverkey"], "left_semi").select(DIMENSION), "bases")
     base = base_rows.select(
         *DIMENSION,
         F.lit(0).alias("step"),
@@ -162,6 +160,118 @@ def applied_versions(dim: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def name_chains(resolved: DataFrame) -> DataFrame:
+    """``drivername, chain``: what the events of a name say, one entry for each of their days, in order.
+
+    The last event of a day makes that day's version. An entry holds the day of the next one and the latest CHANGE up to
+    its own. Drivers of one name share its events, however many they are: a chain is held once, as long as the days it has.
+    """
+    events = _applicable(resolved).where(F.col("drivername").isNotNull())
+    events = events.groupBy("drivername", "effdt").agg(F.max(_event()).alias("event"))
+    in_time = Window.partitionBy("drivername").orderBy("effdt")
+    change = F.when(F.col("event.keys").isNotNull(), F.struct(F.col("effdt").alias("day"), F.col("event.keys").alias("keys")))
+    entry = F.struct(
+        "effdt",
+        "event.filedt",
+        "event.action",
+        F.lead("effdt").over(in_time).alias("next"),
+        F.last(change, ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0)).alias("change"),
+    )
+    entries = events.select("drivername", entry.alias("entry"))
+    return stored(entries.groupBy("drivername").agg(F.array_sort(F.collect_list("entry")).alias("chain")), "chains")
+
+
+def _later() -> Column:
+    """The entries of a name's chain that follow the start of a driver's version."""
+    since = F.col("effectivedate")
+    return F.filter("chain", lambda entry: entry["effdt"] > since)
+
+
+@dataclass(frozen=True)
+class Versions:
+    """The versions of a dimension that a feed is applied to.
+
+    ``rows`` has the dimension's columns and ``later``: how many versions follow the row. The driver's chain
+    gives them (``expanded``), so that no step before holds every event once for each driver of its name.
+    """
+
+    rows: DataFrame
+    chains: DataFrame
+
+
+def versions_of(dim: DataFrame, resolved: DataFrame) -> Versions:
+    """Closed versions, current ones, and how many versions the FIRED and CHANGE rows add behind each.
+
+    A driver key with several current versions, or a closed one that does not start before the current one, has no
+    chain of its own behind one row: its versions are made by ``applied_versions``.
+    """
+    current, closed = dim.where(_is_current()).select(DIMENSION), dim.where(~_is_current()).select(DIMENSION)
+    starts = F.col("effectivedate")
+    keys = dim.where(F.col("driverkey").isNotNull()).groupBy("driverkey").agg(
+        F.count_if(_is_current()).alias("_current"),
+        F.max(F.when(_is_current(), starts)).alias("_since"),
+        F.max(F.when(~_is_current(), starts)).alias("_closed"),
+    )
+    mixed = (F.col("_current") > 1) | ((F.col("_current") == 1) & (F.col("_closed") >= F.col("_since")))
+    mixed = stored(keys.where(mixed).select("driverkey"), "mixed")
+
+    chains = name_chains(resolved)
+    plain = spread_join(current, mixed, ["driverkey"], "left_anti")
+    known = F.col("driverkey").isNotNull()
+    plain = spread_join(plain, chains, ["drivername"], "left").select(
+        *DIMENSION, F.when(known, F.coalesce(F.size(_later()), F.lit(0))).otherwise(0).alias("later")
+    )
+    none = F.lit(0).alias("later")
+    rows = closed.select(*DIMENSION, none).unionByName(plain).distinct()
+    if not mixed.isEmpty():
+        several = stored(spread_join(current, mixed, ["driverkey"], "left_semi").select(DIMENSION), "several")
+        events = day_events(several, resolved)
+        several = unchanged(several, events).unionByName(applied_versions(several, events))
+        rows = rows.unionByName(several.select(*DIMENSION, none))
+    return Versions(rows, chains)
+
+
+def expanded(rows: DataFrame, chains: DataFrame, first: Column, following: Column) -> DataFrame:
+    """All versions: of each row of ``Versions.rows`` its own and those that follow it.
+
+    A row's own version has ``first`` as its record key, the n-th that follows it ``following + n``. FIRED keeps the
+    keys in force before it.
+    """
+    alone = rows.where("later = 0").withColumn("driverrecordkey", first).select(DIMENSION)
+    behind = rows.where("later > 0").withColumns({"_first": first, "_following": following})
+    behind = spread_join(behind, chains, ["drivername"]).withColumn("_later", _later())
+    types = chains.schema["chain"].dataType.elementType
+    own = F.struct(
+        F.col("effectivedate").alias("effdt"),
+        F.col("loaddate").alias("filedt"),
+        F.lit("BASE").alias("action"),
+        F.col("_later")[0]["effdt"].alias("next"),
+        F.lit(None).cast(types["change"].dataType).alias("change"),
+    )
+    steps = behind.select(
+        *DIMENSION[1:], "_first", "_following",
+        F.posexplode(F.concat(F.array(own), F.col("_later"))).alias("_step", "_at"),
+    )
+    is_first = F.col("_step") == 0
+    changed = F.col("_at.change.day") > F.col("effectivedate")
+    made = steps.select(
+        F.when(is_first, F.col("_first")).otherwise(F.col("_following") + F.col("_step")).alias("driverrecordkey"),
+        "driverkey",
+        "drivername",
+        *[F.when(changed, F.col(f"_at.change.keys.{key}")).otherwise(F.col(key)).alias(key) for key in LOOKUP_KEYS],
+        "hiredate",
+        F.when(is_first, F.col("firedate"))
+        .when(F.col("_at.action") == "FIRED", F.col("_at.effdt"))
+        .otherwise(_open_end())
+        .alias("firedate"),
+        F.col("_at.effdt").alias("effectivedate"),
+        F.col("_at.filedt").alias("loaddate"),
+        F.coalesce(day_before(F.col("_at.next")), _open_end()).alias("expireddate"),
+        F.col("_at.next").isNull().cast("int").alias("current_record"),
+    )
+    return alone.unionByName(made)
+
+
 def hired_rows(resolved: DataFrame) -> DataFrame:
     """The first version of each driver that the feed hires, without a driver key."""
     complete = (F.col("action") == "HIRED") & _keys_found() & F.col("effdt").isNotNull()
@@ -214,11 +324,15 @@ def rejected_rows(dim: DataFrame, resolved: DataFrame) -> DataFrame:
     return checked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*FEED, "reason")
 
 
-def number_records(versions: DataFrame) -> DataFrame:
-    """Record keys 1..N over the whole dimension."""
-    return number_rows(versions.drop("driverrecordkey"), "driverrecordkey", RECORD_ORDER, rows_differ=True).select(
-        DIMENSION
-    )
+def number_records(versions: Versions) -> DataFrame:
+    """All versions with record keys 1..N over the whole dimension.
+
+    Rows are put in order and numbered with those that follow them, which stand right behind: a driver's closed
+    versions start before. So only drivers are sorted, not the versions that a chain adds to each.
+    """
+    rows = versions.rows.drop("driverrecordkey").withColumn("_each", F.col("later") + 1)
+    numbered = number_rows(rows, "_number", RECORD_ORDER, rows_differ=True, each="_each")
+    return expanded(numbered, versions.chains, F.col("_number"), F.col("_number"))
 
 
 def with_hired(dim: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -230,9 +344,7 @@ def update_dimension(dim: DataFrame, feed: DataFrame, lookups: Lookups) -> Dimen
     """Apply a feed to the dimension; what makes no version comes back as rejects."""
     resolved = resolve_feed(feed, lookups)
     known = with_hired(dim, resolved)
-    events = day_events(known, resolved)
-    versions = unchanged(known, events).unionByName(applied_versions(known, events))
-    return DimensionUpdate(number_records(versions), rejected_rows(known, resolved))
+    return DimensionUpdate(number_records(versions_of(known, resolved)), rejected_rows(known, resolved))
 
 
 # The same steps with the results older loads were made with: every version of a

@@ -1,8 +1,8 @@
 """Work that needs one order over a whole table, without one task seeing the whole table.
 
 The table is range-shuffled on the order columns, sorted inside each range and
-checkpointed. From then on a row's range and its place in the range are fixed, so
-totals of earlier ranges (one row per range) are all that has to be combined.
+written with each row's range and its place in the range. Totals of earlier ranges
+(one row per range) are then all that has to be combined.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dispatchmart.session import checkpoint_dir
+from dispatchmart.session import stored
 
 RANGE = "_range"
 PLACE = "_place"
@@ -29,35 +29,46 @@ def in_order(df: DataFrame, order_by: list[str], rows_differ: bool = False) -> D
     """``df`` in order, with the number of the range and the place in it.
 
     Ties are broken by all other columns. ``rows_differ=True`` promises that no two
-    rows are equal; otherwise the table is checkpointed first and each row gets an
+    rows are equal; otherwise the table is written first and each row gets an
     identity, so that even a mass of equal rows is cut into ranges.
     """
-    checkpoint_dir(df.sparkSession)
     keys = sortable_columns(df, order_by)
     if not rows_differ:
-        df = df.checkpoint().withColumn(_ROW, F.monotonically_increasing_id())
+        df = stored(df.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
         keys = [*keys, _ROW]
-    sorted_ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_ROW).checkpoint()
+    sorted_ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_ROW)
     position = F.monotonically_increasing_id()
-    return sorted_ranges.select(
-        "*",
-        F.shiftright(position, 33).cast("int").alias(RANGE),
-        position.bitwiseAND(F.lit((1 << 33) - 1)).alias(PLACE),
+    return stored(
+        sorted_ranges.select(
+            "*",
+            F.shiftright(position, 33).cast("int").alias(RANGE),
+            position.bitwiseAND(F.lit((1 << 33) - 1)).alias(PLACE),
+        ),
+        "ranges",
     )
 
 
 def number_rows(
-    df: DataFrame, key: str, order_by: list[str], after: int | Column = 0, rows_differ: bool = False
+    df: DataFrame,
+    key: str,
+    order_by: list[str],
+    after: int | Column = 0,
+    rows_differ: bool = False,
+    each: str | None = None,
 ) -> DataFrame:
     """Dense numbers ``after + 1, after + 2, ...`` in the given order, as column ``key``.
 
-    ``after`` may be a scalar subquery.
+    ``after`` may be a scalar subquery. ``each`` is a column with how many numbers a row takes, of which it gets the first.
     """
     ordered = in_order(df, order_by, rows_differ)
+    taken = F.count("*") if each is None else F.sum(each)
+    if each is not None:
+        before = Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+        ordered = ordered.withColumn(PLACE, F.coalesce(F.sum(each).over(before), F.lit(0)))
     earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ordered.groupBy(RANGE)
-        .agg(F.count("*").alias("_rows"))
+        .agg(taken.alias("_rows"))
         .select(RANGE, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
     after = after if isinstance(after, Column) else F.lit(after)

@@ -27,17 +27,25 @@ def buckets_in(df: DataFrame) -> list[str]:
     return sorted(str(row[0]) for row in df.select(BUCKET).distinct().collect())
 
 
-def number_in_blocks(df: DataFrame, number: str, order_by: list[str], after: int) -> tuple[DataFrame, int]:
+def number_in_blocks(
+    df: DataFrame, number: str, order_by: list[str], after: int, each: str | None = None
+) -> tuple[DataFrame, int]:
     """Dense numbers from ``after + 1`` on, one block per bucket; gives the last number, too.
 
-    ``df`` has a bucket, is the same however often it is read, and ``order_by`` tells its rows apart.
+    ``df`` has a bucket, is the same however often it is read, and ``order_by`` tells its rows apart. ``each`` is a column with
+    how many numbers a row takes, of which it gets the first.
     """
     blocks, last = [], after
-    for bucket, rows in sorted(map(tuple, df.groupBy(BUCKET).count().collect())):
+    taken = F.count("*") if each is None else F.sum(each)
+    for bucket, rows in sorted(map(tuple, df.groupBy(BUCKET).agg(taken).collect())):
         blocks.append((bucket, last))
         last += rows
     starts = df.sparkSession.createDataFrame(blocks, f"{BUCKET} int, _start long")  # one row per bucket
-    place = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*order_by))
+    in_bucket = Window.partitionBy(BUCKET).orderBy(*order_by)
+    if each is None:
+        place = F.row_number().over(in_bucket)
+    else:
+        place = F.coalesce(F.sum(each).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     return df.join(F.broadcast(starts), BUCKET).withColumn(number, F.col("_start") + place).drop("_start"), last
 
 

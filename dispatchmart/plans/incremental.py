@@ -1,7 +1,8 @@
 """The driver dimension kept up to date feed by feed, without rewriting what a feed does not touch.
 
 The dimension is cut into buckets by the driver's natural key, the name, which is what a feed knows. A batch reads and writes only the
-buckets of its names. Driver keys come from a registry and record keys from number blocks, so a version keeps
+buckets of its names. Buckets hold the current versions; the versions that a batch closes are appended, once and for all, so
+history is neither read nor written again. Driver keys come from a registry and record keys from number blocks, so a version keeps
 both for good. The batch number is published with the rows: a batch that is applied again, or that a restarted stream sends again,
 changes nothing. Batches are to follow each other in time for each driver, as late events are rejected.
 
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dispatchmart.operators import dimension as D
 from dispatchmart.operators.registry import BUCKET, BUCKETS, bucket_of, buckets_in, number_in_blocks, register
-from dispatchmart.session import checkpoint_dir
+from dispatchmart.session import stored
 from dispatchmart.sources.commits import Commit, Store
 
 DIMENSION, REJECTS, DRIVERS, FEED = "driver_dim", "driver_feed_rejects", "driver_keys", "driver_feed"
@@ -52,20 +53,21 @@ def apply_batch(store: Store, feed: DataFrame, lookups: D.Lookups, batch: int, b
     commit = store.begin(f"{FEED}-{batch}")
     if commit.already_published or batch <= commit.mark_of(FEED, -1):
         return False
-    checkpoint_dir(store.spark)
     resolved = D.resolve_feed(feed, lookups)
     touched = buckets_in(_bucketed(resolved, buckets))
     dim = commit.read(DIMENSION, touched)
     known = dim.unionByName(_hired(commit, resolved, buckets))
-    events = D.day_events(known, resolved)
-    versions = D.unchanged(known, events).unionByName(D.applied_versions(known, events))
-    versions = _bucketed(versions, buckets).checkpoint()
-    new = versions.where(F.col("driverrecordkey") == D.UNNUMBERED).drop("driverrecordkey")
-    order = ["driverkey", "effectivedate"]
-    numbered, last = number_in_blocks(new, "driverrecordkey", order, commit.mark_of(_RECORDS, 0))
-    kept = versions.where(F.col("driverrecordkey") != D.UNNUMBERED)
-    rows = kept.unionByName(numbered.select(kept.columns))
-    commit.replace_parts(DIMENSION, rows.repartition(BUCKET), BUCKET, touched)
+    versions = D.versions_of(known, resolved)
+    unnumbered = F.coalesce(F.col("driverrecordkey") == D.UNNUMBERED, F.lit(False))
+    rows = stored(_bucketed(versions.rows, buckets).withColumn("_new", F.col("later") + unnumbered.cast("int")), "versions")
+    order = ["driverkey", "effectivedate", *[c for c in D.DIMENSION if c not in ("driverkey", "effectivedate")]]
+    numbered, last = number_in_blocks(rows.where("_new > 0"), "_number", order, commit.mark_of(_RECORDS, 0), each="_new")
+    first = F.when(unnumbered, F.col("_number")).otherwise(F.col("driverrecordkey"))
+    grown = D.expanded(numbered, versions.chains, first, F.col("_number") - F.when(unnumbered, 0).otherwise(1))
+    grown = rows.where("_new = 0").select(D.DIMENSION).unionByName(grown)
+    current = F.coalesce(F.col("current_record") == 1, F.lit(False))
+    commit.replace_parts(DIMENSION, _bucketed(grown.where(current), buckets).repartition(BUCKET), BUCKET, touched)
+    commit.append(DIMENSION, grown.where(~current))
     commit.append(REJECTS, D.rejected_rows(known, resolved).withColumn("batch", F.lit(batch).cast("long")))
     commit.mark(_RECORDS, last)
     commit.mark(FEED, batch)

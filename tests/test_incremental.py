@@ -163,3 +163,15 @@ def test_a_streamed_feed_is_applied_once(spark, store, tmp_path):
     number = store.snapshot().number
     run()
     assert store.snapshot().number == number
+
+
+def test_closed_versions_are_written_once(spark, store):
+    """A batch leaves what earlier ones closed in the folders they wrote, and does not read it again."""
+    N.create_dimension(store, dimension(spark, 4), buckets=1)
+    for number, on in enumerate((3, 5, 7)):
+        rows = [(f"D{i}", "CHANGE", "QUEENS", day(on)) for i in range(4)]
+        N.apply_batch(store, feed(spark, *rows), lookups(spark), number, buckets=1)
+    version = store.snapshot().tables[N.DIMENSION]
+    counts = sorted((store.read_version(version, [part]).count(), part == "0") for part in version.parts)
+    assert counts == [(4, False), (4, False), (4, False), (4, True)]
+    assert store.read(N.DIMENSION).count() == 16 and store.read(N.DIMENSION, ["0"]).where("current_record = 1").count() == 4

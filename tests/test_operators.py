@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from dispatchmart import schemas
+from dispatchmart import schemas, session
 from dispatchmart.operators import dimension as D
 from dispatchmart.operators import facts as X
 from dispatchmart.operators import joins as J
@@ -496,3 +496,33 @@ def test_small_lexicons_are_looked_up_in_the_row(spark, sf_dir):
 def test_message_facts(messages, lexicon):
     facts = score_messages(messages, lexicon, features=100)
     assert facts.columns == ["id", "tweet", "tags", "polarity", "subjectivity"]
+
+
+def test_events_of_a_name_are_held_once_for_all_its_drivers(spark, lookups, monkeypatch):
+    """Sixty drivers of one name and sixty days of events: 60 x 60 / 2 versions, but no table of so many on the way."""
+    day = [date.fromordinal(date(2021, 1, 1).toordinal() + n) for n in range(120)]
+    events = [("N", "HIRED", *NIGHT, day[2 * n]) for n in range(60)]
+    events += [("N", "CHANGE" if n % 3 else "FIRED", *(NIGHT if n % 2 else EVENING), day[2 * n + 1]) for n in range(60)]
+    sizes = []
+
+    def counting(df, name="stored", write=session.stored):
+        sizes.append(write(df, name).count())
+        return write(df, name)
+
+    for module in (D, O):
+        monkeypatch.setattr(module, "stored", counting)
+    nobody = spark.createDataFrame([], schemas.DRIVER_DIMENSION)
+    got = rows(D.update_dimension(nobody, feed(spark, *events), lookups).dimension.select(
+        "driverrecordkey", "driverkey", "effectivedate", "expireddate", "coveragekey", "firedate", "current_record"))
+    want, number = [], 0
+    coverage = {"HIRED": lambda n: 1, "CHANGE": lambda n: 1 if n % 2 else 7}
+    for driver in range(60):
+        keys, starts = coverage["HIRED"](driver), [(day[2 * driver], "HIRED", driver)]
+        starts += [(day[2 * n + 1], "CHANGE" if n % 3 else "FIRED", n) for n in range(driver, 60)]
+        for at, (start, action, n) in enumerate(starts):
+            keys, number = coverage[action](n) if action == "CHANGE" else keys, number + 1
+            last = at + 1 == len(starts)
+            end = OPEN if last else date.fromordinal(starts[at + 1][0].toordinal() - 1)
+            want.append((number, driver + 1, start, end, keys, start if action == "FIRED" else OPEN, int(last)))
+    assert sorted(got) == want and len(want) == 60 + 60 * 61 // 2
+    assert sizes and max(sizes) <= 120
