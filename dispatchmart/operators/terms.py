@@ -11,7 +11,7 @@ from dispatchmart.functions import fixed_values as V
 from dispatchmart.functions.messages import clean_text, message_words, without_stop_words
 from dispatchmart.operators.joins import BROADCAST_ROWS, spread_join
 from dispatchmart.operators.ordered import number_rows
-from dispatchmart.session import checkpoint_dir
+from dispatchmart.session import stored
 
 
 def add_words(df: DataFrame, text: str = "tweet", words: str = "words_clean") -> DataFrame:
@@ -27,8 +27,15 @@ def _exploded(df: DataFrame, text: str) -> DataFrame:
 
 
 def term_counts(df: DataFrame, text: str = "tweet") -> DataFrame:
-    """How often each term occurs in all messages."""
-    return _exploded(df.select(text), text).groupBy("term").agg(F.count("*").alias("n"))
+    """How often each term occurs in all messages.
+
+    Texts are cut at blanks and line ends only and the pieces are counted as they stand, so that each different piece is
+    cleaned once: cleaning drops characters inside pieces and never joins two of them.
+    """
+    pieces = df.select(F.explode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ")).alias("piece"))
+    counted = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    terms = counted.select("n", F.explode(F.split(clean_text(F.col("piece")), r"\W")).alias("term"))
+    return terms.where(~F.col("term").isin("", *V.STOP_WORDS)).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def document_term_counts(df: DataFrame, key: str, text: str = "tweet") -> DataFrame:
@@ -84,12 +91,11 @@ def count_vectors(
 ) -> DataFrame:
     """Sparse count vectors over all terms, or the ``size`` most frequent, as ``indices`` and ``values``.
 
-    The texts are cut into words once: the counts per message are written, the vocabulary is
+    The texts are cut into words once: the counts per message are written by column, the vocabulary is
     summed from them and joined back. The vocabulary stays a table; a message without terms has
     empty arrays.
     """
-    checkpoint_dir(df.sparkSession)
-    counts = document_term_counts(df, key, text).checkpoint()
+    counts = stored(document_term_counts(df, key, text), "counts")
     terms = _placed(counts.groupBy("term").agg(F.sum("n").alias("n")), size)
     entries = spread_join(counts, terms, ["term"], max_rows=max_rows)
     vectors = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "n"))).alias("_entries"))

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dispatchmart import schemas, session
+from dispatchmart.functions import fixed_values as V
+from dispatchmart.functions.messages import clean_text, message_words
 from dispatchmart.operators import dimension as D
 from dispatchmart.operators import facts as X
 from dispatchmart.operators import joins as J
@@ -526,3 +528,22 @@ def test_events_of_a_name_are_held_once_for_all_its_drivers(spark, lookups, monk
             want.append((number, driver + 1, start, end, keys, start if action == "FIRED" else OPEN, int(last)))
     assert sorted(got) == want and len(want) == 60 + 60 * 61 // 2
     assert sizes and max(sizes) <= 120
+
+
+def test_pieces_are_cleaned_once_each(spark):
+    """Terms are those of the cleaned texts, but cleaning sees each different piece of the texts once."""
+    texts = ["Taxi! taxi\ttaxi\nTAXI\r\nfast", "t-a-x-i  42 fast\u00e9 the \u000bfast\u00a0x", "", None, "\n", "caf\u00e9\fcab"] * 50
+    df = spark.createDataFrame([(t,) for t in texts], "tweet string")
+    want = dict(rows(df.select(F.explode(message_words(clean_text(F.col("tweet")))).alias("t")).where(~F.col("t").isin(*V.STOP_WORDS)).groupBy("t").count()))
+    assert dict(rows(W.term_counts(df))) == want and want["taxi"] == 250
+    plan = W.term_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.rindex("Aggregate"), "cleaning comes after the first count"
+
+
+def test_count_vectors_write_their_counts_by_column(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(W, "stored", lambda df, name: written.append(name) or session.stored(df, name))
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", None)
+    df = spark.createDataFrame([(1, "taxi cab taxi"), (2, "")], "id long, tweet string")
+    assert rows(W.count_vectors(df, "id"), "id") == [(1, [0, 1], [2.0, 1.0]), (2, [], [])]
+    assert written == ["counts"]
