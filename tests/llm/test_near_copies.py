@@ -90,6 +90,36 @@ def test_many_near_copies_of_one_text(spark):
     assert groups_of(df, block=16) == want
 
 
+def test_a_crowd_of_texts_below_the_similarity_makes_no_pairs(spark, monkeypatch):
+    """Most of a crowd share cells without being similar; pairs made grow with the texts, links are all found."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(draw.randrange(1, 6)):
+            words[draw.randrange(150)] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(7, rows[300][1]), (900, rows[301][1]), (900, "alone")]  # an identifier of two texts, a copy
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, verified = [], near_copies.verified
+
+    def counting(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counting)
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 1 << 12)
+    links = brute_links(rows)
+    want = brute_groups(rows, links)
+    got = groups_of(df)
+    assert made[-1] < 20 * len(rows)  # 400 texts have 79,800 pairs
+    together = [got[rows[i][0]] == got[rows[j][0]] for i, j in links]
+    assert len(set(want.values())) > 50 and sum(together) >= 0.99 * len(together)
+    assert all(want[i] == want[component] for i, component in got.items())
+    assert groups_of(df, crowd=10**6) == got  # pair by pair
+
+
 @pytest.mark.parametrize("given", [edge_rows, empty_rows])
 def test_edge_rows(spark, given):
     rows = given(spark)
