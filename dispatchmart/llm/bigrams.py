@@ -13,7 +13,8 @@ is sent back. The factor of a context is the same for all pairs it begins, so it
 the second word; the start and the last word of a text make the difference up. Words of more than
 1 in 2,000 occurrences, at most 2,000, have their counts sent to all tasks, and their pairs are dealt by both words.
 
-Documents are named by the hash of their text: copies of a text add up and are divided by their number.
+An occurrence names its document by a place of two bytes in a chunk of documents; the names of a chunk travel once, and meet the
+sums of their places in the end. Documents are named by the hash of their text: copies of a text add up and are divided by their number.
 
 Defined results: a null or empty text has no words and the score 0; equal texts have equal scores, each row of them is
 kept; an empty table gives an empty one; an empty target leaves a uniform model for it; columns besides
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,12 @@ HOT_SHARE = 1 / 2000
 _CACHED_WORDS = 400_000
 _PORTION = 500_000  # distinct words that a task holds before it sends their counts
 _CHUNK = 1 << 21  # words that a task deals out at a time
+_CHUNK_DOCS = 1 << 15  # documents at most: place and target make up two bytes
+_BLOCK = 1 << 10  # documents of a chunk whose sums are added up together
 _START, _LAST = 0, 1  # in place of the word before: the start of a text; the mark of a text's last word
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PACKED = ("words", "sizes", "contexts", "at", "docs", "targets", "doc_at")
-_TYPES = (np.int64, np.int32, np.int64, np.uint8, np.int64, np.bool_, np.uint8)  # places as bytes of two or four each
-_ADDED, _ADDED_TYPES = ("docs", "sums", "words"), (np.int64, np.float64, np.int32)
+_PACKED = "bucket int, chunk long, words binary, sizes binary, contexts binary, at binary, docs binary"
+_ADDED = "bucket int, block long, places binary, sums binary, keys binary, sizes binary"
 
 
 class _Hashes(dict):
@@ -134,17 +137,36 @@ def _places(raw: np.ndarray, count: int) -> np.ndarray:
     return raw.view(np.uint16 if len(raw) == 2 * count else np.uint32)
 
 
+def _bucket_of(names: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((names.view(np.uint64) * _MIX >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
+
+
+def _rows(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [part.split() for part in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
 def _deal(sent, n_buckets: int):
-    """Occurrences of pairs, packed: a row for each bucket and chunk of texts."""
+    """Occurrences of pairs, packed: a row for each bucket and chunk of texts, and the names of the chunk, a row for each block."""
 
     def run(batches):
+        import xxhash
+
         known, hashes = sent.value, _Hashes()
+        task, number = TaskContext.get().partitionId(), 0
         parts, docs, targets, size = [], [], [], 0
 
         def packed():
+            keys, sizes = np.array(docs, np.int64), np.array([len(part) for part in parts], np.int32)
+            chunk = xxhash.xxh64_intdigest(np.array([task, number, *docs], np.int64).tobytes()) - (1 << 63)
+            blocks = _blocks(chunk, np.arange(0, len(docs), _BLOCK))
+            for at, block, bucket in zip(range(0, len(docs), _BLOCK), blocks.tolist(), _bucket_of(blocks, n_buckets).tolist()):
+                part = slice(at, at + _BLOCK)
+                yield _rows(_PACKED, [bucket], [block], [keys[part].tobytes()], [sizes[part].tobytes()], [None], [None], [None])
             after = np.concatenate([p for part in parts for p in (part, part[-1:])])
             before = np.concatenate([p for part in parts for p in ([_START], part[:-1], [_LAST])]).astype(np.int64)
-            doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(part) + 1 for part in parts])
+            doc = np.repeat((2 * np.arange(len(docs)) + np.array(targets, bool)).astype(np.uint16), sizes + 1)
             hot, _ = _is_hot(known, after)
             name = after.view(np.uint64) * _MIX
             name[hot] = (name[hot] ^ before[hot].view(np.uint64)) * _MIX
@@ -152,19 +174,11 @@ def _deal(sent, n_buckets: int):
             order = np.lexsort((after, bucket))
             after, before, doc, bucket = after[order], before[order], doc[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            keys, good = np.array(docs, np.int64), np.array(targets, bool)
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 words, sizes = np.unique(after[start:end], return_counts=True)
                 contexts, at = np.unique(before[start:end], return_inverse=True)
-                of, doc_at = np.unique(doc[start:end], return_inverse=True)
-                columns = (words, sizes, contexts, _as_bytes(at), keys[of], good[of], _as_bytes(doc_at))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(bucket[start])], pa.int32()),
-                        *(pa.array([c.astype(kind).tobytes()], pa.binary()) for c, kind in zip(columns, _TYPES)),
-                    ],
-                    ["bucket", *_PACKED],
-                )
+                columns = (words, _as_bytes(sizes), contexts, _as_bytes(at), doc[start:end])
+                yield _rows(_PACKED, [int(bucket[start])], [chunk], *([c.tobytes()] for c in columns))
 
         for batch in batches:
             for text, target, key in zip(batch.column("text"), batch.column("target").to_pylist(), batch.column("key").to_pylist()):
@@ -175,17 +189,22 @@ def _deal(sent, n_buckets: int):
                 docs.append(key)
                 targets.append(target)
                 size += len(words)
-                if size >= _CHUNK:
+                if size >= _CHUNK or len(docs) >= _CHUNK_DOCS:
                     yield from packed()
-                    parts, docs, targets, size = [], [], [], 0
+                    parts, docs, targets, size, number = [], [], [], 0, number + 1
         if parts:
             yield from packed()
 
     return run
 
 
+def _blocks(chunk, places: np.ndarray) -> np.ndarray:
+    """Names of the blocks that places of a chunk, or of one chunk each, are in."""
+    return (np.asarray(chunk, np.int64).view(np.uint64) + (places // _BLOCK).astype(np.uint64)).view(np.int64)
+
+
 def _weigh(known: Totals, word, before, doc, good):
-    """What the occurrences of a complete bucket add to their documents: document, sum, number of words."""
+    """What the occurrences of a complete bucket add to their documents: document, sum."""
     order = np.lexsort((before, word))
     word, before, doc, good = word[order], before[order], doc[order], good[order].astype(np.int64)
     last = (before == _LAST).astype(np.int64)
@@ -205,21 +224,23 @@ def _weigh(known: Totals, word, before, doc, good):
     value = np.log(n + k * share[0][pair_word]) - np.log(n_good + k * share[1][pair_word]) + context[pair_word]
     value = np.where(last[pairs] == 1, first - context[pair_word], value)
     docs, of_doc = np.unique(doc, return_inverse=True)
-    return docs, np.bincount(of_doc, value[pair_of]), np.bincount(of_doc, 1 - last).astype(np.int64)
+    return docs, np.bincount(of_doc, value[pair_of])
 
 
-def _by_bucket(work, names, kinds):
-    """``work`` on the unpacked rows of each bucket of a partition, which arrive in the order of buckets."""
+def _by_bucket(work):
+    """``work`` on the rows of each bucket of a partition, which arrive in the order of buckets; blobs as arrays of bytes."""
 
     def run(batches):
         bucket, waiting = None, []
         for batch in batches:
-            for i, name in enumerate(batch.column("bucket").to_pylist()):
+            columns = [batch.column(i) for i in range(2, batch.num_columns)]
+            for i, (name, of) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if name != bucket and waiting:
                     yield from work(waiting)
                     waiting = []
                 bucket = name
-                waiting.append([np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in zip(names, kinds)])
+                blobs = (c[i].as_py() for c in columns)
+                waiting.append((of, *(None if blob is None else np.frombuffer(blob, np.uint8) for blob in blobs)))
         if waiting:
             yield from work(waiting)
 
@@ -227,35 +248,49 @@ def _by_bucket(work, names, kinds):
 
 
 def _weigh_buckets(sent, n_buckets: int):
-    """What occurrences add to documents, packed again: a row for each bucket of documents."""
+    """What occurrences add to documents, packed again: a row for each block of documents. Rows of names are passed on."""
 
     def work(waiting):
-        rows = []
-        for words, sizes, contexts, at, docs, targets, doc_at in waiting:
-            word = np.repeat(words, sizes)
-            of = _places(doc_at, len(word))
-            rows.append((word, contexts[_places(at, len(word))], docs[of], targets[of]))
-        docs, sums, words = _weigh(sent.value, *(np.concatenate(c) for c in zip(*rows)))
-        bucket = ((docs.view(np.uint64) * _MIX >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, columns = bucket[order], [c[order] for c in (docs, sums, words)]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        blobs = [
-            [c[start:end].astype(kind).tobytes() for start, end in zip(cuts[:-1], cuts[1:])]
-            for c, kind in zip(columns, _ADDED_TYPES)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cuts[:-1]], pa.int32()), *(pa.array(c, pa.binary()) for c in blobs)], ["bucket", *_ADDED]
-        )
-
-    return _by_bucket(work, _PACKED, _TYPES)
+        chunks, firsts, rows, end = [], [], [], 0
+        for chunk, words, sizes, contexts, at, docs in waiting:
+            if contexts is None:
+                yield _rows(_ADDED, _bucket_of(np.array([chunk]), n_buckets), [chunk], [None], [None], [words.tobytes()], [sizes.tobytes()])
+                continue
+            words, docs = words.view(np.int64), docs.view(np.uint16)
+            word = np.repeat(words, _places(sizes, len(words)))
+            place = (docs >> 1).astype(np.int64)
+            rows.append((word, contexts.view(np.int64)[_places(at, len(word))], place + end, docs % 2))
+            chunks.append(chunk)
+            firsts.append(end)
+            end += int(place.max()) + 1
+        waiting.clear()
+        if not rows:
+            return
+        docs, sums = _weigh(sent.value, *(np.concatenate(c) for c in zip(*rows)))
+        of = np.searchsorted(firsts, docs, "right") - 1
+        place = docs - np.array(firsts)[of]
+        block = _blocks(np.array(chunks)[of], place)
+        place = (place % _BLOCK).astype(np.uint16)
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        places, blobs = ([c[start:end].tobytes() for start, end in zip(cuts[:-1], cuts[1:])] for c in (place, sums))
+        block, none = block[cuts[:-1]], [None] * len(places)
+        yield _rows(_ADDED, _bucket_of(block, n_buckets), block, places, blobs, none, none)
+
+    return _by_bucket(work)
 
 
 def _add_up(waiting):
-    docs, sums, words = (np.concatenate(c) for c in zip(*waiting))
-    keys, of = np.unique(docs, return_inverse=True)
-    columns = [keys, np.bincount(of, sums), np.bincount(of, words).astype(np.int64)]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "total", "words"])
+    """The sums of each document of complete blocks."""
+    named = {block: (keys.view(np.int64), sizes.view(np.int32)) for block, _, _, keys, sizes in waiting if keys is not None}
+    totals = {block: np.zeros(len(keys)) for block, (keys, _) in named.items()}
+    for block, places, sums, keys, _ in waiting:
+        if keys is None:
+            # Without its names a block comes from a task that ran twice, over rows in another order: better no result than a wrong one.
+            totals[block][places.view(np.uint16)] += sums.view(np.float64)
+    keys, words = (np.concatenate(c) for c in zip(*named.values()))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(keys), pa.array(np.concatenate(list(totals.values()))), pa.array(words.astype(np.int64))], ["key", "total", "words"]
+    )
 
 
 def cross_entropy_difference(
@@ -270,19 +305,18 @@ def cross_entropy_difference(
     sent = spark.sparkContext.broadcast(totals(rows))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def dealt(packed, names, work, schema):
-        rows = packed.select("bucket", *names).repartition("bucket").sortWithinPartitions("bucket")
-        return rows.mapInArrow(work, schema)
-
-    def schema(names):
-        return "bucket int, " + ", ".join(f"{c} binary" for c in names)
+    def dealt(packed, work, schema):
+        return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, schema)
 
-    packed = rows.mapInArrow(_deal(sent, buckets), schema(_PACKED))
-    added = dealt(packed, _PACKED, _weigh_buckets(sent, buckets), schema(_ADDED))
-    sums = saved(dealt(added, _ADDED, _by_bucket(_add_up, _ADDED, _ADDED_TYPES), "key long, total double, words long"))
+    packed = rows.mapInArrow(_deal(sent, buckets), _PACKED)
+    added = dealt(packed, _weigh_buckets(sent, buckets), _ADDED)
+    sums = dealt(added, _by_bucket(_add_up), "key long, total double, words long")
+    found = saved(
+        sums.groupBy("key")
+        .agg(F.sum("total").alias("total"), F.sum("words").alias("words"), F.count("*").alias("copies"))
+        .select("key", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), (F.col("total") / F.col("words")).alias("difference"))
+    )
     named = texts.select("doc_id", "key")
-    copies = named.groupBy("key").agg(F.count("*").alias("copies"))
-    found = saved(sums.join(copies, "key").select("key", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), (F.col("total") / F.col("words")).alias("difference")))
     return lookup_join(named, found, ["key"], "left").select(
         "doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("difference", F.lit(0.0)).alias("difference")
     )

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from edge_rows import documents, edge_rows, empty_rows, texts_of
+from pyspark.sql import functions as F
 
 from dispatchmart.llm import bigrams, queries
 from dispatchmart.llm.classifier import shape
@@ -96,3 +97,32 @@ def test_places_take_two_bytes_or_four():
         raw = bigrams._as_bytes(places)
         assert len(raw) == (6 if largest < 65_536 else 12)
         assert (bigrams._places(np.frombuffer(raw.tobytes(), np.uint8), 3) == places).all()
+
+
+def test_documents_are_not_named_in_every_bucket(spark, sf_dir, monkeypatch):
+    """What is dealt, in bytes for each occurrence, if a bucket holds a few words of a document only."""
+    rows = documents(spark, sf_dir)
+    dealt, kind = [], type(rows)
+    dealing = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: dealt.append(self) or dealing(self, *a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        ids = spark.createDataFrame([(i,) for i in range(0, 500, 2)], "doc_id long")
+        n_words = bigrams.cross_entropy_difference(rows, ids).agg(F.sum("n_words")).first()[0]
+        sent = []
+        for packed in (d for d in dealt if "bucket" in d.columns):
+            blobs = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in packed.dtypes if t == "binary"]
+            sent.append(packed.agg(F.sum(sum(blobs, F.lit(0)))).first()[0] / n_words)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sent) == 2
+    assert sum(sent) < 18.5
+
+
+def test_a_chunk_of_many_short_texts(spark, monkeypatch):
+    """More texts than a block and a chunk hold, most of them copies, over several chunks of a task."""
+    monkeypatch.setattr(bigrams, "_CHUNK_DOCS", 1500)
+    rows = spark.createDataFrame([(i, f"a{i % 7} b c{i % 3} a{i % 5}" if i % 11 else None) for i in range(4000)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 4000, 4)], "doc_id long")
+    compare(rows.coalesce(1), bigrams.cross_entropy_difference(rows.coalesce(1), ids), set(range(0, 4000, 4)))
