@@ -13,6 +13,9 @@ is sent back. The factor of a context is the same for all pairs it begins, so it
 the second word; the start and the last word of a text make the difference up. Words of more than
 1 in 2,000 occurrences, at most 2,000, have their counts sent to all tasks, and their pairs are dealt by both words.
 
+The target's identifiers go to all tasks packed, in at most 64 MB; if there are more the texts are joined with them. No other
+table goes through the driver: sums meet the names of documents by shuffles.
+
 An occurrence names its document by a place of two bytes in a chunk of documents; the names of a chunk travel once, and meet the
 sums of their places in the end. Documents are named by the hash of their text: copies of a text add up and are divided by their number.
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from dispatchmart.llm.classifier import shape
 from dispatchmart.llm.common import id_and_text, saved
-from dispatchmart.operators.joins import lookup_join
+from dispatchmart.operators.joins import spread_join
 
 SMOOTHING = 64.0
 HOT_SHARE = 1 / 2000
@@ -43,6 +46,8 @@ _PORTION = 500_000  # distinct words that a task holds before it sends their cou
 _CHUNK = 1 << 21  # words that a task deals out at a time
 _CHUNK_DOCS = 1 << 15  # documents at most: place and target make up two bytes
 _BLOCK = 1 << 10  # documents of a chunk whose sums are added up together
+_SENT_IDS = 1 << 23  # identifiers of the target that are sent to all tasks, in eight bytes each at most
+_JOINED_ROWS = 20_000  # rows of a side of a join that are sent to all tasks
 _START, _LAST = 0, 1  # in place of the word before: the start of a text; the mark of a text's last word
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PACKED = "bucket int, chunk long, words binary, sizes binary, contexts binary, at binary, docs binary"
@@ -70,7 +75,41 @@ class Totals:
     counts: np.ndarray  # background, target, background as the last word, target as the last word
 
 
-def _count_words(batches):
+class Target:
+    """Identifiers, in order and packed: the first, and what each adds to the one before in as few bytes as the largest needs."""
+
+    def __init__(self, ids: np.ndarray):
+        ids = np.unique(ids)
+        # Over the whole range of identifiers a difference needs all 64 bits.
+        steps = np.diff(ids.view(np.uint64))
+        width = np.min_scalar_type(int(steps.max())) if len(steps) else np.uint8
+        self.first, self.steps = ids[:1], steps.astype(width)
+
+    def ids(self) -> np.ndarray:
+        steps = np.concatenate([self.first.view(np.uint64), self.steps.astype(np.uint64)])
+        return np.cumsum(steps, dtype=np.uint64).view(np.int64)
+
+    @classmethod
+    def of(cls, ids: DataFrame, at_most: int) -> Target | None:
+        """Those of ``doc_id``, or None if there are more than ``at_most``; nothing is collected then."""
+        if ids.agg(F.count("*")).first()[0] > at_most:
+            return None
+        return cls(ids.toArrow().column("doc_id").to_numpy())
+
+
+def _flags(batch, ids: np.ndarray | None) -> list[bool]:
+    """Which rows belong to the target: by the column that says so, or by their identifier."""
+    if ids is None:
+        return batch.column("target").to_pylist()
+    if not len(ids):
+        return [False] * batch.num_rows
+    column = batch.column("doc_id")
+    names = column.fill_null(0).to_numpy()
+    found = ids[np.minimum(np.searchsorted(ids, names), len(ids) - 1)] == names
+    return (found & column.is_valid().to_numpy(zero_copy_only=False)).tolist()
+
+
+def _count_words(batches, ids: np.ndarray | None):
     """Counts of words and of shapes; portions of bounded size."""
 
     def portion():
@@ -91,7 +130,7 @@ def _count_words(batches):
 
     every, good, last, good_last = Counter(), Counter(), Counter(), Counter()
     for batch in batches:
-        for text, target in zip(batch.column("text"), batch.column("target").to_pylist()):
+        for text, target in zip(batch.column("text"), _flags(batch, ids)):
             words = text.as_py().split()
             if not words:
                 continue
@@ -106,11 +145,18 @@ def _count_words(batches):
     yield portion()
 
 
-def totals(rows: DataFrame) -> Totals:
-    """Sums over ``text, target``; of single words only the hot ones, a bounded number, come to the driver."""
+def totals(rows: DataFrame, target=None) -> Totals:
+    """Sums over ``text, target``; of single words only the hot ones, a bounded number, come to the driver.
+
+    ``target`` is a sent ``Target``; then the rows have a ``doc_id`` instead.
+    """
     names = ("n", "good", "last", "good_last")
-    seen = rows.select("text", "target").mapInArrow(
-        _count_words, "is_shape boolean, word string, n long, good long, last long, good_last long"
+
+    def run(batches):
+        yield from _count_words(batches, target and target.value.ids())
+
+    seen = rows.select("text", "doc_id" if target else "target").mapInArrow(
+        run, "is_shape boolean, word string, n long, good long, last long, good_last long"
     )
     counts = saved(seen.groupBy("is_shape", "word").agg(*[F.sum(c).alias(c) for c in names]))
     size, *sums = counts.agg(
@@ -147,13 +193,13 @@ def _rows(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def _deal(sent, n_buckets: int):
+def _deal(sent, n_buckets: int, target=None):
     """Occurrences of pairs, packed: a row for each bucket and chunk of texts, and the names of the chunk, a row for each block."""
 
     def run(batches):
         import xxhash
 
-        known, hashes = sent.value, _Hashes()
+        known, hashes, ids = sent.value, _Hashes(), target and target.value.ids()
         task, number = TaskContext.get().partitionId(), 0
         parts, docs, targets, size = [], [], [], 0
 
@@ -181,13 +227,13 @@ def _deal(sent, n_buckets: int):
                 yield _rows(_PACKED, [int(bucket[start])], [chunk], *([c.tobytes()] for c in columns))
 
         for batch in batches:
-            for text, target, key in zip(batch.column("text"), batch.column("target").to_pylist(), batch.column("key").to_pylist()):
+            for text, flag, key in zip(batch.column("text"), _flags(batch, ids), batch.column("key").to_pylist()):
                 words = text.as_py().split()
                 if not words:
                     continue
                 parts.append(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
                 docs.append(key)
-                targets.append(target)
+                targets.append(flag)
                 size += len(words)
                 if size >= _CHUNK or len(docs) >= _CHUNK_DOCS:
                     yield from packed()
@@ -300,15 +346,19 @@ def cross_entropy_difference(
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     ids = target_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
-    flagged = lookup_join(texts, ids.withColumn("target", F.lit(True)), ["doc_id"], "left")
-    rows = flagged.select("text", "key", F.coalesce("target", F.lit(False)).alias("target"))
-    sent = spark.sparkContext.broadcast(totals(rows))
+    target = Target.of(ids, _SENT_IDS)
+    if target is None:
+        flagged = spread_join(texts, ids.withColumn("target", F.lit(True)), ["doc_id"], "left", _JOINED_ROWS)
+        rows = saved(flagged.select("text", "key", F.coalesce("target", F.lit(False)).alias("target")))
+    else:
+        target, rows = spark.sparkContext.broadcast(target), texts
+    sent = spark.sparkContext.broadcast(totals(rows, target))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(packed, work, schema):
         return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, schema)
 
-    packed = rows.mapInArrow(_deal(sent, buckets), _PACKED)
+    packed = rows.mapInArrow(_deal(sent, buckets, target), _PACKED)
     added = dealt(packed, _weigh_buckets(sent, buckets), _ADDED)
     sums = dealt(added, _by_bucket(_add_up), "key long, total double, words long")
     found = saved(
@@ -316,7 +366,8 @@ def cross_entropy_difference(
         .agg(F.sum("total").alias("total"), F.sum("words").alias("words"), F.count("*").alias("copies"))
         .select("key", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), (F.col("total") / F.col("words")).alias("difference"))
     )
-    named = texts.select("doc_id", "key")
-    return lookup_join(named, found, ["key"], "left").select(
+    # Every text has its key here, and the keys of many texts are not sent to all tasks through the driver.
+    named = saved(texts.select("doc_id", "key"))
+    return spread_join(named, found, ["key"], "left", _JOINED_ROWS).select(
         "doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("difference", F.lit(0.0)).alias("difference")
     )

@@ -126,3 +126,39 @@ def test_a_chunk_of_many_short_texts(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"a{i % 7} b c{i % 3} a{i % 5}" if i % 11 else None) for i in range(4000)], "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in range(0, 4000, 4)], "doc_id long")
     compare(rows.coalesce(1), bigrams.cross_entropy_difference(rows.coalesce(1), ids), set(range(0, 4000, 4)))
+
+
+def test_tables_that_grow_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Neither the target's identifiers nor the sums of texts are the broadcast side of a join."""
+    rows = spark.range(25_000).selectExpr("id AS doc_id", "concat('a b ', id % 24000) AS text")
+    plans, saved = [], bigrams.saved
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return saved(df, *more)
+
+    monkeypatch.setattr(bigrams, "saved", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = bigrams.cross_entropy_difference(rows, rows.where("doc_id % 24 > 1").select("doc_id"))
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+        assert not any("strategy=broadcast" in plan for plan in plans)
+        assert got.where("n_words = 3").count() == 25_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_identifiers_of_the_target_are_packed():
+    for ids, width in (([], 1), ([7], 1), ([5, 3, 3, 300], 2), ([0, 70_000], 4), ([-(1 << 63), 0, (1 << 63) - 1], 8)):
+        packed = bigrams.Target(np.array(ids, np.int64))
+        assert packed.ids().tolist() == sorted(set(ids))
+        assert packed.steps.itemsize == width
+
+
+@pytest.mark.parametrize("target", [[], [5, 5, None, 3, 400, -7, 0]])
+def test_more_identifiers_than_are_sent(spark, target, monkeypatch):
+    monkeypatch.setattr(bigrams, "_SENT_IDS", -1)
+    monkeypatch.setattr(bigrams, "_JOINED_ROWS", 0)
+    ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    compare(edge_rows(spark), bigrams.cross_entropy_difference(edge_rows(spark), ids), {i for i in target if i is not None})
